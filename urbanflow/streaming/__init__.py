@@ -1,0 +1 @@
+"""No streaming operator is in scope: every input of the covered workload is a finite table."""
