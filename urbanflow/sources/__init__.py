@@ -1 +1 @@
-
+"""Readers and writers of the workload's files."""
