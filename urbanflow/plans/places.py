@@ -226,7 +226,7 @@ SQL = {
     "page_clean_text": rf"""WITH p AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace({_line}, '<.*?>', '', 'g'), ' +', ' ', 'g'), '&nbsp;', '', 'g')) AS content FROM pages)
       SELECT page_id, md5(content) AS content_md5, length(content)::INT AS chars, coalesce(try_cast(nullif(regexp_extract(url, 'page=(\d+)', 1), '') AS DOUBLE), 0.0::DOUBLE) AS number FROM p""",
     "busline_explode": "SELECT c_name AS fullname, 'L' || c_nationkey AS name, c_mktsegment AS company, 3::INT AS stationnum, station_name, lng, lat FROM (" + " UNION ALL ".join(
-        f"SELECT c_name, c_nationkey, c_mktsegment, {_bus(n)}" for n in range(3)) + ") AS b(c_name, c_nationkey, c_mktsegment, station_name, lng, lat)",
+        f"SELECT c_name, c_nationkey, c_mktsegment, {_bus(n)} FROM customer" for n in range(3)) + ") AS b(c_name, c_nationkey, c_mktsegment, station_name, lng, lat)",
     "tile_plan": "SELECT tag, gx::INT AS gx, gy::INT AS gy, (gx * 5 + 121000) / 1000 AS lng0, (gy * 5 + 30700) / 1000 AS lat0, (gx * 5 + 121005) / 1000 AS lng1, (gy * 5 + 30705) / 1000 AS lat1 FROM (SELECT DISTINCT c_mktsegment AS tag FROM customer), range(200) AS a(gx), range(160) AS b(gy)",
     "page_plan": f"""WITH {V.POIS}, tt AS (SELECT t.tag, floor((lng - 121.0::DOUBLE) / 0.005::DOUBLE)::INT AS gx, floor((lat - 30.7::DOUBLE) / 0.005::DOUBLE)::INT AS gy, count(*)::BIGINT AS total FROM pois JOIN {_tag_list} ON contains(tags, t.tag) GROUP BY ALL)
       SELECT tag, gx, gy, total, unnest(range((total - 1) // 20 + 1))::BIGINT AS page FROM tt""",
