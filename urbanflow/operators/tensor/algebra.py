@@ -61,18 +61,27 @@ def factor_from_array(spark, array: np.ndarray) -> Factor:
     return Factor(spark.createDataFrame(data, schema), rows, rank)
 
 
+def number(x: float) -> str:
+    """A double literal in an expression string."""
+    return f"({float(x)!r}D)" if np.isfinite(x) else f"cast('{float(x)!r}' as double)"
+
+
 def join_factors(t: Tensor, factors, modes) -> DataFrame:
     """Attach the factor rows of several modes as columns ``m{mode}_{component}``."""
     df = t.df
     for m in modes:
         f = factors[m]
-        side = f.df.select(F.col("idx").alias(t.modes[m]), *[F.col(c).alias(f"m{m}_{s}") for s, c in enumerate(f.columns)])
+        side = f.df.selectExpr(f"idx as {t.modes[m]}", *[f"{c} as m{m}_{s}" for s, c in enumerate(f.columns)])
         df = df.join(hinted(side, f.is_small()), t.modes[m])
     return df
 
 
+def product_sql(modes, component: int) -> str:
+    return " * ".join(f"m{m}_{component}" for m in modes)
+
+
 def product(modes, component: int) -> Column:
-    return reduce(mul, [F.col(f"m{m}_{component}") for m in modes])
+    return F.expr(product_sql(modes, component))
 
 
 def mttkrp(t: Tensor, factors, mode: int) -> Factor:
@@ -80,8 +89,8 @@ def mttkrp(t: Tensor, factors, mode: int) -> Factor:
     others = t.others(mode)
     rank = factors[others[0]].rank
     rows = join_factors(t, factors, others)
-    sums = [F.sum(F.col("v") * product(others, c)).alias(f"f{c}") for c in range(rank)]
-    df = rows.groupBy(F.col(t.modes[mode]).alias("idx")).agg(*sums)
+    sums = [F.expr(f"sum(v * {product_sql(others, c)}) as f{c}") for c in range(rank)]
+    df = rows.groupBy(F.expr(f"{t.modes[mode]} as idx")).agg(*sums)
     return Factor(df, t.shape[mode], rank)
 
 
@@ -92,36 +101,40 @@ def all_rows(f: Factor) -> Factor:
     return Factor(df, f.rows, f.rank)
 
 
-def times(f: Factor, matrix: np.ndarray) -> Factor:
-    """Factor times a small matrix, as plain column arithmetic."""
-    out = []
-    for c in range(matrix.shape[1]):
-        terms = [F.col(f"f{s}") * F.lit(float(matrix[s, c])) for s in range(matrix.shape[0])]
-        out.append(reduce(lambda a, b: a + b, terms).alias(f"f{c}"))
-    return Factor(f.df.select("idx", *out), f.rows, matrix.shape[1])
+def times_sql(matrix: np.ndarray, prefix: str = "f") -> list[str]:
+    """Expressions for the row ``prefix0, prefix1, ...`` times a small matrix."""
+    return [" + ".join(f"{prefix}{s} * {number(matrix[s, c])}" for s in range(matrix.shape[0]))
+            for c in range(matrix.shape[1])]
 
 
-def gram(f: Factor) -> np.ndarray:
-    """Rank-sized Gram matrix; the only thing that reaches the driver."""
-    return gram_stats(f)[0]
+def times(f: Factor, matrix: np.ndarray, keep: str | None = None) -> Factor:
+    """Factor times a small matrix, as plain column arithmetic; ``keep`` also keeps the old columns by a prefix."""
+    out = [f"{c} as {keep}{s}" for s, c in enumerate(f.columns)] if keep else []
+    out += [f"{e} as f{c}" for c, e in enumerate(times_sql(matrix))]
+    return Factor(f.df.selectExpr("idx", *out), f.rows, matrix.shape[1])
+
+
+def gram_sql(rank: int) -> list[str]:
+    """Aggregates for the upper triangle of a Gram matrix, row by row."""
+    return [f"sum(f{a} * f{b})" for a in range(rank) for b in range(a, rank)]
 
 
-def gram_stats(f: Factor, *extra: Column) -> tuple[np.ndarray, list]:
-    """Gram matrix and further aggregates of a factor in one job."""
-    pairs = [(a, b) for a in range(f.rank) for b in range(a, f.rank)]
-    sums = [F.sum(F.col(f"f{a}") * F.col(f"f{b}")) for a, b in pairs]
-    row = f.df.agg(*sums, *extra).first()
-    out = np.zeros((f.rank, f.rank))
-    for (a, b), value in zip(pairs, row):
-        out[a, b] = out[b, a] = value or 0.0
-    return out, list(row[len(pairs):])
+def gram_of(rank: int, values) -> np.ndarray:
+    out = np.zeros((rank, rank))
+    out[np.triu_indices(rank)] = [v or 0.0 for v in values]
+    return out + np.triu(out, 1).T
 
 
-def inner(a: Factor, b: Factor, *extra: Column) -> np.ndarray:
+def gram(f: Factor) -> np.ndarray:
+    """Rank-sized Gram matrix; the only thing that reaches the driver."""
+    return gram_of(f.rank, f.df.agg(*[F.expr(e) for e in gram_sql(f.rank)]).first())
+
+
+def inner(a: Factor, b: Factor) -> np.ndarray:
     """Small matrix of column products of two tall factors on the same rows."""
-    right = b.df.select("idx", *[F.col(c).alias(f"g{s}") for s, c in enumerate(b.columns)])
+    right = b.df.selectExpr("idx", *[f"{c} as g{s}" for s, c in enumerate(b.columns)])
     both = a.df.join(hinted(right, b.is_small()), "idx")
-    row = both.agg(*[F.sum(F.col(f"f{x}") * F.col(f"g{y}")) for x in range(a.rank) for y in range(b.rank)]).first()
+    row = both.agg(*[F.expr(f"sum(f{x} * g{y})") for x in range(a.rank) for y in range(b.rank)]).first()
     return np.array([v or 0.0 for v in row]).reshape(a.rank, b.rank)
 
 
@@ -246,7 +259,12 @@ class Kruskal:
 
 
 def model_value(modes, weights) -> Column:
-    return reduce(lambda a, b: a + b, [product(modes, c) * float(w) for c, w in enumerate(weights)])
+    return F.expr(model_sql(modes, weights))
+
+
+def model_sql(modes, weights) -> str:
+    """Sum over components of the product of joined factor columns."""
+    return " + ".join(f"{number(w)} * {product_sql(modes, c)}" for c, w in enumerate(weights))
 
 
 def kruskal_cells(model: Kruskal, t: Tensor) -> DataFrame:
@@ -298,13 +316,15 @@ def beta_divergence(a: Column, b: Column, beta: float) -> Column:
     return (general - beta * a * F.pow(b, F.lit(beta - 1.0))) / (beta * (beta - 1.0))
 
 
+def tucker_sql(modes, core: np.ndarray) -> str:
+    terms = [f"{number(core[at])} * " + " * ".join(f"m{m}_{c}" for m, c in zip(modes, at))
+             for at in np.ndindex(*core.shape) if core[at] != 0]
+    return " + ".join(terms) or "0D"
+
+
 def tucker_value(modes, core: np.ndarray) -> Column:
     """Value of a Tucker model from joined factor columns and a small core."""
-    terms = []
-    for at in np.ndindex(*core.shape):
-        if core[at] != 0:
-            terms.append(reduce(mul, [F.col(f"m{m}_{c}") for m, c in zip(modes, at)]) * float(core[at]))
-    return reduce(lambda a, b: a + b, terms)
+    return F.expr(tucker_sql(modes, core))
 
 
 def tucker_cells(core: np.ndarray, factors: list[Factor], t: Tensor) -> DataFrame:
