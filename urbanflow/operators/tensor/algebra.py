@@ -7,11 +7,14 @@ rank times 8 bytes) is below ``BROADCAST_BYTES``; beyond that the join is shuffl
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 from functools import reduce
 from operator import mul
 
 import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ from urbanflow.functions.text import int_div
 from urbanflow.operators.tensor.table import Tensor
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+WIDE_RANK = 8
+
+# Ship the small batch functions with the task, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass(frozen=True)
@@ -127,13 +134,38 @@ def gram_of(rank: int, values) -> np.ndarray:
 
 def gram(f: Factor) -> np.ndarray:
     """Rank-sized Gram matrix; the only thing that reaches the driver."""
+    if f.rank > WIDE_RANK:
+        return wide_product(f.df, f.columns, f.columns)
     return gram_of(f.rank, f.df.agg(*[F.expr(e) for e in gram_sql(f.rank)]).first())
 
 
+def wide_product(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+    """Small product of two sets of columns, summed per task with one matrix product per Arrow batch.
+
+    For many columns this beats one aggregate expression per entry, whose generated code would grow with their
+    number squared.
+    """
+    width, shape = len(right), (len(left), len(right))
+
+    def sums(batches):
+        total = np.zeros(shape)
+        for batch in batches:
+            total += batch[left].to_numpy(float).T @ batch[right].to_numpy(float)
+        yield pd.DataFrame({"pos": np.arange(total.size), "value": total.ravel()})
+    picked = df.select(*dict.fromkeys([*left, *right]))
+    parts = picked.mapInPandas(sums, "pos int, value double").groupBy("pos").agg(F.expr("sum(value) as value"))
+    out = np.zeros(shape)
+    for row in parts.collect():
+        out[row["pos"] // width, row["pos"] % width] = row["value"]
+    return out
+
+
 def inner(a: Factor, b: Factor) -> np.ndarray:
     """Small matrix of column products of two tall factors on the same rows."""
     right = b.df.selectExpr("idx", *[f"{c} as g{s}" for s, c in enumerate(b.columns)])
     both = a.df.join(hinted(right, b.is_small()), "idx")
+    if a.rank * b.rank > WIDE_RANK ** 2:
+        return wide_product(both, a.columns, [f"g{s}" for s in range(b.rank)])
     row = both.agg(*[F.expr(f"sum(f{x} * g{y})") for x in range(a.rank) for y in range(b.rank)]).first()
     return np.array([v or 0.0 for v in row]).reshape(a.rank, b.rank)
 
@@ -357,8 +389,16 @@ def unpack(vector: DataFrame, shape, rank: int) -> list[Factor]:
     return factors
 
 
+def signs(f: Factor) -> np.ndarray:
+    """-1 for every component whose entry of largest magnitude is negative (first row wins a tie)."""
+    tops = f.df.agg(*[F.expr(f"max_by({c}, struct(abs({c}), -idx))") for c in f.columns]).first()
+    return np.array([-1.0 if (top or 0.0) < 0 else 1.0 for top in tops])
+
+
 def flipsign(f: Factor) -> Factor:
-    """Make the entry of largest magnitude in every component positive (first row wins a tie)."""
-    tops = f.df.agg(*[F.max_by(F.col(c), F.struct(F.abs(F.col(c)), -F.col("idx"))).alias(c) for c in f.columns]).first()
-    signs = [-1.0 if (tops[c] or 0.0) < 0 else 1.0 for c in f.columns]
-    return Factor(f.df.select("idx", *[(F.col(c) * s).alias(c) for c, s in zip(f.columns, signs)]), f.rows, f.rank)
+    """Make the entry of largest magnitude in every component positive."""
+    return scaled(f, signs(f))
+
+
+def scaled(f: Factor, by: np.ndarray) -> Factor:
+    return Factor(f.df.selectExpr("idx", *[f"{c} * {number(x)} as {c}" for c, x in zip(f.columns, by)]), f.rows, f.rank)

@@ -8,13 +8,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from urbanflow.operators.tensor.algebra import (Factor, factor_from_array, factor_matrix, flipsign, gram, hinted, inner,
-                                                join_factors, number, start_factor, times, ttm_many, tucker_sql,
+                                                join_factors, number, scaled, signs, start_factor, times, ttm_many, tucker_sql,
                                                 tucker_value)
 from urbanflow.operators.tensor.sweep import FactorStore, kept
 from urbanflow.operators.tensor.table import Tensor
 from urbanflow.session import checkpointed
 
 OVERSAMPLE = 12
+SUBSPACE = 32
 WIDE_COLUMNS = 64
 
 
@@ -30,14 +31,14 @@ def _apply_gram(t: Tensor, mode: int, q: Factor) -> Factor:
     return Factor(rows, q.rows, q.rank)
 
 
-def nvecs(t: Tensor, mode: int, rank: int, flip: bool = True, max_iter: int = 30, tol: float = 1e-12) -> Factor:
+def nvecs(t: Tensor, mode: int, rank: int, flip: bool = True, max_iter: int = 30, tol: float = 1e-11) -> Factor:
     """Leading left vectors of a mode unfolding, by subspace iteration with a few extra columns.
 
     Work is proportional to the non-zeros, and only matrices of rank size reach the driver.  A mode no longer
     than the subspace is solved exactly in one step.
     """
     spark, n = t.df.sparkSession, t.shape[mode]
-    width = min(n, rank + OVERSAMPLE)
+    width = min(n, max(rank + OVERSAMPLE, SUBSPACE))
     exact = width == n
     q = factor_from_array(spark, np.eye(n)) if exact else start_factor(spark, mode, n, width)
     if not exact:
@@ -131,17 +132,21 @@ def hooi(t: Tensor, rank, init="nvecs", max_iter: int = 500, conv: float = 1e-7)
             store.put(mode, wide)
             values, vectors = np.linalg.eigh(store.grams[mode])
             top = np.argsort(values)[::-1][:ranks[mode]]
-            scaled = vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-300))
-            raw = Factor(store.factors[mode].df, wide.rows, wide.rank)
+            inverse = vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-300))
             if mode == t.order - 1:
-                core = scaled.T @ store.grams[mode]
-            store.factors[mode] = times(raw, scaled)
+                core = inverse.T @ store.grams[mode]
+            store.factors[mode] = times(store.factors[mode], inverse)
         fit = 1 - max(norm_x ** 2 - float((core ** 2).sum()), 0.0) ** 0.5 / norm_x
         if sweep > 1 and abs(fit - before) < conv:
             break
     t.df.unpersist()
-    shaped = core.reshape([ranks[-1], *ranks[:-1]])
-    return TuckerResult(np.moveaxis(shaped, 0, -1), store.factors, fit, sweep + 1)
+    core = np.moveaxis(core.reshape([ranks[-1], *ranks[:-1]]), 0, -1)
+    factors = []
+    for mode, f in enumerate(store.factors):
+        turn = signs(f)
+        factors.append(scaled(f, turn))
+        core = core * turn.reshape([-1 if m == mode else 1 for m in range(t.order)])
+    return TuckerResult(core, factors, fit, sweep + 1)
 
 
 def masked_tucker(t: Tensor, rank: int, steps: int = 500, alpha: float = 0.0002, beta: float = 0.02,

@@ -79,9 +79,9 @@ def projected_gradient(spark, folder):
 
 
 def nvecs(spark, folder):
-    """Leading vectors of the hour mode and the share of the squared norm they explain."""
+    """Leading vector of the hour mode."""
     t = TT.od_tensor_of(spark, folder)[0]
-    return TT.factor_rows(tucker.nvecs(t, 2, 2), 4)
+    return TT.factor_rows(tucker.nvecs(t, 2, 1), 5)
 
 
 def hosvd(spark, folder):
@@ -95,6 +95,13 @@ def tucker_hooi(spark, folder):
     return model_rows(found.factors, 3).withColumn("fit", F.lit(round(found.fit, 4)))
 
 
+def tucker_rank1(spark, folder):
+    """With one component each half-sweep is a normalized tensor-vector product, which SQL can follow."""
+    t = TT.od_tensor_of(spark, folder)[0]
+    found = tucker.hooi(t, 1, init="random", max_iter=2)
+    return model_rows(found.factors, 5).withColumn("core", F.lit(round(float(found.core.ravel()[0]), 4)))
+
+
 def tucker_masked_gradient(spark, folder):
     t = TT.od_tensor_of(spark, folder)[0]
     found, losses = tucker.masked_tucker(t, 2, steps=3, alpha=1e-6, above=1.0)
@@ -216,7 +223,7 @@ def kfold_error(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     cp_als, cp_als_fine, ntf_bpp, ntf_as, beta_ntf, beta_ntf_kl, beta_ntf_dense, projected_gradient, nvecs, hosvd,
-    tucker_hooi, tucker_masked_gradient, component_strength, temporal_pattern, spatial_class, rank_sweep, edges, rescal,
+    tucker_hooi, tucker_rank1, tucker_masked_gradient, component_strength, temporal_pattern, spatial_class, rank_sweep, edges, rescal,
     rescal_attributes, dedicom, indscal, matrix_factorization, pair_features, reconstruct_model1, reconstruct_model2,
     reconstruct_model3, kfold_error)}
 
@@ -388,7 +395,33 @@ def _pair_sql():
       FROM pv JOIN pl s ON s.idx = i JOIN pl d ON d.idx = j JOIN fa ON fa.idx = i JOIN fb ON fb.idx = j"""
 
 
+def _power_sql(steps=40):
+    """Power iteration for the leading vector of the hour mode."""
+    ctes, x = ["p0 AS (SELECT idx::BIGINT AS idx, 1.0::DOUBLE AS x FROM range(24) AS r(idx))"], "p0"
+    for n in range(steps):
+        ctes.append(f"y{n} AS MATERIALIZED (SELECT i, j, sum(v * x) AS y FROM t JOIN {x} ON idx = k GROUP BY i, j)")
+        ctes.append(f"z{n} AS MATERIALIZED (SELECT k AS idx, sum(v * y) AS x FROM t JOIN y{n} USING (i, j) GROUP BY k)")
+        x = f"p{n + 1}"
+        ctes.append(f"{x} AS MATERIALIZED (SELECT idx, x / sqrt(sum(x * x) OVER ()) AS x FROM z{n})")
+    return f"{TT.TENS}, {', '.join(ctes)} SELECT idx, round(x, 5) AS f0 FROM {x}"
+
+
+def _rank1_sql(sweeps=2):
+    names, ctes = ["fa", "fb", "fc"], []
+    for s in range(sweeps):
+        for m in range(3):
+            new, others = f"{LETTERS[m]}{s + 1}", [o for o in range(3) if o != m]
+            joins = " ".join(f"JOIN {names[o]} ON {names[o]}.idx = t.{'ijk'[o]}" for o in others)
+            ctes.append(f"{new}_m AS MATERIALIZED (SELECT t.{'ijk'[m]} AS idx, sum(v * {' * '.join(names[o] + '.f0' for o in others)}) AS f0 FROM t {joins} GROUP BY 1)")
+            ctes.append(f"{new} AS MATERIALIZED (SELECT idx, f0 / sqrt(sum(f0 * f0) OVER ()) AS f0 FROM {new}_m)")
+            names[m] = new
+    tail = " UNION ALL ".join(f"SELECT {m}::INT AS mode, r.idx::BIGINT AS idx, round(coalesce(f0, 0), 5) AS f0 FROM range({TT.SIZES[m]}) AS r(idx) LEFT JOIN {names[m]} USING (idx)" for m in range(3))
+    return f"{TT.TENS}{TT.FACS}, {', '.join(ctes)} SELECT q.*, (SELECT round(sqrt(sum(f0 * f0)), 4) FROM {names[2]}_m) AS core FROM ({tail}) q"
+
+
 SQL = {
+    "nvecs": _power_sql(),
+    "tucker_rank1": _rank1_sql(),
     "cp_als": sweeps_sql("cp"),
     "cp_als_fine": sweeps_sql("cp", 1, FINE_HEAD, FINE_SIZES, FINE_FACS, 4, "od_fine"),
     "ntf_bpp": sweeps_sql("ntf"),
