@@ -34,3 +34,10 @@ def split_hot(df: DataFrame, key: str, threshold: int = HOT_ROWS) -> tuple[DataF
 def with_time_chunk(df: DataFrame, ts: str, seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Number the time slice of each row, so that a hot key spreads over many tasks."""
     return df.withColumn("chunk", F.floor(epoch_seconds(F.col(ts)) / seconds))
+
+
+def join_chunks(rows: DataFrame, per_chunk: DataFrame, key: str) -> DataFrame:
+    """Attach one row per (key, chunk) to the rows of that chunk; a NULL key matches itself."""
+    side = per_chunk.withColumnsRenamed({key: "side_key", "chunk": "side_chunk"})
+    same = F.col(key).eqNullSafe(F.col("side_key")) & F.col("chunk").eqNullSafe(F.col("side_chunk"))
+    return rows.join(side, same).drop("side_key", "side_chunk")

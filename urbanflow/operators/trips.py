@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from urbanflow.functions.geo import distance_compat
 from urbanflow.functions.text import epoch_seconds, is_tap_in
-from urbanflow.operators.skew import CHUNK_SECONDS, HOT_ROWS, split_hot, with_time_chunk
+from urbanflow.operators.skew import CHUNK_SECONDS, HOT_ROWS, join_chunks, split_hot, with_time_chunk
 
 
 def _pair(marks: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def metro_trips(taps: DataFrame, hot_rows: int = HOT_ROWS, chunk_seconds: int =
         F.max_by("enters", F.struct("ts", "event_id")).alias("last_enters"))
     by_chunk = Window.partitionBy("uid").orderBy("chunk")
     carried = last.select("uid", "chunk", F.lag("last_enters").over(by_chunk).alias("carried_enters"))
-    chunked = chunked.join(carried, ["uid", "chunk"])
+    chunked = join_chunks(chunked, carried, "uid")
     marks = _metro_marks(chunked, ["uid", "chunk"], F.col("carried_enters"))
     return cold_trips.unionByName(_pair_across_chunks(marks, "uid", payload))
 
@@ -89,9 +89,9 @@ def taxi_trips(pings: DataFrame, hot_rows: int = HOT_ROWS, chunk_seconds: int =
     by_chunk = Window.partitionBy("tid").orderBy("chunk")
     ends = ends.select("tid", "chunk", F.lag("last_occupied").over(by_chunk).alias("carried_before"),
                        F.lead("first_occupied").over(by_chunk).alias("carried_after"))
-    edges = _taxi_edges(chunked.join(ends, ["tid", "chunk"]), ["tid", "chunk"],
+    edges = _taxi_edges(join_chunks(chunked, ends, "tid"), ["tid", "chunk"],
                         F.col("carried_before"), F.col("carried_after"))
-    edges = edges.join(_carried_openings(edges), ["tid", "chunk"])
+    edges = join_chunks(edges, _carried_openings(edges), "tid")
     marks = _taxi_marks(edges, ["tid", "chunk"], F.col("carried_openings"))
     trips = cold_trips.unionByName(_pair_across_chunks(marks, "tid", payload))
 
@@ -132,7 +132,7 @@ def _carried_openings(edges: DataFrame) -> DataFrame:
     """Per key and chunk: openings since the last long run before the chunk (one small row per chunk)."""
     long_at = F.max(F.when(F.col("closes") & ~F.col("opens"), F.struct("ts", "event_id")))
     lasts = edges.groupBy("tid", "chunk").agg(long_at.alias("long_at"))
-    tail = edges.join(lasts, ["tid", "chunk"]).groupBy("tid", "chunk").agg(
+    tail = join_chunks(edges, lasts, "tid").groupBy("tid", "chunk").agg(
         F.sum(F.when(F.col("opens") & (F.col("long_at").isNull() | (F.struct("ts", "event_id") > F.col("long_at"))),
                      1).otherwise(0)).alias("tail"),
         F.max(F.col("long_at").isNotNull()).alias("settles"))
