@@ -71,7 +71,12 @@ def distance_compat(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> C
     a1, a2 = F.radians(lng1), F.radians(lng2)
     turn = F.cos(F.radians(lat1) - F.radians(lat2))
     cosine = F.sin(a1) * F.sin(a2) * turn + F.cos(a1) * F.cos(a2)
-    return F.round(F.lit(RADIUS_KM) * F.acos(F.least(cosine, F.lit(1.0))), 2)
+    return F.round(F.lit(RADIUS_KM) * F.acos(_at_most_one(cosine)), 2)
+
+
+def _at_most_one(value: Column) -> Column:
+    """Clamp from above; unlike a least-of, NULL stays NULL."""
+    return F.when(value > 1.0, F.lit(1.0)).otherwise(value)
 
 
 def haversine(lng1: Column, lat1: Column, lng2: Column, lat2: Column, radius: float = RADIUS_KM) -> Column:
@@ -79,4 +84,4 @@ def haversine(lng1: Column, lat1: Column, lng2: Column, lat2: Column, radius: fl
     half_lat = F.sin((F.radians(lat2) - F.radians(lat1)) / 2)
     half_lng = F.sin((F.radians(lng2) - F.radians(lng1)) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lng * half_lng
-    return F.lit(2.0 * radius) * F.asin(F.least(F.sqrt(chord), F.lit(1.0)))
+    return F.lit(2.0 * radius) * F.asin(_at_most_one(F.sqrt(chord)))
