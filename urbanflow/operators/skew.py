@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanflow.functions.text import epoch_seconds
+from urbanflow.session import checkpointed
 
 HOT_ROWS = 5_000_000
 CHUNK_SECONDS = 60
@@ -21,12 +22,16 @@ def hot_keys(df: DataFrame, key: str, threshold: int = HOT_ROWS) -> DataFrame:
     return counts.filter(F.col("hot_rows") >= threshold).select("hot_key")
 
 
-def split_hot(df: DataFrame, key: str, threshold: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Split into rows of ordinary keys and rows of hot keys; no row is lost.
+def split_hot(df: DataFrame, key: str, threshold: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Split into rows of ordinary keys and rows of hot keys (None without any); no row is lost.
 
-    With no hot key the second side is empty and adaptive execution drops everything built on it.
+    The check is one narrow pass made when the operator is called.  Found keys are written to the checkpoint
+    folder, so that both sides read the same list.
     """
-    hot = F.broadcast(hot_keys(df, key, threshold))
+    hot = hot_keys(df, key, threshold)
+    if hot.isEmpty():
+        return df, None
+    hot = F.broadcast(checkpointed(hot))
     same = F.col(key).eqNullSafe(F.col("hot_key"))
     return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 

@@ -163,7 +163,7 @@ def rescal(edges: DataFrame, entities: int, relations: int, rank: int, init="nve
             f = _added(f, attributes.join(z, ["l", "a"]).groupBy(F.expr("e as idx")).agg(
                 *[F.expr(f"sum(w * z{c}) as g{c}") for c in range(rank)]))
             e = e + z_gram
-        store.put(0, times(f, np.linalg.inv(lambda_a * np.eye(rank) + e)))
+        store.put(0, times(f, np.linalg.pinv(lambda_a * np.eye(rank) + e)))
         if orthogonalize:
             store.put(0, times(store.factors[0], _inverse_root(store.grams[0])))
         a, g = store.factors[0], store.grams[0]
@@ -197,7 +197,7 @@ def _attribute_factor(attributes: DataFrame | None, store: FactorStore, penalty:
     side = a.df.withColumnRenamed("idx", "e")
     raw = attributes.join(hinted(side, a.is_small()), "e").groupBy("l", "a").agg(
         *[F.expr(f"sum(w * {c}) as {c}") for c in a.columns])
-    solve = np.linalg.inv(store.grams[0] + penalty * np.eye(a.rank))
+    solve = np.linalg.pinv(store.grams[0] + penalty * np.eye(a.rank))
     out = [" + ".join(f"f{s} * {number(solve[s, c])}" for s in range(a.rank)) + f" as f{c}" for c in range(a.rank)]
     z = checkpointed(raw.selectExpr("l", "a", *out))
     g = gram_of(a.rank, z.agg(*[F.expr(x) for x in gram_sql(a.rank)]).first())

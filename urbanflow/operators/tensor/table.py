@@ -84,22 +84,25 @@ def read_points(t: Tensor, points: DataFrame) -> DataFrame:
     return points.join(summed, list(t.modes), "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
-def dense_index(names: DataFrame) -> DataFrame:
-    """Number distinct names 0, 1, ... in sort order without bringing them into one task.
+def numbered(df: DataFrame) -> DataFrame:
+    """Add a running number ``idx`` from 0 in partition order, without bringing the rows into one task.
 
-    Names are range-partitioned and numbered inside each partition; the partition offsets come from one row
-    per partition.  The numbering is checkpointed so that it is computed exactly once.
+    Rows are numbered inside their partition; the partition offsets come from one row per partition.  The
+    numbering is written to the checkpoint folder so that it is computed exactly once.
     """
-    spark = names.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = names.select("name").distinct().repartitionByRange(parts, "name").sortWithinPartitions("name")
     part = F.spark_partition_id()
     local = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
-    numbered = checkpointed(ranged.select("name", part.alias("part"), local.alias("pos")))
-    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    rows = checkpointed(df.select("*", part.alias("part"), local.alias("pos")))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    return numbered.join(F.broadcast(offsets), "part").select("name", (F.col("pos") + F.col("offset")).alias("idx"))
+    return rows.join(F.broadcast(offsets), "part").select(*df.columns, (F.col("pos") + F.col("offset")).alias("idx"))
+
+
+def dense_index(names: DataFrame) -> DataFrame:
+    """Number distinct names 0, 1, ... in sort order; names are sorted by range partitions."""
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbered(names.select("name").distinct().repartitionByRange(parts, "name").sortWithinPartitions("name"))
 
 
 def percent(t: Tensor) -> Tensor:

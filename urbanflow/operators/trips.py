@@ -50,6 +50,8 @@ def metro_trips(taps: DataFrame, hot_rows: int = HOT_ROWS, chunk_seconds: int =
     ordinary, hot = split_hot(taps, "uid", hot_rows)
     pairs = _pair(_metro_marks(ordinary, ["uid"], F.lit(None)), ["uid"], payload)
     cold_trips = _finish(pairs, "uid", payload)
+    if hot is None:
+        return cold_trips
 
     chunked = with_time_chunk(hot, "ts", chunk_seconds)
     last = chunked.groupBy("uid", "chunk").agg(
@@ -80,8 +82,17 @@ def taxi_trips(pings: DataFrame, hot_rows: int = HOT_ROWS, chunk_seconds: int =
     ordinary, hot = split_hot(pings, "tid", hot_rows)
     none = F.lit(None)
     marks = _taxi_marks(_taxi_edges(ordinary, ["tid"], none, none), ["tid"], F.lit(0))
-    cold_trips = _finish(_pair(marks, ["tid"], payload), "tid", payload)
+    trips = _finish(_pair(marks, ["tid"], payload), "tid", payload)
+    if hot is not None:
+        trips = trips.unionByName(_hot_taxi_trips(hot, payload, chunk_seconds))
+    secs = (epoch_seconds(F.col("ts1")) - epoch_seconds(F.col("ts0"))).cast("double")
+    km = distance_compat(F.col("lng0"), F.col("lat0"), F.col("lng1"), F.col("lat1"))
+    trips = trips.withColumns({"secs": secs, "km": km})
+    return trips.filter(F.col("secs").isNotNull() & F.col("km").isNotNull())
+
 
+def _hot_taxi_trips(hot: DataFrame, payload: list[str], chunk_seconds: int) -> DataFrame:
+    """Trips of hot keys: neighbours and parity at chunk borders come from one small row per chunk."""
     chunked = with_time_chunk(hot, "ts", chunk_seconds)
     at = F.struct("ts", "event_id")
     ends = chunked.groupBy("tid", "chunk").agg(F.min_by("occupied", at).alias("first_occupied"),
@@ -93,12 +104,7 @@ def taxi_trips(pings: DataFrame, hot_rows: int = HOT_ROWS, chunk_seconds: int =
                         F.col("carried_before"), F.col("carried_after"))
     edges = join_chunks(edges, _carried_openings(edges), "tid")
     marks = _taxi_marks(edges, ["tid", "chunk"], F.col("carried_openings"))
-    trips = cold_trips.unionByName(_pair_across_chunks(marks, "tid", payload))
-
-    secs = (epoch_seconds(F.col("ts1")) - epoch_seconds(F.col("ts0"))).cast("double")
-    km = distance_compat(F.col("lng0"), F.col("lat0"), F.col("lng1"), F.col("lat1"))
-    trips = trips.withColumns({"secs": secs, "km": km})
-    return trips.filter(F.col("secs").isNotNull() & F.col("km").isNotNull())
+    return _pair_across_chunks(marks, "tid", payload)
 
 
 def _taxi_edges(pings: DataFrame, keys: list[str], before: Column, after: Column) -> DataFrame:

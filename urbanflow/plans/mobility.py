@@ -134,6 +134,10 @@ def key_sample(spark, folder):
     return od.key_sample(V.table(spark, folder, "events"), "event_id", 100).select("event_id", "user_id", "event_type")
 
 
+def row_sample(spark, folder):
+    return od.row_sample(V.table(spark, folder, "events"), 0.1, 50).select("event_id", "user_id", "event_type")
+
+
 def _gravity_rows(spark, folder):
     counts, places = V.od_counts(spark, folder), V.locations(spark, folder)
     return gravity.gravity_rows(od.od_day_distance(counts, places), od.node_day_totals(counts, places), DAY)
@@ -159,7 +163,7 @@ QUERIES = {f.__name__: f for f in (
     metro_trips, metro_od_counts, production_attraction, taxi_trips, taxi_od_counts, taxi_production_attraction,
     grid_cells, grid_roundtrip, distance_compat, distance_haversine, od_counts, od_variability, hourly_rel_error,
     node_day_totals, od_day_distance, od_positions, location_profile, pair_profile, location_names,
-    daily_mean_missing, key_sample, gravity_by_station, gravity_tradeoff, gravity_global)}
+    daily_mean_missing, key_sample, row_sample, gravity_by_station, gravity_tradeoff, gravity_global)}
 
 # ---- SQL counterparts -----------------------------------------------------------------------------
 

@@ -180,6 +180,10 @@ def tensor_points(spark, folder):
     return TB.read_points(t, points)
 
 
+def tensor_sorted(spark, folder):
+    return TB.sorted_cells(_t(spark, folder))
+
+
 def holdout_mask(spark, folder):
     return TB.holdout(_t(spark, folder), 0.9).df
 
@@ -300,7 +304,7 @@ QUERIES = {f.__name__: f for f in (
     od_tensor, od_tensor_all, tensor_index, tensor_percent, tensor_threshold, tensor_hourly, tensor_marginals,
     tensor_histogram, accum_sum, accum_last, ttm_mode0, ttm_all_modes, ttv_all, ttv_vector, unfold_mode0, unfold_mode1,
     unfold_mode2, unfold_transposed, fold_roundtrip, tensor_transpose, khatri_rao, tensor_norm, tensor_innerprod,
-    tensor_diff, tensor_center, tensor_scale, tensor_concat, tensor_densify, tensor_points, holdout_mask, json_roundtrip,
+    tensor_diff, tensor_center, tensor_scale, tensor_concat, tensor_densify, tensor_points, tensor_sorted, holdout_mask, json_roundtrip,
     edge_slices, mttkrp_mode0, mttkrp_mode1, mttkrp_mode2, mttkrp_fine, factor_gram, kruskal_norm, kruskal_innerprod,
     kruskal_cells, component_cells, kruskal_mttkrp, rel_error, beta_divergence, tucker_cells, factor_pack, factor_unpack,
     flipsign)}
@@ -419,6 +423,7 @@ SQL = {
     "tensor_concat": f"{HEAD}, {all_sql('workdays', 'x')}, {all_sql('holidays', 'y')} SELECT * FROM x UNION ALL SELECT i, j, k + 24, v FROM y",
     "tensor_densify": f"{TENS}{GRID} SELECT * FROM dense",
     "tensor_points": f"{TENS}, {V.TAPS}, pt AS (SELECT DISTINCT uid % (SELECT size FROM n) AS i, (location % (SELECT size FROM n))::BIGINT AS j, event_id % 24 AS k FROM taps) SELECT i, j, k, coalesce(v, 0.0) AS v FROM pt LEFT JOIN t USING (i, j, k)",
+    "tensor_sorted": f"{TENS} SELECT * FROM t ORDER BY k, j, i",
     "holdout_mask": f"{TENS} SELECT * FROM t WHERE v <> 0 AND ((i * 7919 + j * 104729 + k * 1299709) % 1000003 * 7919) % 1000 < 900",
     "json_roundtrip": f"{TENS} SELECT * FROM t WHERE v <> 0",
     "edge_slices": f"{HEAD}, {all_sql('workdays', 't')} SELECT k, i AS s, j AS o, v FROM t",

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Recording the caller of every column expression costs more than planning these queries does.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanflow.functions.text import METRO_MODE, station_name
+from urbanflow.operators.tensor.table import numbered
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -79,13 +80,8 @@ def variability(spark: SparkSession, path, partitions: int | None = None) -> Dat
 
 
 def locations(spark: SparkSession, path) -> DataFrame:
-    """Location lookup with the "lng,lat" text form and a row number in file order.
-
-    The number comes from the order of the lines within one small lookup file.
-    """
-    raw = _csv(spark, path, "name string, lng_text string, lat_text string")
-    order = Window.orderBy(F.monotonically_increasing_id())
-    rows = raw.withColumn("idx", F.row_number().over(order) - 1)
+    """Location lookup with the "lng,lat" text form and a row number in file order."""
+    rows = numbered(_csv(spark, path, "name string, lng_text string, lat_text string"))
     return rows.select(F.trim("name").alias("name"), "idx", F.col("lng_text").try_cast("double").alias("lng"),
                        F.col("lat_text").try_cast("double").alias("lat"),
                        F.concat_ws(",", "lng_text", "lat_text").alias("lnglat"))
