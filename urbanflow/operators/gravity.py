@@ -7,16 +7,25 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanflow.functions.geo import distance_compat
+from urbanflow.operators.od import with_positions
+
 SINGULAR = 1e-12
 
 
-def gravity_rows(od_day: DataFrame, node_day: DataFrame, day: int) -> DataFrame:
-    """Pairs of one day with both node totals; pairs at distance zero are left out."""
-    nodes = node_day.filter(F.col("day") == day)
-    source = nodes.filter(F.col("role") == "src").select(F.col("name").alias("src"), F.col("count").alias("src_total"))
-    target = nodes.filter(F.col("role") == "dst").select(F.col("name").alias("dst"), F.col("count").alias("dst_total"))
-    pairs = od_day.filter((F.col("day") == day) & (F.col("dist") != 0))
-    return pairs.join(source, "src").join(target, "dst")
+def gravity_rows(counts: DataFrame, locations: DataFrame, day: int) -> DataFrame:
+    """Pairs of one day with distance and both node totals; pairs at distance zero are left out.
+
+    The day's pairs are aggregated once; pairs and both totals read the same shuffle, so the counts are not
+    scanned again for the totals.
+    """
+    pairs = counts.filter(F.col("day") == day).groupBy("src", "dst").agg(F.sum("cnt").alias("count"))
+    source = pairs.groupBy("src").agg(F.sum("count").alias("src_total"))
+    target = pairs.groupBy("dst").agg(F.sum("count").alias("dst_total"))
+    placed = with_positions(pairs, locations)
+    dist = distance_compat(F.col("src_lng"), F.col("src_lat"), F.col("dst_lng"), F.col("dst_lat"))
+    rows = placed.select("src", "dst", dist.alias("dist"), "count").filter(F.col("dist") != 0)
+    return rows.join(source, "src").join(target, "dst")
 
 
 def gravity_by_station(rows: DataFrame) -> DataFrame:

@@ -139,8 +139,7 @@ def row_sample(spark, folder):
 
 
 def _gravity_rows(spark, folder):
-    counts, places = V.od_counts(spark, folder), V.locations(spark, folder)
-    return gravity.gravity_rows(od.od_day_distance(counts, places), od.node_day_totals(counts, places), DAY)
+    return gravity.gravity_rows(V.od_counts(spark, folder), V.locations(spark, folder), DAY)
 
 
 def gravity_by_station(spark, folder):
