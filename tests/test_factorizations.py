@@ -127,6 +127,17 @@ def test_tucker_recovers_a_planted_core(spark):
     assert set(tucker.hosvd(dense(spark, y), ranks, dims=[1], compute_core=False)) == {1}
 
 
+def test_tucker_with_many_components(spark, monkeypatch):
+    """The long-table half-sweep gives the same model as the wide one."""
+    y = RNG.random((6, 5, 4))
+    wide = tucker.hooi(dense(spark, y), (2, 2, 2), max_iter=2)
+    monkeypatch.setattr(tucker, "WIDE_COLUMNS", 1)
+    long = tucker.hooi(dense(spark, y), (2, 2, 2), max_iter=2)
+    assert long.fit == pytest.approx(wide.fit, abs=1e-8) and np.allclose(long.core, wide.core, atol=1e-6)
+    for a, b in zip(wide.factors, long.factors):
+        assert np.allclose(factor_array(a), factor_array(b), atol=1e-6)
+
+
 def test_masked_tucker_loss_falls(spark):
     t = dense(spark, np.fromfunction(lambda i, j, k: 1 + i + 3 * j + 12 * k, (3, 4, 2)))
     found, losses = tucker.masked_tucker(t, 2, steps=6, alpha=1e-3)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from urbanflow.operators.tensor.algebra import (Factor, factor_from_array, factor_matrix, flipsign, gram, hinted, inner,
-                                                join_factors, number, scaled, signs, start_factor, times, ttm_many, tucker_sql,
+                                                join_factors, number, scaled, signs, start_factor, times, ttm, ttm_many, tucker_sql,
                                                 tucker_value)
 from urbanflow.operators.tensor.sweep import FactorStore, kept
 from urbanflow.operators.tensor.table import Tensor
@@ -126,21 +126,21 @@ def hooi(t: Tensor, rank, init="nvecs", max_iter: int = 500, conv: float = 1e-7)
     for sweep in range(max_iter):
         before = fit
         for mode in range(t.order):
-            wide = projected(t, store.factors, mode)
-            if wide.rank > WIDE_COLUMNS:
-                raise ValueError("the product of the other modes' ranks is too large for one row")
-            store.put(mode, wide)
+            if np.prod([ranks[m] for m in t.others(mode)]) > WIDE_COLUMNS:
+                core = _long_half_sweep(t, store, mode, ranks[mode])
+                continue
+            store.put(mode, projected(t, store.factors, mode))
             values, vectors = np.linalg.eigh(store.grams[mode])
             top = np.argsort(values)[::-1][:ranks[mode]]
             inverse = vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-300))
-            if mode == t.order - 1:
-                core = inverse.T @ store.grams[mode]
+            flat = inverse.T @ store.grams[mode]
+            others = [ranks[m] for m in t.others(mode)]
+            core = np.moveaxis(flat.reshape([-1, *others]), 0, mode)
             store.factors[mode] = times(store.factors[mode], inverse)
         fit = 1 - max(norm_x ** 2 - float((core ** 2).sum()), 0.0) ** 0.5 / norm_x
         if sweep > 1 and abs(fit - before) < conv:
             break
     t.df.unpersist()
-    core = np.moveaxis(core.reshape([ranks[-1], *ranks[:-1]]), 0, -1)
     factors = []
     for mode, f in enumerate(store.factors):
         turn = signs(f)
@@ -149,6 +149,19 @@ def hooi(t: Tensor, rank, init="nvecs", max_iter: int = 500, conv: float = 1e-7)
     return TuckerResult(core, factors, fit, sweep + 1)
 
 
+def _long_half_sweep(t: Tensor, store: FactorStore, mode: int, rank: int) -> np.ndarray:
+    """Half-sweep for many components: the projected tensor stays a long table instead of wide rows."""
+    matrices = {m: (factor_matrix(f), f.rank) for m, f in enumerate(store.factors) if m != mode}
+    small = ttm_many(t, matrices, transp=True)
+    small = small.with_df(checkpointed(small.df))
+    store.put(mode, nvecs(small, mode, rank))
+    cells = ttm(small, factor_matrix(store.factors[mode]), rank, mode, transp=True)
+    core = np.zeros(cells.shape)
+    for row in cells.df.collect():
+        core[tuple(int(row[m]) for m in t.modes)] = row["v"]
+    return core
+
+
 def masked_tucker(t: Tensor, rank: int, steps: int = 500, alpha: float = 0.0002, beta: float = 0.02,
                   epsilon: float = 1.0, above: float = 10.0) -> tuple[TuckerResult, list[float]]:
     """Tucker model fitted by gradient steps to the cells above a threshold only.
@@ -163,8 +176,9 @@ def masked_tucker(t: Tensor, rank: int, steps: int = 500, alpha: float = 0.0002,
     core = np.array([(c * 7919 % 101 + 1) / 102 for c in range(rank ** t.order)]).reshape([rank] * t.order)
     loss, step = _masked_loss(t, factors, core), 0
     losses = [loss]
+    gradients = _masked_gradients(t, factors, core)
     while step < steps and loss >= epsilon and alpha > 1e-12:
-        rows, core_grad = _masked_gradients(t, factors, core)
+        rows, core_grad = gradients
         trial_core = core - alpha * (core_grad + beta * core)
         trial = FactorStore(factors)
         for m, g in enumerate(rows):
@@ -178,6 +192,7 @@ def masked_tucker(t: Tensor, rank: int, steps: int = 500, alpha: float = 0.0002,
             factors, core, loss = trial.factors, trial_core, trial_loss
             losses.append(loss)
             alpha *= 1.2
+            gradients = _masked_gradients(t, factors, core)
         else:
             alpha /= 2
         step += 1
