@@ -113,4 +113,5 @@ def test_plan_has_one_shuffle_of_the_events(spark):
     out = io.StringIO()
     with redirect_stdout(out):
         trips.metro_trips(taps).explain()
-    assert "CartesianProduct" not in out.getvalue()
+    plan = out.getvalue()
+    assert plan.count("Exchange hashpartitioning") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
