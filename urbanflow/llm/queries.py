@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import bpe
+from urbanflow.llm import bpe, counts, exact, mixing, pii
 from urbanflow.llm.common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +21,36 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-SQL: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    text = exact.lower_ascii(F.coalesce("text", F.lit("")))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.sha2(text, 256).alias("text_sha256"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    numbers = [F.size(F.filter("base_spans", lambda s, k=kind: s.startswith(k + ":"))).cast("long").alias(f"n_{kind}")
+               for kind in pii.BASE]
+    return found.select("doc_id", *numbers, F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"),
+                        F.array_join("spans", ",").alias("spans"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_token_counts": op5_token_counts,
+           "op7_personal_data": op7_personal_data, "op10_source_mix": op10_source_mix}
+
+SQL = {"op2_exact_dedup": """
+    with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+               from documents)
+    select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+           doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+    from d"""}
