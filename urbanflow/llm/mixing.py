@@ -5,7 +5,8 @@ shared by weight; a target stops at ``cap`` times the words of its source, and w
 others by weight until no target is above.  Every document of a source is wanted target / size times: the whole
 part of that is allocated as certain copies, the fraction is the inclusion probability p of one copy more.  For
 that copy documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u a hash of the row in (0, 1), and taken in that
-order until the words reach what the source still needs; the last one is taken if that comes nearer.
+order while they fit into what the source still needs; of the others, the one whose size comes nearest to the rest is
+taken if that is nearer than nothing.
 
 No source is ever sorted in one task: two histograms of ``BINS`` bins find the bin in which the target is reached,
 and only the rows of that bin, about one in ``BINS`` squared, are put in order.
@@ -63,7 +64,7 @@ def _bin(nth: int):
 
 
 def _cut(ranked: DataFrame) -> DataFrame:
-    """Per source the rank up to which documents get one copy more, and whether the one at that rank does."""
+    """Per source the rank below which documents get one copy more, and the rank of one document that fills the rest."""
     def inside(rows: DataFrame, edge: DataFrame, nth: int) -> DataFrame:
         other = edge.withColumnRenamed("source", "edge_source")
         joined = rows.join(other, F.col("source").eqNullSafe(F.col("edge_source"))).where(f"bin = edge{nth}")
@@ -76,9 +77,14 @@ def _cut(ranked: DataFrame) -> DataFrame:
     running = F.sum("words").over(Window.partitionBy("source").orderBy("rank"))
     open_before = F.col("needed") - (running - F.col("words"))
     reached = last.withColumn("open", open_before).where("open > 0")
-    return reached.groupBy("source").agg(F.max(F.struct("rank", "open", "words")).alias("at")).select(
-        F.col("source").alias("cut_source"), F.col("at.rank").alias("cut"),
-        F.expr("at.words - at.open <= at.open").alias("cut_taken"))
+    edge = checkpointed(reached.groupBy("source").agg(F.max(F.struct("rank", "open")).alias("at")).select(
+        F.col("source").alias("cut_source"), F.col("at.rank").alias("cut"), F.col("at.open").alias("open")))
+    # What is open is less than the document at the edge holds: of those from there on, take the one that fits best.
+    same = F.col("source").eqNullSafe(F.col("cut_source"))
+    fits = ranked.join(edge, same).where("rank >= cut").groupBy("cut_source").agg(
+        F.min(F.struct(F.abs(F.col("size") - F.col("open")).alias("miss"), "rank")).alias("best"), F.first("cut").alias("cut"),
+        F.first("open").alias("open"))
+    return fits.select("cut_source", "cut", F.expr("case when best.miss < open then best.rank end").alias("filler"))
 
 
 def _ranked(rows: DataFrame, hash_col: str, source_col: str, goals: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     cuts = checkpointed(_cut(ranked.select("source", "size", "needed", "rank")))
     goals = goals.join(cuts, F.col("goal_source").eqNullSafe(F.col("cut_source")), "left")
     found = _ranked(rows, "hash", "source", checkpointed(goals.drop("cut_source")))
-    more = (F.col("size") > 0) & ((F.col("rank") < F.col("cut")) | (F.col("rank") == F.col("cut")) & F.col("cut_taken"))
+    more = (F.col("size") > 0) & ((F.col("rank") < F.col("cut")) | F.col("rank").eqNullSafe(F.col("filler")))
     copies = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")
     return found.select(*[F.col(f"in{n}").alias(c) for n, c in enumerate(kept)], "size", "source_size", "target",
                         copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

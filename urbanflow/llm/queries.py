@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import bpe, counts, exact, mixing, pii
-from urbanflow.llm.common import documents
+from urbanflow.llm import bpe, counts, exact, mixing, pii, quality, rules
+from urbanflow.llm.common import documents, labels
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Score from which a document counts as good.
+THRESHOLD = 0.3
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.sha2(text, 256).alias("text_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = quality.score(docs, quality.train(docs, labels(spark, sf_dir)))
+    return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+                        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -40,13 +49,21 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("spans", ",").alias("spans"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                        "kept", "score")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_token_counts": op5_token_counts,
-           "op7_personal_data": op7_personal_data, "op10_source_mix": op10_source_mix}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality,
+           "op5_token_counts": op5_token_counts,
+           "op7_personal_data": op7_personal_data, "op9_quality_rules": op9_quality_rules,
+           "op10_source_mix": op10_source_mix}
 
 SQL = {"op2_exact_dedup": """
     with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
