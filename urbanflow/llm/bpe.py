@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +48,20 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self._edges: dict[int, int] = {}
+        self._children: list[dict[int, int]] = [{}]
         self._token_at: list[int] = [-1]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                step = node << 8 | byte
-                if step not in self._edges:
-                    self._edges[step] = len(self._token_at)
+                below = self._children[node]
+                if byte not in below:
+                    below[byte] = len(self._token_at)
                     self._token_at.append(-1)
-                node = self._edges[step]
+                    self._children.append({})
+                node = below[byte]
             self._token_at[node] = rank
+        leaf: dict[int, int] = {}
+        self._children = [below or leaf for below in self._children]
         self._history = Memo(lambda key: self._edge_history(*key), 2 * len(ranks))
         self._compatible = Memo(self._merges_to_itself, PAIR_LIMIT)
         self._reset()
@@ -116,23 +120,33 @@ class Transducer:
         return True
 
     def _determinise(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        moved, boundary = [], None
+        walks, boundary, children = [], None, self._children
         for node, before, waiting in self._states[state]:
-            child = self._edges.get(node << 8 | byte)
+            child = children[node].get(byte)
             if child is None:
                 continue
-            moved.append((child, before, waiting))
             token = self._token_at[child]
             if boundary is None and token >= 0 and self._compatible[before, token]:
                 boundary = (0, token, (*waiting, token))
+            if children[child]:
+                walks.append((child, before, waiting))
         if boundary is None:
             raise ValueError("the vocabulary lacks a single byte")
-        walks = [*moved, boundary]
-        agreed, shortest = 0, min(len(w[2]) for w in walks)
-        while agreed < shortest and len({w[2][agreed] for w in walks}) == 1:
-            agreed += 1
-        emitted = boundary[2][:agreed]
-        following = tuple((node, before, waiting[agreed:]) for node, before, waiting in walks)
+        walks.append(boundary)
+        emitted = boundary[2]
+        for walk in walks:
+            agreed = 0
+            for ours, theirs in zip(emitted, walk[2]):
+                if ours != theirs:
+                    break
+                agreed += 1
+            emitted = emitted[:agreed]
+            if not emitted:
+                break
+        else:
+            agreed = len(emitted)
+            walks = [(node, before, waiting[agreed:]) for node, before, waiting in walks]
+        following = tuple(walks)
         number = self._numbers.get(following)
         if number is None:
             number = self._numbers[following] = len(self._states)
@@ -190,13 +204,9 @@ class Utf8Stream:
 
 def decode_stream(ids: Iterable[int], tokens: dict[int, bytes], chunk: int = DECODE_CHUNK) -> Iterator[str]:
     """Texts that become certain while ids arrive; they join to the decoded text."""
-    stream, waiting = Utf8Stream(), []
-    for i in ids:
-        waiting.append(tokens[i])
-        if len(waiting) >= chunk:
-            yield stream.feed(b"".join(waiting))
-            waiting.clear()
-    yield stream.feed(b"".join(waiting))
+    stream = Utf8Stream()
+    for some in batched(ids, chunk):
+        yield stream.feed(b"".join(map(tokens.__getitem__, some)))
     yield stream.close()
 
 
@@ -206,6 +216,8 @@ _MADE: dict = {}
 def _once(key: tuple, make):
     """One encoder or vocabulary per Python worker, shared by the tasks it runs."""
     if key not in _MADE:
+        # The tables hold millions of small tuples and no cycles; the collector would walk them again and again.
+        gc.set_threshold(1_000_000, 20, 100)
         _MADE[key] = make()
     return _MADE[key]
 
@@ -213,9 +225,9 @@ def _once(key: tuple, make):
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the token ids of ``text_col`` as an array of int."""
 
-    def compute(texts: list) -> list:
+    def compute(texts: pa.Array) -> list:
         encoder = _once(("encode", path, pattern), lambda: TextEncoder(path, pattern))
-        found = [encoder.encode(text) for text in texts]
+        found = [encoder.encode(text) for text in texts.to_pylist()]
         ends = np.cumsum([0, *map(len, found)])
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))]
 
@@ -225,8 +237,10 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text that the ids of ``ids_col`` stand for."""
 
-    def compute(rows: list) -> list:
+    def compute(rows: pa.ListArray) -> list:
         tokens = _once(("decode", path), lambda: {rank: token for token, rank in read_ranks(path).items()})
-        return [["".join(decode_stream(ids or (), tokens)) for ids in rows]]
+        rows = rows.fill_null([]) if rows.null_count else rows
+        ids, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
+        return [["".join(decode_stream(ids[a:b].tolist(), tokens)) for a, b in zip(ends, ends[1:])]]
 
     return append_columns(df, ids_col, [(text_col, T.StringType())], compute)

@@ -56,10 +56,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def append_columns(df: DataFrame, source: str, added: list[tuple[str, T.DataType]],
-                   compute: Callable[[list], list[list]]) -> DataFrame:
+                   compute: Callable[[pa.Array], list]) -> DataFrame:
     """``df`` with columns that ``compute`` makes from the values of column ``source`` of one Arrow batch.
 
-    ``compute`` gets the values as a list and returns one list (or Arrow array) per added column.  Columns of
+    ``compute`` gets the values as an Arrow array and returns one list or array per added column.  Columns of
     ``df`` with the name of an added one are replaced.
     """
     small_batches(df.sparkSession)
@@ -73,7 +73,7 @@ def append_columns(df: DataFrame, source: str, added: list[tuple[str, T.DataType
         for batch in batches:
             if not batch.num_rows:
                 continue
-            made = compute(batch.column(len(kept)).to_pylist())
+            made = compute(batch.column(len(kept)))
             arrays = [m if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*kept, *[n for n, _ in added]])
 

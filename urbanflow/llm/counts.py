@@ -17,6 +17,7 @@ import os
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,10 +106,10 @@ _MADE: dict[str, Counter] = {}
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int = 512) -> DataFrame:
     """``df`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens)."""
 
-    def compute(texts: list) -> list:
+    def compute(texts: pa.Array) -> list:
         if path not in _MADE:
             _MADE[path] = Counter(path)
-        return [_MADE[path].counts(texts)]
+        return [_MADE[path].counts(texts.to_pylist())]
 
     counted = append_columns(df, text_col, [("n_tokens", T.LongType())], compute)
     return counted.withColumns({"n_bytes": F.coalesce(F.octet_length(quoted(text_col)), F.lit(0)).cast("long"),

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -153,11 +154,11 @@ _MADE: list = []
 def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``base_spans`` and ``spans``: arrays of ``kind:start:end``, by kind as listed, then by start."""
 
-    def compute(texts: list) -> list:
+    def compute(texts: pa.Array) -> list:
         if not _MADE:
             _MADE.append(_anchors())
         base, every = [], []
-        for text in texts:
+        for text in texts.to_pylist():
             found = find_spans(text, _MADE[0]) if text else {}
             lines = {kind: [f"{kind}:{a}:{b}" for a, b in found.get(kind, ())] for kind in KINDS}
             base.append([line for kind in BASE for line in lines[kind]])

@@ -150,10 +150,10 @@ _MADE: list[Features] = []
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """``df`` with ``score`` from 0 to 1."""
 
-    def compute(texts: list) -> list:
+    def compute(texts: pa.Array) -> list:
         if not _MADE:
             _MADE.append(Features())
-        vectors = (_MADE[0].vector(text) for text in texts)
+        vectors = (_MADE[0].vector(text) for text in texts.to_pylist())
         return [logistic(np.array([float(weights[at] @ x) for at, x in vectors]) + weights[-1]).tolist()]
 
     return append_columns(df, text_col, [("score", T.DoubleType())], compute)
