@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import bpe, counts, exact, mixing, pii, quality, rules
+from urbanflow.llm import bpe, counts, exact, mixing, pii, quality, rules, simhash
 from urbanflow.llm.common import documents, labels
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,6 +41,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     numbers = [F.size(F.filter("base_spans", lambda s, k=kind: s.startswith(k + ":"))).cast("long").alias(f"n_{kind}")
@@ -62,7 +68,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality,
            "op5_token_counts": op5_token_counts,
-           "op7_personal_data": op7_personal_data, "op9_quality_rules": op9_quality_rules,
+           "op6_simhash": op6_simhash, "op7_personal_data": op7_personal_data, "op9_quality_rules": op9_quality_rules,
            "op10_source_mix": op10_source_mix}
 
 SQL = {"op2_exact_dedup": """
