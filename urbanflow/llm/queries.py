@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import bpe, counts, exact, mixing, pii, quality, rules, simhash
+from urbanflow.llm import bpe, counts, exact, mixing, packing, pii, quality, rules, simhash
 from urbanflow.llm.common import documents, labels
+from urbanflow.session import ensure_checkpoint_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +39,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/packed-{uuid.uuid4().hex}"
+    packing.write(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER, folder)
+    found = packing.read(spark, folder)
+    return found.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -67,7 +77,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality,
-           "op5_token_counts": op5_token_counts,
+           "op4_packed_ids": op4_packed_ids, "op5_token_counts": op5_token_counts,
            "op6_simhash": op6_simhash, "op7_personal_data": op7_personal_data, "op9_quality_rules": op9_quality_rules,
            "op10_source_mix": op10_source_mix}
 
