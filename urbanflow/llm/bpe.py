@@ -19,7 +19,7 @@ import base64
 import codecs
 import gc
 from collections.abc import Iterable, Iterator
-from itertools import batched, chain
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from urbanflow.llm.common import Memo, append_columns
 
-STATE_LIMIT = 120_000
-PIECE_LIMIT = 200_000
+STATE_LIMIT = 200_000
+PIECE_LIMIT = 600_000
 PAIR_LIMIT = 400_000
 NEVER = 1 << 60
 #: Ids joined to bytes at a time when decoding.
@@ -154,7 +154,7 @@ class Transducer:
         self._steps[state << 8 | byte] = found = (number, emitted)
         return found
 
-    def encode(self, text: bytes) -> tuple[int, ...]:
+    def encode(self, text: bytes) -> list[int]:
         out: list[int] = []
         state, steps = 0, self._steps
         for byte in text:
@@ -173,7 +173,7 @@ class Transducer:
                 out.extend(step[1])
         if text:
             out.extend(self._states[state][-1][2])
-        return tuple(out)
+        return out
 
 
 class TextEncoder:
@@ -183,10 +183,10 @@ class TextEncoder:
         import regex
         self._split = regex.compile(pattern).findall
         machine = Transducer(read_ranks(path))
-        self._pieces = Memo(lambda piece: machine.encode(piece.encode()), PIECE_LIMIT)
+        self._pieces = Memo(lambda piece: np.array(machine.encode(piece.encode()), "<i4").tobytes(), PIECE_LIMIT)
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self._pieces.__getitem__, self._split(text or ""))), np.int32)
+        return np.frombuffer(b"".join(map(self._pieces.__getitem__, self._split(text or ""))), "<i4")
 
 
 class Utf8Stream:

@@ -92,15 +92,38 @@ def word_array(text: Column) -> Column:
 
 
 class Memo(dict):
-    """A dictionary that computes missing values and starts anew when it is full, so that memory stays bounded."""
+    """A dictionary that computes missing values and keeps about the ``limit`` values used last.
 
-    def __init__(self, compute: Callable, limit: int):
+    Values live in two generations of half the limit each: when the young one is full it becomes the old one, and
+    what is then asked for again moves back.
+    """
+
+    def __init__(self, compute: Callable | None, limit: int):
         super().__init__()
-        self._compute, self._limit = compute, limit
+        self._compute, self._half, self._old = compute, max(1, limit // 2), {}
 
-    def __missing__(self, key):
-        value = self._compute(key)
-        if len(self) >= self._limit:
+    def _age(self) -> None:
+        if len(self) >= self._half:
+            self._old = dict(self)
             self.clear()
+
+    def __missing__(self, key):
+        value = self._old.get(key)
+        if value is None:
+            value = self._compute(key)
+        self._age()
         self[key] = value
         return value
+
+    def absent(self, keys: set) -> list:
+        """Those of ``keys`` without a value; the others have theirs until the next call."""
+        self._age()
+        found, old = [], self._old
+        for key in keys:
+            if key not in self:
+                value = old.get(key)
+                if value is None:
+                    found.append(key)
+                else:
+                    self[key] = value
+        return found

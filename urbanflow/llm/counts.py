@@ -16,16 +16,17 @@ import json
 import os
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import SAFE_PIECE, append_columns, quoted
+from urbanflow.llm.common import SAFE_PIECE, Memo, append_columns, quoted
 
 CALL_BYTES = 1 << 18
-KNOWN_LIMIT = 300_000
+KNOWN_LIMIT = 1_000_000
 
 
 class Library:
@@ -74,14 +75,12 @@ def _cutter(definition: dict) -> Callable[[str], list[str]]:
 class Counter:
     def __init__(self, path: str):
         self._library = Library(path)
-        self._known: dict[str, int] = {}
+        self._known = Memo(None, KNOWN_LIMIT)
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """The number of tokens of each text of a batch."""
-        if len(self._known) > KNOWN_LIMIT:
-            self._known.clear()
         known, parts = self._known, [self._library.cut(text) if text else [] for text in texts]
-        unknown = sorted({p for cut in parts for p in cut if p not in known}, key=len, reverse=True)
+        unknown = sorted(known.absent(set(chain.from_iterable(parts))), key=len, reverse=True)
         for call in by_bytes(unknown, CALL_BYTES):
             known.update(zip(call, self._library.lengths(call)))
         return [sum(map(known.__getitem__, cut)) for cut in parts]

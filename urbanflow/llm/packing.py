@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import quoted, small_batches
+from urbanflow.llm.common import Memo, quoted, small_batches
 from urbanflow.llm.counts import CALL_BYTES, Library, by_bytes
 
 SHARD_IDS = 1 << 19
 #: Rounds of replacing, the least count of a pair, and the share of symbols that a round must save to go on.
 ROUNDS, LEAST, GAIN = 6, 8, 0.02
 COUNT_BITS = 20
-KNOWN_LIMIT = 500_000
+KNOWN_LIMIT = 1_000_000
 
 FILE_SCHEMA = ("part int, shard int, start bigint, doc_ids array<bigint>, doc_ends array<bigint>, base bigint, rules binary, "
                "lengths binary, symbols binary")
@@ -127,17 +127,15 @@ class Encoder:
     def __init__(self, path: str):
         self._library = Library(path)
         self.size = self._library.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._known: dict[str, list[int]] = {}
+        self._known = Memo(None, KNOWN_LIMIT)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self._known) > KNOWN_LIMIT:
-            self._known.clear()
         known, parts = self._known, [self._library.cut(text) if text else [] for text in texts]
-        unknown = sorted({p for cut in parts for p in cut if p not in known}, key=len, reverse=True)
+        unknown = sorted(known.absent(set(chain.from_iterable(parts))), key=len, reverse=True)
         for call in by_bytes(unknown, CALL_BYTES):
             found = self._library.tokenizer.encode_batch_fast(call, add_special_tokens=False)
-            known.update((part, tuple(e.ids)) for part, e in zip(call, found))
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, cut)), np.uint32) for cut in parts]
+            known.update((part, np.array(e.ids, "<u4").tobytes()) for part, e in zip(call, found))
+        return [np.frombuffer(b"".join(map(known.__getitem__, cut)), "<u4") for cut in parts]
 
 
 _MADE: dict[str, Encoder] = {}
