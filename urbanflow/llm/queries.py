@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import bpe, counts, exact, mixing, packing, pii, quality, rules, simhash
+from urbanflow.llm import bpe, counts, exact, mixing, packing, passages, pii, quality, rules, simhash
 from urbanflow.llm.common import documents, labels
 from urbanflow.session import ensure_checkpoint_dir
 
@@ -53,18 +53,23 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"),
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"),
                         "component_id")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
-    numbers = [F.size(F.filter("base_spans", lambda s, k=kind: s.startswith(k + ":"))).cast("long").alias(f"n_{kind}")
+    numbers = [F.expr(f"cast(size(filter(base_spans, s -> startswith(s, '{kind}:'))) as bigint)").alias(f"n_{kind}")
                for kind in pii.BASE]
     return found.select("doc_id", *numbers, F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"),
                         F.array_join("spans", ",").alias("spans"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -77,9 +82,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality,
-           "op4_packed_ids": op4_packed_ids, "op5_token_counts": op5_token_counts,
-           "op6_simhash": op6_simhash, "op7_personal_data": op7_personal_data, "op9_quality_rules": op9_quality_rules,
-           "op10_source_mix": op10_source_mix}
+           "op4_packed_ids": op4_packed_ids, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash,
+           "op7_personal_data": op7_personal_data, "op8_passages": op8_passages,
+           "op9_quality_rules": op9_quality_rules, "op10_source_mix": op10_source_mix}
 
 SQL = {"op2_exact_dedup": """
     with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t

@@ -111,14 +111,22 @@ def _through_the_middle(members: DataFrame, bits: int) -> DataFrame:
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                    bits: int = BITS, long_list: int = LONG_LIST) -> DataFrame:
-    """(id, simhash, component_id), one row per row of ``df``: the smallest id that links lead to."""
-    rows = checkpointed(fingerprints(df.select(quoted(id_col), quoted(text_col)), text_col, shingle)
-                        .select(quoted(id_col).alias("id"), "simhash"))
+    """The columns of ``df`` without the text, one row per row, with ``simhash``, ``group_root`` and ``component_id``.
+
+    ``group_root`` is the smallest fingerprint that links lead to, ``component_id`` the smallest id.
+    """
+    result = ["simhash", "group_root", "component_id"]
+    kept = [c for c in df.columns if c.lower() not in result and c != text_col]
+    # Columns of the input go by number until the end, so that no name clashes.
+    numbered = df.select(*[quoted(c).alias(f"in{n}") for n, c in enumerate(kept)], quoted(id_col).alias("id"),
+                         quoted(text_col).alias("text"))
+    rows = checkpointed(fingerprints(numbered, "text", shingle).drop("text"))
     classes = checkpointed(rows.groupBy("simhash").agg(F.min("id").alias("first"))
                            .select(F.col("simhash").alias("f"), "first"))
     roots = components(links(classes.select("f"), bits, long_list))
     rooted = classes.join(roots.withColumnRenamed("node", "f"), "f", "left").select(
-        "f", "first", F.coalesce("root", "f").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = checkpointed(rooted.select("f", "root").join(names, "root").select("f", "component_id"))
-    return rows.join(named, rows["simhash"] == named["f"], "left").select("id", "simhash", "component_id")
+        "f", "first", F.coalesce("root", "f").alias("group_root"))
+    names = rooted.groupBy("group_root").agg(F.min("first").alias("component_id"))
+    named = checkpointed(rooted.select("f", "group_root").join(names, "group_root"))
+    found = rows.join(named, F.col("simhash") == F.col("f"), "left")
+    return found.select(*[F.col(f"in{n}").alias(c) for n, c in enumerate(kept)], *result)
