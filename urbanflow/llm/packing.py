@@ -53,11 +53,14 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         left, right = symbols[:-1], symbols[1:]
         slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - COUNT_BITS)
         counts = np.bincount(slot, minlength=1 << COUNT_BITS).astype(np.int32)[slot]
-        # A pair is replaced where it is more frequent than the pairs that overlap it; of equal ones, the first.
+        # A pair is replaced where no overlapping pair is more frequent; in a run of equally frequent ones, every other.
         best = counts >= LEAST
-        best[1:] &= counts[1:] > counts[:-1]
+        best[1:] &= counts[1:] >= counts[:-1]
         best[:-1] &= counts[:-1] >= counts[1:]
         at = np.flatnonzero(best)
+        head = np.ones(len(at), bool)
+        head[1:] = at[1:] != at[:-1] + 1
+        at = at[(at - at[head][np.cumsum(head) - 1]) % 2 == 0] if len(at) else at
         pairs, which, seen = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at],
                                        return_inverse=True, return_counts=True)
         often = seen >= LEAST
