@@ -115,7 +115,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     cuts = checkpointed(_cut(ranked.select("source", "size", "needed", "rank")))
     goals = goals.join(cuts, F.col("goal_source").eqNullSafe(F.col("cut_source")), "left")
     found = _ranked(rows, "hash", "source", checkpointed(goals.drop("cut_source")))
-    more = (F.col("size") > 0) & ((F.col("rank") < F.col("cut")) | F.col("rank").eqNullSafe(F.col("filler")))
+    more = (F.col("size") > 0) & F.coalesce((F.col("rank") < F.col("cut")) | (F.col("rank") == F.col("filler")), F.lit(False))
     copies = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")
     return found.select(*[F.col(f"in{n}").alias(c) for n, c in enumerate(kept)], "size", "source_size", "target",
                         copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
