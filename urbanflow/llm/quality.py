@@ -126,7 +126,7 @@ def _one_round(rows: DataFrame, state: Ftrl) -> Ftrl:
         if own is not None:
             yield result()
 
-    ordered = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn")
+    ordered = rows.repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", "turn")
     found = ordered.mapInArrow(run, "z binary, n binary").collect()
     if not found:
         return state
