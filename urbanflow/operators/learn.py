@@ -12,6 +12,7 @@ from urbanflow.functions.geo import haversine
 from urbanflow.functions.text import int_div
 from urbanflow.operators.tensor.algebra import Factor, hinted
 from urbanflow.operators.tensor.table import Tensor, dense_index
+from urbanflow.session import checkpointed
 
 HOURS = 24
 
@@ -76,7 +77,11 @@ def _assembled(rows: DataFrame, names: list[str], name: str) -> DataFrame:
 
 
 def with_folds(pairs: DataFrame, n_folds: int) -> DataFrame:
-    """Contiguous folds over the pairs in (i, j) order; the first folds take one pair more if needed."""
+    """Contiguous folds over the pairs in (i, j) order; the first folds take one pair more if needed.
+
+    The pairs are written once, and the result too, because every fold reads them for training and for prediction.
+    """
+    pairs = checkpointed(pairs)
     order = F.struct("i", "j")
     index = dense_index(pairs.select(order.alias("name"))).select("name.i", "name.j", "idx")
     total = index.count()
@@ -84,7 +89,7 @@ def with_folds(pairs: DataFrame, n_folds: int) -> DataFrame:
     border = (size + 1) * extra
     fold = F.when(F.col("idx") < border, int_div(F.col("idx"), F.lit(size + 1))).otherwise(
         extra + int_div(F.col("idx") - border, F.lit(max(size, 1))))
-    return pairs.join(index, ["i", "j"]).withColumn("fold", fold.cast("int")).drop("idx")
+    return checkpointed(pairs.join(index, ["i", "j"]).withColumn("fold", fold.cast("int")).drop("idx"))
 
 
 def reconstruct(train: DataFrame, test: DataFrame, model: str, learner_name: str = "gbt", **options) -> DataFrame:

@@ -22,27 +22,39 @@ def _band(lat: Column, height: float) -> Column:
     return F.floor((lat + 90.0) / F.lit(height)).cast("int")
 
 
-def _band_width(band: Column, height: float) -> Column:
-    """Cell width in degrees that covers the radius anywhere in the band and its two neighbours."""
+def _cells_around(band: Column, height: float) -> Column:
+    """How many cells a band has around the globe, each as wide as the radius anywhere in the band and its neighbours.
+
+    A band from whose neighbourhood the radius reaches a pole is one cell.
+    """
     south = F.abs((band - 1).cast("double") * height - 90.0)
     north = F.abs((band + 2).cast("double") * height - 90.0)
-    steepest = F.least(F.greatest(south, north), F.lit(89.0))
-    return F.lit(height * 1.001) / F.cos(F.radians(steepest))
+    steepest = F.greatest(south, north)
+    reach = F.lit(math.sin(math.radians(height))) / F.cos(F.radians(steepest))
+    width = F.degrees(F.asin(reach)) * 1.001
+    return F.when((steepest >= 90.0) | (reach >= 1.0), 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 / width))).cast("long")
+
+
+def _cell(lng: Column, cells: Column) -> Column:
+    """The cell of a longitude; 180 degrees east and west are the same place."""
+    return F.pmod(F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / 360.0 * cells), cells).cast("long")
 
 
 def radius_pairs(points: DataFrame, centers: DataFrame, radius_m: float) -> DataFrame:
     """Points within ``radius_m`` of centers, by an equi-join on cells at least one radius wide.
 
-    Each center (the small side) is repeated for its nine neighbouring cells; points keep one cell.  Nothing is
-    broadcast by hand: a small center table is broadcast by its measured size, a large one is shuffled, and
-    adaptive execution splits a crowded cell.  ``points``: lng, lat, ...; ``centers``: name, clng, clat.
+    Cells go around the globe and over the poles.  Each center (the small side) is repeated for its nine neighbouring
+    cells at most; points keep one cell.  Nothing is broadcast by hand: a small center table is broadcast by its
+    measured size, a large one is shuffled, and adaptive execution splits a crowded cell.  ``points``: lng, lat, ...;
+    ``centers``: name, clng, clat.
     """
     height = math.degrees(radius_m / geo.QUERY_RADIUS_M) * 1.000001
     cells = points.withColumn("cy", _band(F.col("lat"), height))
-    cells = cells.withColumn("cx", F.floor(F.col("lng") / _band_width(F.col("cy"), height)).cast("long"))
+    cells = cells.withColumn("cx", _cell(F.col("lng"), _cells_around(F.col("cy"), height)))
     near = centers.withColumn("cy", F.explode(F.array(*[_band(F.col("clat"), height) + d for d in (-1, 0, 1)])))
-    middle = F.floor(F.col("clng") / _band_width(F.col("cy"), height)).cast("long")
-    near = near.withColumn("cx", F.explode(F.array(*[middle + d for d in (-1, 0, 1)])))
+    around = _cells_around(F.col("cy"), height)
+    middle = _cell(F.col("clng"), around)
+    near = near.withColumn("cx", F.explode(F.array_distinct(F.array(*[F.pmod(middle + d, around) for d in (-1, 0, 1)]))))
     meters = geo.haversine(F.col("clng"), F.col("clat"), F.col("lng"), F.col("lat"), geo.QUERY_RADIUS_M)
     joined = cells.join(near, ["cy", "cx"]).withColumn("meters", meters)
     return joined.filter(F.col("meters") <= radius_m).drop("cy", "cx")

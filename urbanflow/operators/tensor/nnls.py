@@ -17,6 +17,8 @@ from pyspark import cloudpickle
 from urbanflow.operators.tensor.algebra import Factor, hinted
 
 TINY = 1e-12
+#: Condition number from which a block is solved by least squares of smallest norm.
+ILL = 1e14
 
 # Ship the small solvers with the task, so that workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,24 +32,42 @@ def solve_on_sets(gram: np.ndarray, right: np.ndarray, passive: np.ndarray) -> n
         if pattern.any():
             members = np.flatnonzero(which.reshape(-1) == p)
             block = gram[np.ix_(pattern, pattern)]
-            try:
-                solved = np.linalg.solve(block, right[np.ix_(members, pattern)].T)
-            except np.linalg.LinAlgError:
-                solved = np.linalg.lstsq(block, right[np.ix_(members, pattern)].T, rcond=None)[0]
+            wanted = right[np.ix_(members, pattern)].T
+            if np.linalg.cond(block) < ILL:
+                solved = np.linalg.solve(block, wanted)
+            else:
+                solved = np.linalg.lstsq(block, wanted, rcond=1 / ILL)[0]
             out[np.ix_(members, pattern)] = solved.T
     return out
 
 
+def tolerances(gram: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What counts as 0 for the entries of each row's solution and for its gradient."""
+    size = np.abs(right).max(axis=1, keepdims=True)
+    return TINY * size / max(gram.diagonal().max(), 1e-300), 100 * TINY * size
+
+
+def objective(gram: np.ndarray, right: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", 0.5 * (x @ gram) - right, x)
+
+
 def block_pivoting(gram: np.ndarray, right: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Swap whole infeasible sets while that helps, else only the largest infeasible index."""
+    """Swap whole infeasible sets while that helps, else only the largest infeasible index.
+
+    Swapping can go round in circles on nearly dependent columns; rows that are open after a number of rounds that
+    regular rows never need go to the active-set solver, which cannot.
+    """
     count, rank = right.shape
+    if not count:
+        return np.zeros_like(right)
+    zero_x, zero_dual = tolerances(gram, right)
     passive = np.zeros((count, rank), bool) if start is None else start > 0
     best, budget = np.full(count, rank + 1), np.full(count, 3)
     x = solve_on_sets(gram, right, passive)
     todo = np.arange(count)
     for _ in range(5 * rank + 1):
         dual = x[todo] @ gram - right[todo]
-        wrong = np.where(passive[todo], x[todo] < -TINY, dual < -TINY)
+        wrong = np.where(passive[todo], x[todo] < -zero_x[todo], dual < -zero_dual[todo])
         open_rows = wrong.any(axis=1)
         todo, wrong = todo[open_rows], wrong[open_rows]
         if not len(todo):
@@ -62,21 +82,28 @@ def block_pivoting(gram: np.ndarray, right: np.ndarray, start: np.ndarray | None
         single[np.arange(len(todo)), last] = True
         passive[todo] ^= np.where((improves | spends)[:, None], wrong, single)
         x[todo] = solve_on_sets(gram, right[todo], passive[todo])
-    x[x < TINY] = 0.0
-    return x
+    if len(todo):
+        x[todo] = active_set(gram, right[todo])
+    return np.where(x < zero_x, 0.0, x)
 
 
 def active_set(gram: np.ndarray, right: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Add the most promising index when feasible; otherwise step back to the border and drop one."""
+    """Add the most promising index when feasible; otherwise step back to the border and drop one.
+
+    Runs until no row is open.  An index whose addition lowers the objective by nothing is left out until another
+    one does lower it, so no row comes back to a set it has had.
+    """
     count, rank = right.shape
     x = np.zeros_like(right) if start is None else np.where(start > 0, start, 0.0)
-    passive = x > 0
+    if not count:
+        return x
+    zero_x, zero_dual = tolerances(gram, right)
+    passive, barred = x > 0, np.zeros((count, rank), bool)
+    added, reached = np.full(count, -1), np.full(count, np.inf)
     todo = np.arange(count)
-    for _ in range(10 * rank + 1):
-        if not len(todo):
-            break
+    while len(todo):
         z = solve_on_sets(gram, right[todo], passive[todo])
-        below = passive[todo] & (z < -TINY)
+        below = passive[todo] & (z < -zero_x[todo])
         leaves = below.any(axis=1)
         back, ahead = todo[leaves], todo[~leaves]
         if len(back):
@@ -84,20 +111,30 @@ def active_set(gram: np.ndarray, right: np.ndarray, start: np.ndarray | None = N
             ratio = np.where(negative, move / np.where(negative, move - zb, 1.0), np.inf)
             drop = ratio.argmin(axis=1)
             share = ratio.min(axis=1)[:, None]
-            x[back] = np.maximum(move + share * (zb - move), 0.0)
+            x[back] = np.where(passive[back], np.maximum(move + share * (zb - move), 0.0), 0.0)
             x[back, drop] = 0.0
             passive[back, drop] = False
         finished = np.zeros(0, int)
         if len(ahead):
-            x[ahead] = np.maximum(z[~leaves], 0.0)
-            dual = np.where(passive[ahead], np.inf, x[ahead] @ gram - right[ahead])
+            now = np.maximum(z[~leaves], 0.0)
+            value = objective(gram, right[ahead], now)
+            best = reached[ahead]
+            gains = np.isinf(best) | (value < best - 1e-14 * np.abs(np.where(np.isinf(best), 0.0, best)))
+            stuck = ~gains & (added[ahead] >= 0)
+            barred[ahead[gains]] = False
+            barred[ahead[stuck], added[ahead[stuck]]] = True
+            x[ahead[gains]] = now[gains]
+            reached[ahead[gains]] = value[gains]
+            # Back to the set of the best solution so far, where the last addition did not help.
+            passive[ahead[stuck]] = x[ahead[stuck]] > 0
+            dual = np.where(passive[ahead] | barred[ahead], np.inf, x[ahead] @ gram - right[ahead])
             worst = dual.argmin(axis=1)
-            grows = dual.min(axis=1) < -TINY * 10
+            grows = (dual.min(axis=1) < -zero_dual[ahead, 0])
             passive[ahead[grows], worst[grows]] = True
+            added[ahead[grows]] = worst[grows]
             finished = ahead[~grows]
         todo = np.setdiff1d(todo, finished, assume_unique=True)
-    x[x < TINY] = 0.0
-    return x
+    return np.where(x < zero_x, 0.0, x)
 
 
 SOLVERS = {"anls_bpp": block_pivoting, "anls_asgroup": active_set}

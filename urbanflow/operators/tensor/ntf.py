@@ -55,12 +55,13 @@ def _row_products(f: Factor, g: Factor) -> float:
 
 
 def ntf(t: Tensor, rank: int, method: str = "anls_bpp", tol: float = 1e-4, stop_criterion: int = 1, min_iter: int = 20,
-        max_iter: int = 200, max_time: float = 1e6, init: list[Factor] | None = None,
+        max_iter: int = 200, max_time: float | None = None, init: list[Factor] | None = None,
         order_ways: list[int] | None = None) -> NTFResult:
     """Alternate over the modes, solving all rows of one factor exactly given the others.
 
     Stop rules after ``min_iter`` sweeps: (1) projected gradient relative to the first gradient, (2) change of the
-    relative error, (3) relative error below 1.
+    relative error, (3) relative error below 1.  ``max_time`` (seconds) ends the fit too; without it the result does
+    not depend on the machine.
     """
     t = kept(t)
     spark = t.df.sparkSession
@@ -82,7 +83,7 @@ def ntf(t: Tensor, rank: int, method: str = "anls_bpp", tol: float = 1e-4, stop_
             store.put(mode, nnls_rows(right, store.hadamard(mode), method, warm))
         if sweep < min_iter:
             continue
-        if time.time() - began > max_time:
+        if max_time is not None and time.time() - began > max_time:
             break
         if stop_criterion == 1:
             criterion = gradient_norm(t, store.factors, store.grams, True) / first
@@ -107,21 +108,15 @@ def _rel_error(t: Tensor, store: FactorStore, norm_x: float) -> float:
     return rel_frobenius(norm_x, max(model_sq, 0.0) ** 0.5, product_xm)
 
 
-MAX_DENSE_CELLS = 10_000_000_000
-
-
 def beta_ntf(t: Tensor, rank: int, beta: float = 2, n_iter: int = 50, fixed_factors: tuple[int, ...] = (),
              eps: float = 1e-15, weights: Tensor | None = None, init: list[Factor] | None = None) -> NTFResult:
     """Nonnegative CP by multiplicative updates.
 
     Divergences with beta 2 and 1 and no weights read the non-zeros only: their denominators come from Gram
-    matrices and from column sums.  Every other case needs all cells and is refused beyond
-    ``MAX_DENSE_CELLS`` of them.
+    matrices and from column sums.  Every other case needs all cells; they are generated in the tasks that use them.
     """
     spark = t.df.sparkSession
     sparse = weights is None and beta in (1, 2)
-    if not sparse and t.cells() > MAX_DENSE_CELLS:
-        raise ValueError("this divergence needs every cell, and the tensor has too many")
     data = kept(t) if sparse else kept(_weighted(densify(t), weights))
     store = FactorStore(init or [start_factor(spark, m, n, rank) for m, n in enumerate(t.shape)])
     store.grams = [gram(f) for f in store.factors]

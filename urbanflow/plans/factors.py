@@ -11,6 +11,7 @@ from urbanflow.operators.tensor import cp, ntf, relational, tucker
 from urbanflow.operators.tensor import table as TB
 from urbanflow.plans import mobility
 from urbanflow.plans import places as PP
+from urbanflow.plans.sweeps import LETTERS, _gram_sql, _half_sweep
 from urbanflow.plans import tensors as TT
 from urbanflow.plans import views as V
 
@@ -111,17 +112,17 @@ def tucker_masked_gradient(spark, folder):
 
 def component_strength(spark, folder):
     t = TT.od_tensor_of(spark, folder)[0]
-    return TT.rounded(patterns.component_strength(TT.start(spark, t, 3)), "strength", digits=4)
+    return TT.rounded(patterns.component_strength(TT.fitted(t)), "strength", digits=3)
 
 
 def temporal_pattern(spark, folder):
     t = TT.od_tensor_of(spark, folder)[0]
-    return TT.rounded(patterns.temporal_pattern(A.mttkrp(t, TT.start(spark, t, 3), 2)), "value", digits=4)
+    return TT.rounded(patterns.temporal_pattern(TT.fitted(t)[2]), "value", digits=4)
 
 
 def spatial_class(spark, folder):
     t, index = TT.od_tensor_of(spark, folder)
-    rows = patterns.spatial_pattern(A.mttkrp(t, TT.start(spark, t, 3), 0), t, 0, index)
+    rows = patterns.spatial_pattern(TT.fitted(t)[0], t, 0, index)
     return TT.rounded(rows, "total", digits=4)
 
 
@@ -187,7 +188,7 @@ MIN_VOLUME = 15
 
 def _pairs(spark, folder):
     t, index = TT.od_tensor_of(spark, folder)
-    factors = TT.start(spark, t)
+    factors = TT.fitted(t)
     known = places.normalized_features(PP._radius_counts(spark, folder), FEATURES)
     table = index.join(V.locations(spark, folder), "name").join(known, "name")
     return learn.pair_features(t, factors[0], factors[1], table, FEATURES, MIN_VOLUME)
@@ -200,9 +201,8 @@ def pair_features(spark, folder):
 
 
 def _reconstruct(spark, folder, model):
-    pairs = learn.with_folds(_pairs(spark, folder), 2)
-    rows = learn.reconstruct(pairs.filter("fold = 0"), pairs.filter("fold = 1"), model, maxIter=2, maxDepth=3)
-    return rows
+    """Shares of every pair and hour, predicted by trees that have not seen the pair's fold."""
+    return learn.kfold(_pairs(spark, folder), model, 2).drop("fold")
 
 
 def reconstruct_model1(spark, folder):
@@ -230,43 +230,6 @@ QUERIES = {f.__name__: f for f in (
 # ---- SQL counterparts -----------------------------------------------------------------------------
 # Two components allow closed forms, so whole sweeps can be written as a chain of common table expressions.
 
-LETTERS = "abc"
-
-
-def _gram_sql(name, a, b):
-    return f"(SELECT sum(f{a} * f{b}) FROM {name})"
-
-
-def _half_sweep(kind, mode, names, new, sweep, keys="ijk", base="t", extra=None):
-    """CTEs that compute factor ``new`` of one mode from the current factors."""
-    others = [m for m in range(3) if m != mode]
-    x, y = (names[m] for m in others)
-    value = f"{base}.v" if extra is None else extra
-    joins = " ".join(f"JOIN {names[m]} ON {names[m]}.idx = {base}.{keys[m]}" for m in (others if extra is None else range(3)))
-    sums = ", ".join(f"sum(({value}) * {x}.f{c} * {y}.f{c}) AS m{c}" for c in range(2))
-    out = [f"{new}_m AS MATERIALIZED (SELECT {base}.{keys[mode]} AS idx, {sums} FROM {base} {joins} GROUP BY 1)"]
-    h = {ab: f"{_gram_sql(x, *ab)} * {_gram_sql(y, *ab)}" for ab in ((0, 0), (0, 1), (1, 1))}
-    out.append(f"{new}_h AS MATERIALIZED (SELECT {h[0, 0]} AS h00, {h[0, 1]} AS h01, {h[1, 1]} AS h11)")
-    free = "(m0 * h11 - m1 * h01) / (h00 * h11 - h01 * h01) AS u0, (m1 * h00 - m0 * h01) / (h00 * h11 - h01 * h01) AS u1"
-    if kind == "cp":
-        out.append(f"{new}_u AS MATERIALIZED (SELECT idx, {free} FROM {new}_m, {new}_h)")
-        size = "sqrt(sum(u{c} * u{c}))" if sweep == 0 else "greatest(max(u{c}), 1.0)"
-        out.append(f"{new}_l AS MATERIALIZED (SELECT {size.format(c=0)} AS l0, {size.format(c=1)} AS l1 FROM {new}_u)")
-        out.append(f"{new} AS MATERIALIZED (SELECT idx, u0 / l0 AS f0, u1 / l1 AS f1 FROM {new}_u, {new}_l)")
-    elif kind == "ntf":
-        out.append(f"{new}_u AS MATERIALIZED (SELECT idx, m0, m1, h00, h01, h11, {free} FROM {new}_m, {new}_h)")
-        first = "h01 * greatest(m0 / h00, 0) - m1 >= 0"
-        out.append(f"""{new} AS MATERIALIZED (SELECT idx, CASE WHEN u0 >= 0 AND u1 >= 0 THEN u0 WHEN {first} THEN greatest(m0 / h00, 0) ELSE 0 END AS f0,
-          CASE WHEN u0 >= 0 AND u1 >= 0 THEN u1 WHEN {first} THEN 0 ELSE greatest(m1 / h11, 0) END AS f1 FROM {new}_u)""")
-    elif kind == "beta2":
-        out.append(f"{new} AS MATERIALIZED (SELECT o.idx, f0 * (1e-15 + coalesce(m0, 0)) / (1e-15 + f0 * h00 + f1 * h01) AS f0, f1 * (1e-15 + coalesce(m1, 0)) / (1e-15 + f0 * h01 + f1 * h11) AS f1 FROM {names[mode]} o LEFT JOIN {new}_m USING (idx), {new}_h)")
-    elif kind == "beta1":
-        d = [f"(SELECT sum(f{c}) FROM {x}) * (SELECT sum(f{c}) FROM {y})" for c in range(2)]
-        out.append(f"{new} AS MATERIALIZED (SELECT o.idx, " + ", ".join(
-            f"f{c} * (1e-15 + coalesce(m{c}, 0)) / (1e-15 + {d[c]}) AS f{c}" for c in range(2))
-            + f" FROM {names[mode]} o LEFT JOIN {new}_m USING (idx))")
-    return out
-
 
 def _model(names):
     return " + ".join("*".join(f"{n}.f{c}" for n in names) for c in range(2))
@@ -371,8 +334,7 @@ def indscal_sql():
     return f"{EDGE_HEAD}, {', '.join(ctes)} SELECT idx::BIGINT AS idx, round(f0, 5) AS f0, round(f1, 5) AS f1 FROM {a}"
 
 
-FACS3 = ", " + ", ".join(TT.factor_sql(m, 3) for m in range(3))
-_share = [f"f{c} / (f0 + f1 + f2) - (sum(f{c}) OVER ()) / (sum(f0 + f1 + f2) OVER ())" for c in range(3)]
+_share = [f"f{c} / (f0 + f1) - (sum(f{c}) OVER ()) / (sum(f0 + f1) OVER ())" for c in range(2)]
 
 
 def _weights_sql():
@@ -388,7 +350,7 @@ def _pair_sql():
     cols = ", ".join(f"round(s.x{n}, 5) AS sx{n}, round(d.x{n}, 5) AS dx{n}" for n in range(len(FEATURES)))
     dist = V.haversine_sql("s.lng", "s.lat", "d.lng", "d.lat", "6400.0")
     near = PP.NEAR.replace(V.LOCATIONS + ", ", "", 1)
-    return f"""{TT.TENS}{TT.FACS}, {near.replace(V.LOCATIONS + ',', '')}, nf AS (SELECT name, {nf} FROM rc),
+    return f"""{TT.TENS}{TT.FITTED}, {near.replace(V.LOCATIONS + ',', '')}, nf AS (SELECT name, {nf} FROM rc),
       pl AS (SELECT idx, lng, lat, nf.* FROM names JOIN locations USING (name) JOIN nf USING (name)),
       pv AS (SELECT i, j, round(sum(v), 5) AS volume, {ys} FROM t WHERE i <> j GROUP BY i, j HAVING sum(v) >= {MIN_VOLUME})
       SELECT pv.*, round({dist} / 1000, 5) AS dist, {', '.join(f'round(fa.f{c}, 5) AS sf{c}, round(fb.f{c}, 5) AS df{c}' for c in range(2))}, {cols}
@@ -433,12 +395,12 @@ SQL = {
       hh AS (SELECT {', '.join(f"(SELECT sum(f{a} * f{b}) FROM fb) * (SELECT sum(f{a} * f{b}) FROM fc) AS h{a}{b}" for a in range(2) for b in range(2))}),
       gd AS (SELECT fa.idx, fa.f0 AS x0, fa.f1 AS x1, fa.f0 * h00 + fa.f1 * h10 - coalesce(mk.f0, 0) AS g0, fa.f0 * h01 + fa.f1 * h11 - coalesce(mk.f1, 0) AS g1 FROM fa LEFT JOIN mk USING (idx), hh)
       SELECT idx, round(CASE WHEN g0 < 0 OR x0 > 0 THEN g0 ELSE 0 END, 4) AS f0, round(CASE WHEN g1 < 0 OR x1 > 0 THEN g1 ELSE 0 END, 4) AS f1 FROM gd""",
-    "component_strength": f"{TT.TENS}{FACS3} " + " UNION ALL ".join(f"SELECT {c}::INT AS component, round((SELECT sum(f{c}) FROM fa) * (SELECT sum(f{c}) FROM fb) * (SELECT sum(f{c}) FROM fc), 4) AS strength" for c in range(3)),
-    "temporal_pattern": f"""{TT.TENS}{FACS3}, mk AS ({TT.mttkrp_sql(2, rank=3)}), {_weights_sql()},
-      cv AS ({' UNION ALL '.join(f"SELECT {c}::INT AS component, idx, f{c} * 100.0 / max(f{c}) OVER () AS value FROM mk" for c in range(3))})
+    "component_strength": f"{TT.TENS}{TT.FITTED} " + " UNION ALL ".join(f"SELECT {c}::INT AS component, round((SELECT sum(f{c}) FROM fa) * (SELECT sum(f{c}) FROM fb) * (SELECT sum(f{c}) FROM fc), 3) AS strength" for c in range(2)),
+    "temporal_pattern": f"""{TT.TENS}{TT.FITTED}, {_weights_sql()},
+      cv AS ({' UNION ALL '.join(f"SELECT {c}::INT AS component, idx, f{c} * 100.0 / max(f{c}) OVER () AS value FROM fc" for c in range(2))})
       SELECT component, step, round(sum(value * w), 4) AS value FROM cv JOIN ws USING (idx) GROUP BY ALL""",
-    "spatial_class": f"""{TT.TENS}{FACS3}, mk AS ({TT.mttkrp_sql(0, rank=3)}), sh AS (SELECT idx, {', '.join(f'{x} AS s{c}' for c, x in enumerate(_share))} FROM mk),
-      cl AS (SELECT idx, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END::INT AS class FROM sh),
+    "spatial_class": f"""{TT.TENS}{TT.FITTED}, sh AS (SELECT idx, {', '.join(f'{x} AS s{c}' for c, x in enumerate(_share))} FROM fa),
+      cl AS (SELECT idx, CASE WHEN s0 >= s1 THEN 0 ELSE 1 END::INT AS class FROM sh),
       mg AS (SELECT i AS idx, sum(v) AS total FROM t GROUP BY i)
       SELECT name, idx::BIGINT AS idx, class, round(total, 4) AS total, trunc(0.99::DOUBLE * (total - min(total) OVER ()) / (max(total) OVER () - min(total) OVER ()) * 20)::INT AS bucket FROM cl JOIN mg USING (idx) JOIN names USING (idx)""",
     "edges": f"{EDGE_HEAD} SELECT k::INT AS k, s, o, 1.0::DOUBLE AS v FROM e",

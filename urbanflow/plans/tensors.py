@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from urbanflow.operators import od
 from urbanflow.operators.tensor import algebra as A
-from urbanflow.operators.tensor import build
+from urbanflow.operators.tensor import build, ntf
 from urbanflow.operators.tensor import table as TB
 from urbanflow.plans import mobility
 from urbanflow.plans import views as V
+from urbanflow.plans.sweeps import LETTERS, _half_sweep
 from urbanflow.sources import writers
 
 RANK = 2
+#: Sweeps of the nonnegative model whose factors the pattern, feature and Kruskal queries read.
+FIT_SWEEPS = 20
 
 
 def od_tensor_of(spark, folder, day_type="workdays"):
@@ -36,6 +39,12 @@ def start(spark, t, rank=RANK):
     return [A.start_factor(spark, m, n, rank) for m, n in enumerate(t.shape)]
 
 
+def fitted(t, sweeps=FIT_SWEEPS):
+    """Factors of the nonnegative model after a fixed number of sweeps, every row present."""
+    found = ntf.ntf(t, RANK, "anls_bpp", stop_criterion=2, min_iter=sweeps, max_iter=sweeps)
+    return [A.all_rows(f) for f in found.model.factors]
+
+
 def _vector(spark, t, mode):
     return A.start_factor(spark, mode, t.shape[mode], 1).df.withColumnRenamed("f0", "w")
 
@@ -139,7 +148,7 @@ def tensor_transpose(spark, folder):
 
 def khatri_rao(spark, folder):
     t = _t(spark, folder)
-    return factor_rows(A.khatri_rao(start(spark, t)[:2]), 8)
+    return factor_rows(A.khatri_rao(fitted(t)[:2]), 4)
 
 
 def tensor_norm(spark, folder):
@@ -225,7 +234,7 @@ def mttkrp_fine(spark, folder):
 
 def factor_gram(spark, folder):
     t = _t(spark, folder)
-    rows = [(m, a, b, round(float(g[a, b]), 8)) for m, g in enumerate(A.gram(f) for f in start(spark, t))
+    rows = [(m, a, b, round(float(g[a, b]), 4)) for m, g in enumerate(A.gram(f) for f in fitted(t))
             for a in range(RANK) for b in range(RANK)]
     return spark.createDataFrame(rows, "mode int, a int, b int, v double")
 
@@ -234,9 +243,13 @@ def _model(spark, t):
     return A.Kruskal(start(spark, t), np.array([2.0, 3.0]))
 
 
+def _fitted_model(t):
+    return A.Kruskal(fitted(t), np.array([2.0, 3.0]))
+
+
 def kruskal_norm(spark, folder):
     t = _t(spark, folder)
-    return spark.createDataFrame([(round(_model(spark, t).norm(), 5),)], "norm double")
+    return spark.createDataFrame([(round(_fitted_model(t).norm(), 4),)], "norm double")
 
 
 def kruskal_innerprod(spark, folder):
@@ -257,7 +270,7 @@ def component_cells(spark, folder):
 def kruskal_mttkrp(spark, folder):
     t = _t(spark, folder)
     other = [A.start_factor(spark, m + 3, n, RANK) for m, n in enumerate(t.shape)]
-    return factor_rows(A.kruskal_mttkrp(_model(spark, t), other, 1), 5)
+    return factor_rows(A.kruskal_mttkrp(_fitted_model(t), other, 1), 3)
 
 
 def rel_error(spark, folder):
@@ -285,19 +298,19 @@ def tucker_cells(spark, folder):
 
 def factor_pack(spark, folder):
     t = _t(spark, folder)
-    return rounded(A.pack(start(spark, t)), "value", digits=8)
+    return rounded(A.pack(fitted(t)), "value", digits=4)
 
 
 def factor_unpack(spark, folder):
     t = _t(spark, folder)
-    return factor_rows(A.unpack(A.pack(start(spark, t)), t.shape, RANK)[1], 8)
+    return factor_rows(A.unpack(A.pack(fitted(t)), t.shape, RANK)[1], 4)
 
 
 def flipsign(spark, folder):
     t = _t(spark, folder)
-    f = A.start_factor(spark, 0, t.shape[0], RANK)
-    shifted = f.df.select("idx", *[(F.col(c) - 0.7).alias(c) for c in f.columns])
-    return factor_rows(A.flipsign(A.Factor(shifted, f.rows, f.rank)), 8)
+    f = fitted(t)[0]
+    shifted = f.df.select("idx", *[(F.col(c) - 2.0).alias(c) for c in f.columns])
+    return factor_rows(A.flipsign(A.Factor(shifted, f.rows, f.rank)), 4)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -340,6 +353,23 @@ def factor_sql(mode, rank=RANK, shift=0, name=None):
 
 
 FACS = ", " + ", ".join(factor_sql(m) for m in range(3))
+
+
+def fitted_sql(sweeps=FIT_SWEEPS):
+    """fa, fb, fc: the factors after the sweeps of :func:`fitted`, every row present."""
+    names = ["start_a", "start_b", "start_c"]
+    ctes = [factor_sql(m, name=names[m]) for m in range(3)]
+    for s in range(sweeps):
+        for m in range(3):
+            new = f"w{LETTERS[m]}{s}"
+            ctes += _half_sweep("ntf", m, names, new, s)
+            names[m] = new
+    ctes += [f"f{LETTERS[m]} AS MATERIALIZED (SELECT r.idx::BIGINT AS idx, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1 "
+             f"FROM range({SIZES[m]}) AS r(idx) LEFT JOIN {names[m]} USING (idx))" for m in range(3)]
+    return ", " + ", ".join(ctes)
+
+
+FITTED = fitted_sql()
 GRID = f", grid AS (SELECT a.i::BIGINT AS i, b.j::BIGINT AS j, c.k::BIGINT AS k FROM range({SIZES[0]}) AS a(i), range({SIZES[1]}) AS b(j), range(24) AS c(k)), dense AS (SELECT i, j, k, coalesce(v, 0.0) AS v FROM grid LEFT JOIN t USING (i, j, k))"
 KEYS = "ijk"
 FN = ("fa", "fb", "fc")
@@ -365,7 +395,7 @@ _tucker = " + ".join(f"{CORE[a, b, c]}::DOUBLE * fa.f{a} * fb.f{b} * fc.f{c}" fo
 
 
 def _gram_rows():
-    return " UNION ALL ".join(f"SELECT {m} AS mode, {a} AS a, {b} AS b, round(sum(f{a} * f{b}), 8) AS v FROM {FN[m]}"
+    return " UNION ALL ".join(f"SELECT {m} AS mode, {a} AS a, {b} AS b, round(sum(f{a} * f{b}), 4) AS v FROM {FN[m]}"
                               for m in range(3) for a in range(RANK) for b in range(RANK))
 
 
@@ -373,7 +403,7 @@ def _knorm():
     w = (2.0, 3.0)
     parts = [f"{w[a] * w[b]}::DOUBLE * " + " * ".join(f"(SELECT sum(f{a} * f{b}) FROM {FN[m]})" for m in range(3))
              for a in range(2) for b in range(2)]
-    return f"SELECT round(sqrt({' + '.join(parts)}), 5) AS norm"
+    return f"SELECT round(sqrt({' + '.join(parts)}), 4) AS norm"
 
 
 def _kmttkrp():
@@ -381,14 +411,14 @@ def _kmttkrp():
     cols = []
     for c in range(2):
         terms = [f"{w[s]}::DOUBLE * fb.f{s} * (SELECT sum(fa.f{s} * ga.f{c}) FROM fa JOIN ga USING (idx)) * (SELECT sum(fc.f{s} * gc.f{c}) FROM fc JOIN gc USING (idx))" for s in range(2)]
-        cols.append(f"round({' + '.join(terms)}, 5) AS f{c}")
+        cols.append(f"round({' + '.join(terms)}, 3) AS f{c}")
     return f"SELECT idx, {', '.join(cols)} FROM fb"
 
 
 def _pack():
     out, offset = [], "0"
     for m in range(3):
-        out += [f"SELECT (idx * 2 + {c} + {offset})::BIGINT AS pos, round(f{c}, 8) AS value FROM {FN[m]}" for c in range(2)]
+        out += [f"SELECT (idx * 2 + {c} + {offset})::BIGINT AS pos, round(f{c}, 4) AS value FROM {FN[m]}" for c in range(2)]
         offset += f" + {SIZES[m]} * 2"
     return " UNION ALL ".join(out)
 
@@ -414,7 +444,7 @@ SQL = {
     "unfold_transposed": f"{TENS} SELECT k * (SELECT size FROM n) + i AS row, j AS col, v FROM t",
     "fold_roundtrip": f"{TENS} SELECT * FROM t",
     "tensor_transpose": f"{TENS} SELECT k AS i, i AS j, j AS k, v FROM t",
-    "khatri_rao": f"{TENS}{FACS} SELECT (fa.idx * (SELECT size FROM n) + fb.idx)::BIGINT AS idx, round(fa.f0 * fb.f0, 8) AS f0, round(fa.f1 * fb.f1, 8) AS f1 FROM fa, fb",
+    "khatri_rao": f"{TENS}{FITTED} SELECT (fa.idx * (SELECT size FROM n) + fb.idx)::BIGINT AS idx, round(fa.f0 * fb.f0, 4) AS f0, round(fa.f1 * fb.f1, 4) AS f1 FROM fa, fb",
     "tensor_norm": f"{TENS} SELECT round(sqrt(sum(v * v)), 6) AS norm FROM t",
     "tensor_innerprod": f"{HEAD}, {all_sql('workdays', 'x')}, {all_sql('holidays', 'y')} SELECT round(sum(x.v * y.v), 4) AS v FROM x JOIN y USING (i, j, k)",
     "tensor_diff": f"{HEAD}, {all_sql('workdays', 'x')}, {all_sql('holidays', 'y')} SELECT i, j, k, round(coalesce(x.v, 0) - coalesce(y.v, 0), 6) AS v FROM x FULL JOIN y USING (i, j, k) WHERE coalesce(x.v, 0) <> coalesce(y.v, 0)",
@@ -431,18 +461,18 @@ SQL = {
     "mttkrp_fine": f"""WITH {V.OD_FINE}, fb AS (SELECT idx, {start_sql(1, 0)} AS f0, {start_sql(1, 1)} AS f1 FROM range((SELECT count(*) + 1 FROM customer)) AS r(idx)),
       fc AS (SELECT idx, {start_sql(2, 0)} AS f0, {start_sql(2, 1)} AS f1 FROM range(24) AS r(idx))
       SELECT i AS idx, round(sum(v * fb.f0 * fc.f0), 5) AS f0, round(sum(v * fb.f1 * fc.f1), 5) AS f1 FROM od_fine JOIN fb ON fb.idx = j JOIN fc ON fc.idx = k GROUP BY 1""",
-    "factor_gram": f"{TENS}{FACS} {_gram_rows()}",
-    "kruskal_norm": f"{TENS}{FACS} {_knorm()}",
+    "factor_gram": f"{TENS}{FITTED} {_gram_rows()}",
+    "kruskal_norm": f"{TENS}{FITTED} {_knorm()}",
     "kruskal_innerprod": f"{TENS}{FACS} SELECT round(sum(t.v * {MODEL}), 3) AS v FROM {joined()}",
     "kruskal_cells": f"{TENS}{FACS} SELECT i, j, k, v, round({MODEL}, 8) AS model FROM {joined()}",
     "component_cells": f"{TENS}{FACS} " + " UNION ALL ".join(f"SELECT i, j, k, {c}::INT AS component, round({w}::DOUBLE * fa.f{c} * fb.f{c} * fc.f{c}, 8) AS part FROM {joined()}" for c, w in enumerate((2.0, 3.0))),
-    "kruskal_mttkrp": f"{TENS}{FACS}, {factor_sql(0, shift=3, name='ga')}, {factor_sql(2, shift=3, name='gc')} {_kmttkrp()}",
+    "kruskal_mttkrp": f"{TENS}{FITTED}, {factor_sql(0, shift=3, name='ga')}, {factor_sql(2, shift=3, name='gc')} {_kmttkrp()}",
     "rel_error": f"{TENS}{FACS}{GRID}, {_model_dense} SELECT round(sqrt(sum((v - m) * (v - m)) / sum(v * v)), 6) AS rel_frobenius, round(sum(abs(v - m)) / sum(v), 6) AS rel_abs FROM md",
     "beta_divergence": f"""{TENS}{FACS}{GRID}, {_model_dense} SELECT round(sum(CASE WHEN v > 0 THEN v / m - ln(v / m) - 1 END), 4) AS beta0,
       round(sum(CASE WHEN v = 0 THEN m ELSE v * (ln(v) - ln(m)) + m - v END), 4) AS beta1, round(sum((v - m) * (v - m) / 2), 4) AS beta2,
       round(sum((pow(v, 1.5) + 0.5 * pow(m, 1.5) - 1.5 * v * pow(m, 0.5)) / 0.75), 4) AS beta15 FROM md""",
     "tucker_cells": f"{TENS}{FACS} SELECT i, j, k, v, round({_tucker}, 6) AS model FROM {joined()}",
-    "factor_pack": f"{TENS}{FACS} {_pack()}",
-    "factor_unpack": f"{TENS}{FACS} SELECT idx, {r(('f0', 'f1'), 8)} FROM fb",
-    "flipsign": f"{TENS}{FACS}, sh AS (SELECT idx, f0 - 0.7::DOUBLE AS f0, f1 - 0.7::DOUBLE AS f1 FROM fa), sg AS (SELECT arg_max(f0, abs(f0)) AS s0, arg_max(f1, abs(f1)) AS s1 FROM sh) SELECT idx, round(f0 * CASE WHEN s0 < 0 THEN -1 ELSE 1 END, 8) AS f0, round(f1 * CASE WHEN s1 < 0 THEN -1 ELSE 1 END, 8) AS f1 FROM sh, sg",
+    "factor_pack": f"{TENS}{FITTED} {_pack()}",
+    "factor_unpack": f"{TENS}{FITTED} SELECT idx, {r(('f0', 'f1'), 4)} FROM fb",
+    "flipsign": f"{TENS}{FITTED}, sh AS (SELECT idx, f0 - 2.0::DOUBLE AS f0, f1 - 2.0::DOUBLE AS f1 FROM fa), sg AS (SELECT arg_max(f0, abs(f0)) AS s0, arg_max(f1, abs(f1)) AS s1 FROM sh) SELECT idx, round(f0 * CASE WHEN s0 < 0 THEN -1 ELSE 1 END, 4) AS f0, round(f1 * CASE WHEN s1 < 0 THEN -1 ELSE 1 END, 4) AS f1 FROM sh, sg",
 }
