@@ -75,14 +75,17 @@ def _node_totals(spark, folder):
     return totals.filter((F.col("day") == DAY) & (F.col("role") == "src"))
 
 
+def _all_totals(spark, folder):
+    return od.node_day_totals(V.od_counts(spark, folder), V.locations(spark, folder)).select("role", "name", "day", "count")
+
+
 def bucket20(spark, folder):
-    rows = places.bucket20(_node_totals(spark, folder), "count")
-    return rows.select("name", "count", "bucket")
+    return places.bucket20(_all_totals(spark, folder), "count")
 
 
 def minmax_size(spark, folder):
-    rows = places.minmax_size(_node_totals(spark, folder), "count")
-    return rows.select("name", "count", F.round("size", 8).alias("size"))
+    rows = places.minmax_size(_all_totals(spark, folder), "count")
+    return rows.withColumn("size", F.round("size", 8))
 
 
 def poi_regression(spark, folder):
@@ -183,6 +186,8 @@ BINNED = V.POIS + f""", binned AS (SELECT *, {_x} AS x, {_y} AS y FROM pois),
   tagged AS (SELECT b.*, t.tag FROM binned b JOIN {_tag_list} ON contains(b.tags, t.tag) WHERE x >= 0 AND x < 100 AND y >= 0 AND y < 80),
   density AS (SELECT tag, x, y, count(*)::BIGINT AS cnt FROM tagged GROUP BY ALL)"""
 TOT = V.OD + ", " + V.LOCATIONS + f", tot AS (SELECT src AS name, sum(cnt)::BIGINT AS count FROM od_counts WHERE day = {DAY} GROUP BY src), ends AS (SELECT min(count) AS lo, max(count) AS hi FROM tot)"
+ALL_TOT = V.OD + """, tot AS (SELECT 'src' AS role, src AS name, day, sum(cnt)::BIGINT AS count FROM od_counts GROUP BY ALL UNION ALL
+  SELECT 'dst', dst, day, sum(cnt)::BIGINT FROM od_counts GROUP BY ALL), ends AS (SELECT min(count) AS lo, max(count) AS hi FROM tot)"""
 FEATURES = places.feature_names(TAGS)
 _grand = " + ".join(f"sum({f}) OVER ()" for f in FEATURES)
 _rowsum = " + ".join(FEATURES)
@@ -210,8 +215,8 @@ SQL = {
       SELECT bt.tag, bc.x, bc.y, coalesce(d.cnt, 0) AS cnt, coalesce(d.cnt, 0) / tt - ct / total AS diff FROM bc CROSS JOIN bt CROSS JOIN al LEFT JOIN density d ON d.tag = bt.tag AND d.x = bc.x AND d.y = bc.y""",
     "tag_frequency": f"WITH {V.POIS} SELECT tag, count(*)::BIGINT AS cnt FROM (SELECT unnest(string_split(tags, ';')) AS tag FROM pois WHERE contains(tags, 'BUILDING')) WHERE tag <> 'BUILDING' GROUP BY tag",
     "tag_values": f"WITH {V.POIS} SELECT uid, string_split(tags, ';')[-1] AS label, CASE WHEN abs(price) >= 1 THEN price END AS price, CASE WHEN price < 0 THEN 0 ELSE floor(price)::INT END AS households, tags AS station, contains(tags, '_1') AS tagged FROM pois",
-    "bucket20": f"WITH {TOT} SELECT name, count, trunc(0.99::DOUBLE * (count - lo) / (hi - lo) * 20)::INT AS bucket FROM tot, ends",
-    "minmax_size": f"WITH {TOT} SELECT name, count, round((count - lo) / (hi - lo) * 15 + 2, 8) AS size FROM tot, ends",
+    "bucket20": f"WITH {ALL_TOT} SELECT role, name, day, count, trunc(0.99::DOUBLE * (count - lo) / (hi - lo) * 20)::INT AS bucket FROM tot, ends",
+    "minmax_size": f"WITH {ALL_TOT} SELECT role, name, day, count, round((count - lo) / (hi - lo) * 15 + 2, 8) AS size FROM tot, ends",
     "poi_regression": f"""WITH {NEAR}, {V.OD}, tot AS (SELECT src AS name, sum(cnt)::BIGINT AS count FROM od_counts WHERE day = {DAY} GROUP BY src),
       dd AS (SELECT t.name, t.count, r1000_t0 + r1000_t1 + r1000_t2 AS a, r1000_t3 + r1000_t4 + r1000_t5 AS b FROM tot t JOIN locations l USING (name) JOIN rc USING (name) WHERE {V.in_box_sql('l.lng', 'l.lat')}),
       mm AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, count) AS ay, covar_pop(b, count) AS by_, avg(a) AS ma, avg(b) AS mb, avg(count) AS my, var_pop(count) AS yy FROM dd),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["mobility", "places", "tensors", "factors"]
+MODULES = ["mobility", "places", "tensors", "factors", "parsing"]
 
 
 def _modules():

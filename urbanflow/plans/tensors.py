@@ -203,6 +203,55 @@ def json_roundtrip(spark, folder):
     return rows.select("i", F.col("j").cast("long").alias("j"), F.col("k").cast("long").alias("k"), "v")
 
 
+def tensor_shape(spark, folder):
+    """A sparse tensor built from entries with repeated subscripts: its inferred shape and number of cells."""
+    lines = V.trip_lines(spark, folder).select("src", "dst", F.col("hour").cast("long").alias("hour"), F.col("l_quantity").alias("v"))
+    t = TB.tensor(lines, ("src", "dst", "hour"), accumulate="max")
+    sizes = F.array(*[F.lit(int(n)) for n in t.shape])
+    return t.df.agg(F.count("*").alias("cells"), F.sum("v").cast("double").alias("total")).select(
+        "cells", "total", F.posexplode(sizes).alias("mode", "size"))
+
+
+def tensor_from_dense(spark, folder):
+    """Dense cells to a sparse tensor: zeros are dropped."""
+    return TB.nonzeros(TB.densify(_t(spark, folder))).df
+
+
+def tensor_equal(spark, folder):
+    """A tensor against itself written and read, and against its transpose."""
+    t = _t(spark, folder)
+    lines = writers.read_tensor_lines(writers.tensor_lines(TB.densify(t).df))
+    other = TB.transpose(t, (1, 0, 2))
+    rows = [(name, TB.equal(t, o)) for name, o in (("json", t.with_df(lines)), ("transposed", other))]
+    cells = [(name, TB.differing_cells(t, o).count()) for name, o in (("json", t.with_df(lines)), ("transposed", other))]
+    return spark.createDataFrame([(n, e, c) for (n, e), (_, c) in zip(rows, cells)], "other string, equal boolean, cells bigint")
+
+
+def identity_trace(spark, folder):
+    """Inner product with the super-diagonal of ones."""
+    t = _t(spark, folder)
+    return rounded(A.innerprod(t, TB.identity(spark, min(t.shape), 3)), "v", digits=6)
+
+
+def _day_matrix(spark, folder):
+    t = _t(spark, folder)
+    return t, t.df.groupBy("i", "j").agg(F.sum("v").alias("m"))
+
+
+def commutation(spark, folder):
+    """vec of the transposed pair matrix, from vec of the matrix and the commutation entries."""
+    t, matrix = _day_matrix(spark, folder)
+    n = t.shape[0]
+    vec = matrix.select((F.col("j") * n + F.col("i")).alias("col"), "m")
+    turned = TB.commutation(spark, n, n).join(vec, "col").select("row", F.round("m", 6).alias("m"))
+    return turned
+
+
+def center_matrix(spark, folder):
+    t, matrix = _day_matrix(spark, folder)
+    return rounded(A.center_matrix(matrix.withColumnsRenamed({"i": "r", "j": "c"}), t.shape[0]), "m", digits=6)
+
+
 def edge_slices(spark, folder):
     return TB.slices(_all(spark, folder, "workdays"))
 
@@ -318,7 +367,7 @@ QUERIES = {f.__name__: f for f in (
     tensor_histogram, accum_sum, accum_last, ttm_mode0, ttm_all_modes, ttv_all, ttv_vector, unfold_mode0, unfold_mode1,
     unfold_mode2, unfold_transposed, fold_roundtrip, tensor_transpose, khatri_rao, tensor_norm, tensor_innerprod,
     tensor_diff, tensor_center, tensor_scale, tensor_concat, tensor_densify, tensor_points, tensor_sorted, holdout_mask, json_roundtrip,
-    edge_slices, mttkrp_mode0, mttkrp_mode1, mttkrp_mode2, mttkrp_fine, factor_gram, kruskal_norm, kruskal_innerprod,
+    tensor_shape, tensor_from_dense, tensor_equal, identity_trace, commutation, center_matrix, edge_slices, mttkrp_mode0, mttkrp_mode1, mttkrp_mode2, mttkrp_fine, factor_gram, kruskal_norm, kruskal_innerprod,
     kruskal_cells, component_cells, kruskal_mttkrp, rel_error, beta_divergence, tucker_cells, factor_pack, factor_unpack,
     flipsign)}
 
@@ -456,6 +505,16 @@ SQL = {
     "tensor_sorted": f"{TENS} SELECT * FROM t ORDER BY k, j, i",
     "holdout_mask": f"{TENS} SELECT * FROM t WHERE v <> 0 AND ((i * 7919 + j * 104729 + k * 1299709) % 1000003 * 7919) % 1000 < 900",
     "json_roundtrip": f"{TENS} SELECT * FROM t WHERE v <> 0",
+    "tensor_shape": f"""WITH {V.LINES}, c AS (SELECT src, dst, hour, max(l_quantity) AS v FROM lines GROUP BY ALL),
+      a AS (SELECT count(*) AS cells, sum(v)::DOUBLE AS total, max(src) + 1 AS s, max(dst) + 1 AS d, max(hour) + 1 AS h FROM c)
+      SELECT cells, total, 0::INT AS mode, s::INT AS size FROM a UNION ALL SELECT cells, total, 1, d FROM a UNION ALL SELECT cells, total, 2, h FROM a""",
+    "tensor_from_dense": f"{TENS} SELECT * FROM t WHERE v <> 0",
+    "tensor_equal": f"""{TENS}, df AS (SELECT count(*) FILTER (abs(coalesce(x.v, 0) - coalesce(y.v, 0)) > 0) AS n FROM t x FULL JOIN t y ON x.i = y.j AND x.j = y.i AND x.k = y.k)
+      SELECT 'json' AS other, true AS equal, 0::BIGINT AS cells UNION ALL SELECT 'transposed', n = 0, n FROM df""",
+    "identity_trace": f"{TENS} SELECT round(coalesce(sum(v), 0), 6) AS v FROM t WHERE i = j AND j = k AND k < least((SELECT size FROM n), 24)",
+    "commutation": f"{TENS} SELECT (i * (SELECT size FROM n) + j)::BIGINT AS row, round(sum(v), 6) AS m FROM t GROUP BY i, j",
+    "center_matrix": f"""{TENS}, m AS (SELECT i, j, sum(v) AS m FROM t GROUP BY i, j), c AS (SELECT j, sum(m) / (SELECT size FROM n) AS mean FROM m GROUP BY j)
+      SELECT g.r AS r, g.j AS c, round(coalesce(m.m, 0) - g.mean, 6) AS m FROM (SELECT x.r::BIGINT AS r, c.j, c.mean FROM c, range((SELECT size FROM n)) AS x(r)) g LEFT JOIN m ON m.i = g.r AND m.j = g.j""",
     "edge_slices": f"{HEAD}, {all_sql('workdays', 't')} SELECT k, i AS s, j AS o, v FROM t",
     **{f"mttkrp_mode{m}": f"{TENS}{FACS}, mk AS ({mttkrp_sql(m)}) SELECT idx, {r(('f0', 'f1'), 5)} FROM mk" for m in range(3)},
     "mttkrp_fine": f"""WITH {V.OD_FINE}, fb AS (SELECT idx, {start_sql(1, 0)} AS f0, {start_sql(1, 1)} AS f1 FROM range((SELECT count(*) + 1 FROM customer)) AS r(idx)),

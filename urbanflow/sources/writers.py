@@ -12,6 +12,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def text_lines(df: DataFrame, sep: str = ",") -> DataFrame:
+    """One text line (value) per row; timestamps to the second, NULL as an empty field."""
+    return df.select(F.to_csv(F.struct("*"), {"sep": sep, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}).alias("value"))
+
+
 def write_lines(df: DataFrame, path: str, sep: str = ",") -> None:
     """Headerless text lines, as many files as there are partitions."""
     df.write.mode("overwrite").option("sep", sep).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
@@ -35,19 +40,16 @@ def write_index(index: DataFrame, path: str) -> None:
 
 
 def tensor_lines(dense: DataFrame, modes: tuple[str, str, str] = ("i", "j", "k")) -> DataFrame:
-    """One JSON matrix per first index (i, json), from a densified long table.
+    """One JSON list for the last index per pair of the others (i, j, json), from a densified long table.
 
-    The whole tensor is never one value: readers take the lines in order of the first index.
+    Neither the tensor nor a plane of it is ever one value: readers take the lines in order of (i, j).
     """
     i, j, k = modes
     rows = dense.groupBy(i, j).agg(F.sort_array(F.collect_list(F.struct(k, "v"))).alias("cells"))
-    rows = rows.select(i, j, F.transform("cells", lambda c: c["v"]).alias("line"))
-    planes = rows.groupBy(i).agg(F.sort_array(F.collect_list(F.struct(j, "line"))).alias("lines"))
-    return planes.select(i, F.to_json(F.transform("lines", lambda c: c["line"])).alias("json"))
+    return rows.select(i, j, F.to_json(F.transform("cells", lambda c: c["v"])).alias("json"))
 
 
 def read_tensor_lines(lines: DataFrame) -> DataFrame:
     """Inverse of :func:`tensor_lines`, zeros left out."""
-    plane = F.from_json("json", "array<array<double>>")
-    rows = lines.select("i", F.posexplode(plane).alias("j", "line"))
-    return rows.select("i", "j", F.posexplode("line").alias("k", "v")).filter(F.col("v") != 0)
+    cells = F.posexplode(F.from_json("json", "array<double>")).alias("k", "v")
+    return lines.select("i", "j", cells).filter(F.col("v") != 0)
