@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from urbanflow.session import checkpointed
+
 #: Characters that separate words in the word-based operators: blank and \t \n \v \f \r.
 BLANKS = r"\x20\x09-\x0D"
 #: Rows in one Arrow batch; texts are long, so the default of 10,000 rows would hold hundreds of megabytes.
 ROWS_PER_BATCH = 256
+#: Bits of a bit table: 8 MB whatever the data.
+FILTER_BITS = 26
 #: White space as the tokenizer pattern means it (Unicode White_Space), written out because engines differ on \s.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: A run of other characters with at most one blank before it, white space before white space, or one white character.
@@ -91,6 +95,33 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), lambda w: w != "")
 
 
+def _slot(key: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(1 << bits))
+
+
+def bit_table(keys: DataFrame, key: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """A written table of at most ``2 ** bits`` bits, in which the bit of every key's hash is set."""
+    slots = keys.select(_slot(key, bits).alias("slot"))
+    return checkpointed(slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("filter_bucket"))
+                        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("filter_bits")))
+
+
+def with_bit(rows: DataFrame, key: list[str], table: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with a flag: whether the bit of their key is set.  Rows stay where they are, the table is broadcast.
+
+    Keys that are in the table always have their bit set; others have it by chance, the more the fuller the table is.
+    """
+    at = free_name(rows, "filter_slot")
+    bucket, held = (free_name(rows, n) for n in table.columns)
+    rows = rows.withColumn(at, _slot(key, bits))
+    small = F.broadcast(table.toDF(bucket, held))  # its size is bounded by the number of bits
+    joined = rows.join(small, F.expr(f"bitmap_bucket_number({at})") == F.col(bucket), "left")
+    position = f"bitmap_bit_position({at})"
+    byte = f"ascii(decode(substring({held}, cast({position} div 8 + 1 as int), 1), 'ISO-8859-1'))"
+    set_bit = F.expr(f"coalesce((shiftright({byte}, cast({position} % 8 as int)) & 1) = 1, false)")
+    return joined.withColumn(name, set_bit).drop(at, bucket, held)
+
+
 class Memo(dict):
     """A dictionary that computes missing values and keeps about the ``limit`` values used last.
 

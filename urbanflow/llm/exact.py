@@ -20,11 +20,10 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import free_name, quoted, without
+from urbanflow.llm.common import FILTER_BITS, bit_table, free_name, quoted, with_bit, without
 from urbanflow.session import checkpointed
 
 PREFIX = 64
-FILTER_BITS = 26
 RESULT = ["keep_id", "group_size", "kept"]
 
 
@@ -34,27 +33,9 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
 
 
-def _slot(key: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
-
-
 def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The keys that occur at least twice, as rows of a bit table."""
-    slots = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(_slot(key).alias("slot"))
-    return checkpointed(slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("filter_bucket"))
-                        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("filter_bits")))
-
-
-def _marked(rows: DataFrame, key: list[str], table: DataFrame, name: str) -> DataFrame:
-    """``rows`` with a flag: whether the bit of their key is set."""
-    at = free_name(rows, "filter_slot")
-    bucket, bits = (free_name(rows, n) for n in table.columns)
-    rows = rows.withColumn(at, _slot(key))
-    joined = rows.join(F.broadcast(table.toDF(bucket, bits)), F.expr(f"bitmap_bucket_number({at})") == F.col(bucket), "left")
-    position = f"bitmap_bit_position({at})"
-    byte = f"ascii(decode(substring({bits}, cast({position} div 8 + 1 as int), 1), 'ISO-8859-1'))"
-    set_bit = F.expr(f"coalesce((shiftright({byte}, cast({position} % 8 as int)) & 1) = 1, false)")
-    return joined.withColumn(name, set_bit).drop(at, bucket, bits)
+    """A bit table of the keys that occur at least twice."""
+    return bit_table(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), key, FILTER_BITS)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,9 +49,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             .withColumn(prefix, F.xxhash64(lower_ascii(F.substring(F.col(body), 1, PREFIX)))))
     lengths = _repeated(rows, [length])
     same_length = free_name(rows, "same_length")
-    rows = _marked(rows, [length], lengths, same_length)
+    rows = with_bit(rows, [length], lengths, same_length, FILTER_BITS)
     prefixes = _repeated(rows.where(F.col(same_length)), [length, prefix])
-    rows = _marked(rows, [length, prefix], prefixes, maybe).withColumn(maybe, F.col(maybe) & F.col(same_length))
+    rows = with_bit(rows, [length, prefix], prefixes, maybe, FILTER_BITS).withColumn(maybe, F.col(maybe) & F.col(same_length))
     hashed = rows.where(F.col(maybe)).withColumn(full, F.sha2(lower_ascii(F.col(body)), 256))
     key = [length, prefix, full]
     keep, size, tied = (free_name(hashed, n) for n in ("group_keep", "group_rows", "rows_at_keep"))

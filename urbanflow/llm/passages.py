@@ -10,11 +10,12 @@ these places are hashed (4 of 13 for windows of 20 words).  The steps:
 
 1. Anchors that occur once are dropped.  Within a chunk of documents repeats are settled before the shuffle, and only
    one row goes on for each hash, so a passage in any share of the documents sends few rows to one place.
-2. Around the shared anchors, the windows that contain one are hashed (128 bits).  Again a chunk settles its own
+2. Around the shared anchors, the windows that contain one are hashed (96 bits).  Again a chunk settles its own
    repeats; what is left is compared by hash, and all but the first of equal windows are marked.
 3. Marks meet their document, and words are removed.
 
-Texts travel compressed and only to meet their anchors and their marks.
+Texts travel compressed, and only those that have shared anchors (to meet them) or marks (to meet those).  Which have
+is looked up in a bit table of fixed size; a bit set by chance only sends a text that would not have had to go.
 
 Cases: a null text has no words; texts shorter than a window lose nothing; a null id counts as the smallest.  Rows that
 share id and text are one document, so neither is earlier than the other; rows that share only the id are ordered by a
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import quoted, small_batches
+from urbanflow.llm.common import bit_table, quoted, small_batches, with_bit
+from urbanflow.session import checkpointed
 
 #: Difference covers by their period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -99,7 +101,7 @@ def _shared_anchors(rows: DataFrame, window: int) -> DataFrame:
                     continue
                 places = np.arange(n - length + 1, dtype=np.int32)
                 places = places[np.isin(places % period, cover)]
-                hashes = np.fromiter(map(digest, words.runs(places, length)), np.uint64, len(places))
+                hashes = np.fromiter(map(digest, words.runs(places, length)), np.uint64, len(places)) >> np.uint64(16)
                 chunk.append((doc, tag, places, hashes))
                 size += len(places)
                 if size >= CHUNK:
@@ -150,6 +152,7 @@ def _repeated_windows(met: DataFrame, window: int) -> DataFrame:
                 np.add.at(change, np.minimum(at, last) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(change)[:last + 1] > 0).astype(np.int32)
                 hashes = np.frombuffer(b"".join(map(digest, words.runs(starts, window))), "<i8").reshape(-1, 2)
+                hashes = np.stack([hashes[:, 0], hashes[:, 1] >> 32], axis=1)
                 chunk.append((doc, tag, starts, hashes))
                 size += len(starts)
                 if size >= CHUNK:
@@ -172,7 +175,7 @@ def _repeated_windows(met: DataFrame, window: int) -> DataFrame:
         later = (doc[order] != doc[first]) | (tag[order] != tag[first]) | (start[order] != start[first])
         repeated = np.zeros(len(order), bool)
         repeated[order[later]] = True
-        send = order[head]
+        send = np.sort(order[head])  # in the order of documents, in which ids take little room
         # Repeated here: runs of neighbouring windows travel by their document.  The first ones travel by their hash.
         at = np.flatnonzero(repeated)
         fresh = np.ones(len(at), bool)
@@ -183,12 +186,13 @@ def _repeated_windows(met: DataFrame, window: int) -> DataFrame:
         both = np.concatenate([send, runs])
         count = np.concatenate([np.zeros(len(send), np.int32), length])
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.where(count > 0, doc[both], hashes[both, 0])), pa.array(np.where(count > 0, 0, hashes[both, 1])),
+            pa.array(np.where(count > 0, doc[both], hashes[both, 0])),
+            pa.array(np.where(count > 0, 0, hashes[both, 1]).astype(np.int32)),
             pa.array(doc[both]), pa.array(tag[both]), pa.array(start[both]), pa.array(count)],
             names=["w1", "w2", "doc", "tag", "start", "count"])
 
     sent = met.select("doc", "tag", "packed", "places").mapInArrow(
-        run, "w1 bigint, w2 bigint, doc bigint, tag int, start int, count int")
+        run, "w1 bigint, w2 int, doc bigint, tag int, start int, count int")
     own = F.struct("doc", "tag", "start")
     same = Window.partitionBy("w1", "w2", F.col("count") > 0)
     marked = sent.select("*", F.min(own).over(same).alias("first")).where((F.col("count") > 0) | (own > F.col("first")))
@@ -199,17 +203,27 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``df`` with ``n_words``, ``n_removed`` and ``kept_text``, the words that stay joined by blanks."""
     small_batches(df.sparkSession)
     kept = [c for c in df.columns if c.lower() not in RESULT]
-    # Columns of the input go by number until the end, so that no name clashes; the text is among them as it is.
-    rows = df.select(*[quoted(c).alias(f"in{n}") for n, c in enumerate(kept) if c != text_col],
-                     F.coalesce(quoted(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"),
-                     F.pmod(F.xxhash64(quoted(text_col)), F.lit((1 << 31) - 1)).cast("int").alias("tag"), quoted(text_col).alias("text"),
-                     quoted(text_col).isNull().alias("no_text"))
-    places = _shared_anchors(rows, window)
-    met = _packed(rows, "text", ["doc", "tag"]).join(places, ["doc", "tag"])
-    runs = _repeated_windows(met, window)
-    others = [c for c in rows.columns if c != "text"]
-    final = _packed(rows, "text", others).join(runs, ["doc", "tag"], "left").select(*others, "packed", "runs")
-    carried = [c for c in others if c not in ("doc", "tag", "no_text")]
+    tag = F.pmod(F.xxhash64(quoted(text_col)), F.lit((1 << 31) - 1)).cast("int")
+    doc = F.coalesce(quoted(id_col).cast("long"), F.lit(-(1 << 63)))
+    # Where every id has one text, the id alone names a document.
+    twice = df.select(doc.alias("doc"), tag.alias("tag")).groupBy("doc").agg(F.min("tag").alias("a"), F.max("tag").alias("b"))
+    if twice.where("a <> b").isEmpty():
+        tag = F.lit(0)
+    # Columns of the input go by number until the end, so that no name clashes.
+    carried = [f"in{n}" for n, c in enumerate(kept) if c != text_col]
+    rows = df.select(*[quoted(c).alias(f"in{n}") for n, c in enumerate(kept) if c != text_col], doc.alias("doc"),
+                     tag.alias("tag"), quoted(text_col).alias("text"))
+    key = ["doc", "tag"]
+    places = checkpointed(_shared_anchors(rows, window))
+    sharing = with_bit(rows.select(*key, "text"), key, bit_table(places, key), "sharing").where("sharing")
+    met = _packed(sharing, "text", key).join(places, key)
+    runs = checkpointed(_repeated_windows(met, window))
+    rows = with_bit(rows.withColumn("no_text", F.col("text").isNull()), key, bit_table(runs, key), "marked")
+    marked = _packed(rows.where("marked"), "text", [*carried, *key, "no_text"]).join(runs, key, "left")
+    whole = rows.where("not marked").select(
+        *carried, "no_text", F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.lit(None).cast("binary").alias(
+            "packed"), F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    cut = marked.select(*carried, "no_text", F.lit(None).cast("binary").alias("body"), "packed", "runs")
     schema = T.StructType([rows.schema[c] for c in carried] + [
         T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
@@ -218,21 +232,25 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         unpack = _unpacker()
         for batch in batches:
             texts, n_words, n_removed, left = [], [], [], []
-            for absent, packed, found in zip(*(batch.column(c).to_pylist() for c in ("no_text", "packed", "runs"))):
-                text = unpack(packed)
+            for absent, text, packed, found in zip(*(batch.column(c).to_pylist() for c in ("no_text", "body", "packed", "runs"))):
+                text = unpack(packed) if text is None else text
                 words = text.split()
-                change = np.zeros(len(words) + 1, np.int64)
-                for r in found or ():
-                    change[r["start"]] += 1
-                    change[r["start"] + r["count"] - 1 + window] -= 1
-                gone = np.cumsum(change[:-1]) > 0
+                if found:
+                    change = np.zeros(len(words) + 1, np.int64)
+                    for r in found:
+                        change[r["start"]] += 1
+                        change[r["start"] + r["count"] - 1 + window] -= 1
+                    gone = np.cumsum(change[:-1]) > 0
+                    stay = [w for w, g in zip(words, gone.tolist()) if not g]
+                else:
+                    stay = words
                 texts.append(None if absent else text.decode())
                 n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                left.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
+                n_removed.append(len(words) - len(stay))
+                left.append(b" ".join(stay).decode())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carried), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()),
                  pa.array(n_removed, pa.int64()), pa.array(left, pa.string())], names=schema.names)
 
-    done = final.mapInArrow(run, schema)
+    done = whole.mapInArrow(run, schema).unionByName(cut.mapInArrow(run, schema))
     return done.select(*[(F.col("text") if c == text_col else F.col(f"in{n}")).alias(c) for n, c in enumerate(kept)], *RESULT)
