@@ -59,6 +59,13 @@ class FactorStore:
         self._paths[mode] = path
         return values
 
+    def discard(self) -> None:
+        """Remove the tables of a store that is no longer needed."""
+        for factor, path in zip(self.factors, self._paths):
+            if path:
+                drop_table(factor.df.sparkSession, path)
+        self._paths = [None] * len(self._paths)
+
     def hadamard(self, without: int) -> np.ndarray:
         """Element-wise product of the Gram matrices of all other modes."""
         return reduce(mul, [g for m, g in enumerate(self.grams) if m != without])

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from urbanflow.operators.tensor.algebra import (Factor, factor_from_array, factor_matrix, flipsign, gram, hinted, inner,
+from urbanflow.operators.tensor.algebra import (Factor, all_rows, factor_from_array, factor_matrix, flipsign, gram, hinted, inner,
                                                 join_factors, number, scaled, signs, start_factor, times, ttm, ttm_many, tucker_sql,
                                                 tucker_value)
 from urbanflow.operators.tensor.sweep import FactorStore, kept
 from urbanflow.operators.tensor.table import Tensor
-from urbanflow.session import checkpointed
+from urbanflow.session import checkpoint_table, checkpointed, drop_table
 
-OVERSAMPLE = 12
+OVERSAMPLE = 8
 SUBSPACE = 32
 WIDE_COLUMNS = 64
 
@@ -31,34 +32,71 @@ def _apply_gram(t: Tensor, mode: int, q: Factor) -> Factor:
     return Factor(rows, q.rows, q.rank)
 
 
-def nvecs(t: Tensor, mode: int, rank: int, flip: bool = True, max_iter: int = 30, tol: float = 1e-11) -> Factor:
+def nvecs(t: Tensor, mode: int, rank: int, flip: bool = True, max_iter: int = 200, tol: float = 1e-11) -> Factor:
     """Leading left vectors of a mode unfolding, by subspace iteration with a few extra columns.
 
-    Work is proportional to the non-zeros, and only matrices of rank size reach the driver.  A mode no longer
-    than the subspace is solved exactly in one step.
+    Work is proportional to the non-zeros, and only matrices of rank size reach the driver.  A mode of at most
+    ``SUBSPACE`` indices is solved in one step, which is the same iteration with every direction in it; beyond it
+    rounds go on until the values change by less than ``tol``, and a warning says if ``max_iter`` came first.
+    Directions that the unfolding does not have are completed, so the factor always has ``rank`` columns.
     """
     spark, n = t.df.sparkSession, t.shape[mode]
-    width = min(n, max(rank + OVERSAMPLE, SUBSPACE))
-    exact = width == n
+    exact = n <= SUBSPACE
+    width = n if exact else min(n, rank + OVERSAMPLE)
     q = factor_from_array(spark, np.eye(n)) if exact else start_factor(spark, mode, n, width)
     if not exact:
         q = times(q, _whitener(gram(q)))
-    values = np.zeros(rank)
+    values, done, tables = np.zeros(rank), False, []
     for _ in range(1 if exact else max_iter):
         y = _apply_gram(t, mode, q)
-        y = Factor(checkpointed(y.df), n, y.rank)
+        df, path = checkpoint_table(y.df)
+        tables.append(path)
+        y = Factor(df, n, y.rank)
         ritz = inner(q, y)
         found, vectors = np.linalg.eigh((ritz + ritz.T) / 2)
         found, vectors = found[::-1], vectors[:, ::-1]
-        best = times(q, vectors[:, :rank])
+        held = int((found[:rank] > max(found[0], 0.0) * 1e-13).sum()) if len(found) else 0
+        best = times(q, vectors[:, :held]) if held else None
         done = exact or np.abs(found[:rank] - values[:len(found[:rank])]).max() <= tol * max(abs(found[0]), 1e-300)
         values = found[:rank]
         if done:
             break
         q = times(y, _whitener(gram(y)))
+        for old in tables[:-1]:
+            drop_table(spark, old)
+        del tables[:-1]
+    if not done:
+        warnings.warn(f"leading vectors of mode {mode} still change after {max_iter} rounds", stacklevel=2)
+    best = _completed(spark, best, mode, n, rank)
     return flipsign(best) if flip else best
 
 
+def _completed(spark, best: Factor | None, mode: int, n: int, rank: int) -> Factor:
+    """``best`` with further orthonormal columns up to ``rank``; beyond ``n`` columns no more exist and start values serve."""
+    if best is not None and best.rank >= rank:
+        return best
+    have = 0 if best is None else best.rank
+    extra = start_factor(spark, mode + 7, n, rank - have)
+    if best is None:
+        shift = [f"f{c}" for c in range(rank)]
+        both = extra.df
+    else:
+        full = all_rows(best)
+        cross = inner(full, extra)
+        more = extra.df.selectExpr("idx", *[f"{c} as g{k}" for k, c in enumerate(extra.columns)])
+        both = full.df.join(hinted(more, extra.is_small()), "idx")
+        shift = [" - ".join([f"g{k}", *[f"f{s} * {number(cross[s, k])}" for s in range(have)]]) for k in range(rank - have)]
+    rest = Factor(both.selectExpr("idx", *[f"{e} as f{k}" for k, e in enumerate(shift)]), n, rank - have)
+    turn = _whitener(gram(rest))
+    if turn.shape[1] < rank - have:
+        turn = np.hstack([turn, np.eye(rank - have)[:, :rank - have - turn.shape[1]]])
+    rest = times(rest, turn)
+    if best is None:
+        return rest
+    renamed = rest.df.selectExpr("idx", *[f"{c} as f{have + k}" for k, c in enumerate(rest.columns)])
+    return Factor(all_rows(best).df.join(hinted(renamed, rest.is_small()), "idx"), n, rank)
+
+
 def _whitener(g: np.ndarray) -> np.ndarray:
     """Matrix that makes the columns behind a Gram matrix orthonormal, dropping directions without weight."""
     values, vectors = np.linalg.eigh(g)
@@ -76,8 +114,11 @@ def hosvd(t: Tensor, rank, dims=None, compute_core: bool = True):
     t = kept(t)
     factors = {m: nvecs(t, m, ranks[m]) for m in (range(t.order) if dims is None else dims)}
     if not compute_core:
+        t.df.unpersist()
         return factors
     core = ttm_many(t, {m: (factor_matrix(f), f.rank) for m, f in factors.items()}, transp=True)
+    core = core.with_df(checkpointed(core.df))
+    t.df.unpersist()
     return factors, core
 
 
@@ -176,7 +217,7 @@ def masked_tucker(t: Tensor, rank: int, steps: int = 500, alpha: float = 0.0002,
     core = np.array([(c * 7919 % 101 + 1) / 102 for c in range(rank ** t.order)]).reshape([rank] * t.order)
     loss, step = _masked_loss(t, factors, core), 0
     losses = [loss]
-    gradients = _masked_gradients(t, factors, core)
+    gradients, current = _masked_gradients(t, factors, core), None
     while step < steps and loss >= epsilon and alpha > 1e-12:
         rows, core_grad = gradients
         trial_core = core - alpha * (core_grad + beta * core)
@@ -193,9 +234,13 @@ def masked_tucker(t: Tensor, rank: int, steps: int = 500, alpha: float = 0.0002,
             losses.append(loss)
             alpha *= 1.2
             gradients = _masked_gradients(t, factors, core)
+            current, trial = trial, current
         else:
             alpha /= 2
+        if trial is not None:
+            trial.discard()
         step += 1
+    t.df.unpersist()
     return TuckerResult(core, factors, loss, step), losses
 
 
