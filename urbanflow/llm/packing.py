@@ -208,4 +208,5 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))),
                     pa.array(crc, pa.int64())], names=["doc_id", "start", "ids", "ids_crc32"])
 
-    return stored.join(parts, "part").mapInArrow(run, "doc_id bigint, start bigint, ids array<int>, ids_crc32 bigint")
+    # One row for each task that wrote, so it may be broadcast; the stored rows stay where they are.
+    return stored.join(F.broadcast(parts), "part").mapInArrow(run, "doc_id bigint, start bigint, ids array<int>, ids_crc32 bigint")

@@ -78,7 +78,9 @@ def links(classes: DataFrame, bits: int = BITS, long_list: int = LONG_LIST) -> D
     need = 8 - bits
     masks = [sum(0xFF << 8 * (7 - p) for p in chosen) for chosen in combinations(range(8), need)]
     chosen = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
-    postings = classes.select("f", F.posexplode(F.transform(chosen, lambda m: F.col("f").bitwiseAND(m))).alias("c", "held"))
+    # Every class makes many postings, so the small table of classes is dealt to all tasks first.
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = classes.repartition(tasks, "f").select("f", F.posexplode(F.transform(chosen, lambda m: F.col("f").bitwiseAND(m))).alias("c", "held"))
     lists = postings.groupBy("c", "held").agg(F.count("*").alias("n")).where("n > 1")
     shared = checkpointed(postings.join(lists, ["c", "held"]))
     short = shared.where(F.col("n") <= long_list).select("c", "held", "f")
