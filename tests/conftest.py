@@ -1,6 +1,10 @@
 import os
 import sys
 
+# Threads of the linear algebra library can wait for each other for ever once a JVM has been forked off.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -51,7 +51,7 @@ def test_nnls_is_optimal_for_nearly_equal_columns(solver, rank, gap):
         basis[:, 1] = basis[:, 0] + gap * rng.random(40)
     if gap is not None and rank > 3:
         basis[:, 3] = basis[:, 2] + gap * rng.random(40)
-    g, right = basis.T @ basis, (rng.random((1500, 40)) * 2 - 0.6) @ basis
+    g, right = basis.T @ basis, (rng.random((400, 40)) * 2 - 0.6) @ basis
     x = solver(g, right)
     dual, size = x @ g - right, np.abs(right).max(axis=1, keepdims=True)
     assert (x >= 0).all() and (dual >= -1e-7 * size).all() and (np.abs(dual)[x > 1e-9 * np.broadcast_to(size, x.shape)]
