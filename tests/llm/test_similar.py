@@ -1,0 +1,83 @@
+"""Near duplicates by shingle similarity against brute force."""
+
+import random
+from fractions import Fraction
+
+import pytest
+
+import corpus_pipeline
+from urbanflow.llm import similar, simhash
+
+
+def plain_shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return Fraction(len(a & b), len(a | b)) if a | b else Fraction(1)
+
+
+def edited_texts(seed):
+    """Texts of 60 to 300 words, and copies of them with so many words changed that similarities lie around 0.8."""
+    rng = random.Random(seed)
+    texts = []
+    for n in range(40):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(words))
+        for k in range(3):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.005, 0.04)))):
+                changed[at] = f"x{n}-{k}-{at}"
+            texts.append(" ".join(changed))
+    return [*texts, "", None, "one", "ONE", "two words"]
+
+
+def plain_roots(texts):
+    sets = [plain_shingles(t) for t in texts]
+    roots = list(range(len(texts)))
+
+    def find(n):
+        while roots[n] != n:
+            n = roots[n]
+        return n
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= Fraction(4, 5):
+                low, high = sorted((find(a), find(b)))
+                roots[high] = low
+    return [find(n) for n in range(len(texts))]
+
+
+@pytest.mark.parametrize("long_list", [similar.LONG_LIST, 2])
+def test_groups_equal_brute_force(spark, long_list):
+    texts = edited_texts(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = similar.similar_groups(df, long_list=long_list).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["group_root"], []).append(r["doc_id"])
+    got = {d: min(ids) for ids in groups.values() for d in ids}
+    assert [got[n] for n in range(len(texts))] == plain_roots(texts)
+
+
+def test_stage_keeps_one_of_each_similar_group(spark):
+    texts = edited_texts(4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = sorted(set(plain_roots(texts)))
+    got = sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, df, "").collect())
+    assert got == want
+    # Fingerprints 4 bits apart, as the stage linked them before, leave copies of similarity 0.8 and more.
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    sets = [plain_shingles(t) for t in texts]
+    assert any(jaccard(sets[a], sets[b]) >= Fraction(4, 5) and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() > 4
+               for a in range(len(texts)) for b in range(a))
+
+
+def test_stage_on_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    want = [rows[n]["doc_id"] for n in sorted(set(plain_roots([r["text"] for r in rows])))]
+    kept = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    assert sorted({r["doc_id"] for r in kept}) == want
