@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from urbanflow.llm import exact, graph, mixing, passages, pii, quality, rules, simhash
@@ -310,6 +311,19 @@ def test_ratio_equals_counting(spark, known):
         assert model[b] == pytest.approx(want, abs=0.05)
 
 
+def test_every_trusted_document_counts(spark):
+    order = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    docs = spark.range(24_000).toDF("doc_id").select(
+        "doc_id", F.when(order > 20_000, "late late late").otherwise("early early early").alias("text"))
+    trusted = rules.trusted_ids(docs.select("doc_id", F.lit(1).alias("quality")))
+    assert trusted.count() == 24_000
+    model, threshold = rules.fit(docs, trusted)
+    late, early = (model[c % (1 << rules.BITS)] for c in spark.range(1).select(
+        F.xxhash64(F.lit("late")), F.xxhash64(F.lit("early"))).first())
+    # All documents are good, so half of either word is in the target, and neither speaks more for a document.
+    assert late == pytest.approx(early, abs=0.1)
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 def plain_targets(sizes, cap=3.0):

@@ -1,14 +1,14 @@
 """Quality rules: per-document statistics and a log-likelihood ratio of hashed word n-grams, with DataFrame functions only.
 
 Words and pairs of neighbouring words are hashed into ``2 ** BITS`` buckets.  Bucket counts over all documents give the
-raw multinomial; those of a trusted sample (documents labelled good, at most ``TRUSTED`` of them by the hash of their
-id) give the target multinomial; both are smoothed towards the raw one.  A document's score is the mean of
+raw multinomial; those of the trusted documents (all that are labelled good) give the target multinomial; both are
+smoothed towards the raw one.  A document's score is the mean of
 log(target / raw) over its n-grams.  One half of the trusted documents gives the target, the other half, which the model
 has not seen, fixes the threshold: their mean score less ``WIDTH`` standard deviations.  Every document is held against it, and against the two base rules (fewer than 50 words; more
 than half of the words inside repeated 3-word windows).
 
 The model is one array of ``2 ** BITS`` numbers (0.5 MB) whatever the data and goes into the plan as a literal; counting
-combines before the shuffle, and scoring needs neither a join nor a shuffle.
+combines before the shuffle, and scoring needs neither a join nor a shuffle.  Trusted ids are joined by their size.
 
 Cases: a null text has no words and fails the base rules; a text without n-grams scores 0; with no trusted document at
 all the ratio is 0 for every text and only the base rules decide; an empty table gives an empty result.  Columns named
@@ -24,7 +24,6 @@ from urbanflow.llm.common import BLANKS, quoted, word_array
 from urbanflow.session import checkpointed
 
 BITS = 16
-TRUSTED = 20_000
 #: Weight of the raw distribution in the target one, in n-grams for every bucket.
 SMOOTHING = 0.5
 WIDTH = 3.0
@@ -80,15 +79,15 @@ def _buckets(codes: str) -> Column:
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Ids of at most ``TRUSTED`` documents labelled good, those with the smallest hashes."""
+    """Ids of the documents labelled good."""
     good = labels.where((F.col("quality") == 1) & quoted(id_col).isNotNull()).select(quoted(id_col).alias("trusted_id"))
-    return checkpointed(good.distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(TRUSTED))
+    return checkpointed(good.distinct())
 
 
 def fit(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[float], float]:
     """The weight of each bucket, and the threshold; ``trusted`` has the column ``trusted_id``."""
     texts = df.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("body"))
-    texts = texts.join(F.broadcast(trusted), F.col("id") == F.col("trusted_id"), "left")
+    texts = texts.join(trusted, F.col("id") == F.col("trusted_id"), "left")
     first_half = F.pmod(F.xxhash64("trusted_id"), F.lit(2)) == 0
     flagged = texts.select((F.col("trusted_id").isNotNull() & first_half).alias("good"),
                            F.transform(word_array(F.col("body")), lambda w: F.xxhash64(w)).alias("codes"))
