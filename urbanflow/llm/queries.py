@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import bpe, counts, exact, mixing, packing, passages, pii, quality, rules, simhash
+from urbanflow.llm import (bpe, counts, exact, mixing, packing, passages, pii, quality, rules, simhash,
+                           toxicity)
 from urbanflow.llm.common import documents, labels
 from urbanflow.session import ensure_checkpoint_dir
 
@@ -16,6 +17,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
+#: Score from which a document counts as toxic.
+TOXIC = 0.5
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +84,17 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.train(docs, labels(spark, sf_dir)))
+    return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+                        (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality,
            "op4_packed_ids": op4_packed_ids, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash,
            "op7_personal_data": op7_personal_data, "op8_passages": op8_passages,
-           "op9_quality_rules": op9_quality_rules, "op10_source_mix": op10_source_mix}
+           "op9_quality_rules": op9_quality_rules, "op10_source_mix": op10_source_mix, "op13_toxicity": op13_toxicity}
 
 SQL = {"op2_exact_dedup": """
     with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
