@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import (bpe, counts, exact, mixing, packing, passages, pii, quality, rules, simhash,
+from urbanflow.llm import (bpe, counts, exact, manifest, mixing, packing, passages, pii, quality, rules, simhash,
                            toxicity)
 from urbanflow.llm.common import documents, labels
 from urbanflow.session import ensure_checkpoint_dir
@@ -84,6 +84,16 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fields = [F.col(c) for c in manifest.FIELDS]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = [F.when(tampered, f + 1).otherwise(f) if c == "n_chars" else f for c, f in zip(manifest.FIELDS, fields)]
+    found = manifest.manifest(docs, fields, claimed)
+    return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_hash(F.col("proof")).alias("proof_sha256"),
+                        "folded_root", "verified")
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = toxicity.score(docs, toxicity.train(docs, labels(spark, sf_dir)))
@@ -94,11 +104,61 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality,
            "op4_packed_ids": op4_packed_ids, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash,
            "op7_personal_data": op7_personal_data, "op8_passages": op8_passages,
-           "op9_quality_rules": op9_quality_rules, "op10_source_mix": op10_source_mix, "op13_toxicity": op13_toxicity}
+           "op9_quality_rules": op9_quality_rules, "op10_source_mix": op10_source_mix, "op12_manifest": op12_manifest,
+           "op13_toxicity": op13_toxicity}
+
+#: CRC-32 of a decimal number's text, bit by bit.
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _leaf_sql(n_chars: str = "n_chars") -> str:
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR)::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
 
 SQL = {"op2_exact_dedup": """
     with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
                from documents)
     select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
            doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
-    from d"""}
+    from d""",
+       "op12_manifest": f"""
+    with recursive d as (
+      select doc_id, lang, {_leaf_sql()} as leaf, {_leaf_sql(f"n_chars + case when {CRC32} % 7 = 0 then 1 else 0 end")} as claim,
+             row_number() over (partition by lang order by doc_id) - 1 as pos, count(*) over (partition by lang) as n
+      from documents),
+    nodes(lang, lvl, pos, n, h) as (
+      select lang, 0, pos, n, leaf from d
+      union all
+      select lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from nodes where n > 1
+      group by lang, lvl, pos // 2, n),
+    kept as materialized (select * from nodes),
+    subroots as materialized (
+      select lang, h, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from kept where n = 1),
+    tops(lvl, pos, n, h) as (
+      select 0, pos, n, h from subroots
+      union all
+      select lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from tops where n > 1
+      group by lvl, pos // 2, n),
+    upper_nodes as materialized (select * from tops),
+    steps as materialized (
+      select doc_id, o.lvl as step, (d.pos >> o.lvl) & 1 as is_right, s.h
+      from d join kept o on o.lang is not distinct from d.lang and o.pos = d.pos >> o.lvl and o.n > 1
+      left join kept s on s.lang is not distinct from d.lang and s.lvl = o.lvl and s.pos = xor(o.pos, 1)
+      union all
+      select doc_id, 1000 + o.lvl, (r.pos >> o.lvl) & 1, s.h
+      from d join subroots r on r.lang is not distinct from d.lang join upper_nodes o on o.pos = r.pos >> o.lvl and o.n > 1
+      left join upper_nodes s on s.lvl = o.lvl and s.pos = xor(o.pos, 1)),
+    turns as materialized (select *, row_number() over (partition by doc_id order by step) as turn from steps),
+    fold(doc_id, turn, h) as (
+      select doc_id, 0::BIGINT, claim from d
+      union all
+      select t.doc_id, t.turn, sha256(case when is_right = 1 then coalesce(t.h, '') || f.h else f.h || coalesce(t.h, '') end)
+      from fold f join turns t on t.doc_id = f.doc_id and t.turn = f.turn + 1),
+    ends as (select doc_id, arg_max(h, turn) as folded_root from fold group by doc_id),
+    proofs as (select doc_id, sha256(coalesce(string_agg(h, '' order by turn), '')) as proof_sha256 from turns group by doc_id)
+    select d.doc_id, leaf, r.h as subroot, u.h as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root,
+           folded_root = u.h as verified
+    from d join subroots r on r.lang is not distinct from d.lang join upper_nodes u on u.n = 1 join ends using (doc_id)
+    left join proofs using (doc_id)"""}
