@@ -10,7 +10,7 @@ remains is the group's subroot; subroots in order of the group (null first, then
   each range is summed, and a task adds what the ranges before it hold.  A leaf's coordinate is the directory's number and
   the set bits below its own, so leaves are never sorted.  Words with a repeated id, and leaves without an id, cannot say
   the order by bits; their leaves alone are numbered by ranges of (id, leaf).
-* Slot arrays.  ``SLOT_LEVELS`` levels at a time, ``2 ** SLOT_LEVELS`` neighbours are one row with an array of slots, and a
+* Slot arrays.  ``SLOT_LEVELS`` levels at a time, ``FAN ** SLOT_LEVELS`` neighbours are one row with an array of slots, and a
   task reduces them to a node; nodes are the leaves of the next round.  Then paths go down the same rows: each slot's
   siblings in its array, then those of the array's own node.  A row is a few hundred kilobytes whatever the data.
 
@@ -34,7 +34,6 @@ from urbanflow.session import checkpointed
 
 FAN = 2
 SLOT_LEVELS = 10
-SLOTS = FAN ** SLOT_LEVELS
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 #: The word of leaves without an id; words of ids are at least -2 ** 57.
 NO_WORD = -(1 << 63)
@@ -87,10 +86,11 @@ def coordinates(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
             checkpointed(directory.groupBy("tree").agg(F.sum("n").alias("n"))))
 
 
-def slot_arrays(nodes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row for every ``SLOTS`` places of a tree, as a table; ``nodes`` has (tree, n, at, digest) and ``extra``."""
-    slot = F.struct((F.col("at") % SLOTS).cast("int").alias("slot"), "digest", *extra)
-    return checkpointed(nodes.groupBy("tree", "n", F.expr(f"at div {SLOTS}").alias("chunk")).agg(
+def slot_arrays(nodes: DataFrame, height: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row for every ``FAN ** height`` places of a tree, as a table; ``nodes`` has (tree, n, at, digest) and ``extra``."""
+    slots = FAN ** height
+    slot = F.struct((F.col("at") % slots).cast("int").alias("slot"), "digest", *extra)
+    return checkpointed(nodes.groupBy("tree", "n", F.expr(f"at div {slots}").alias("chunk")).agg(
         F.collect_list(slot).alias("slots")))
 
 
@@ -98,10 +98,10 @@ def digest(*parts: str) -> str:
     return sha256("".join(parts).encode()).hexdigest()
 
 
-def reduced(slots: list[str], n: int) -> list[list[str]]:
+def reduced(slots: list[str], n: int, height: int) -> list[list[str]]:
     """The levels of one slot array, from its slots up, in a tree that has ``n`` nodes at the lowest of them."""
     levels = [slots]
-    for _ in range(min(SLOT_LEVELS, (n - 1).bit_length())):
+    for _ in range(min(height, (n - 1).bit_length())):
         below = levels[-1]
         levels.append([digest(*below[k:k + FAN]) for k in range(0, len(below), FAN)])
     return levels
@@ -140,26 +140,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(n, 1).to_pylist()[0]
 
 
-def _next_nodes(arrays: DataFrame) -> DataFrame:
+def _next_nodes(arrays: DataFrame, height: int) -> DataFrame:
     """(tree, n, at, digest) of the nodes that slot arrays reduce to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            top = reduced(_placed(row), row["n"])[-1][0]
-            yield pa.RecordBatch.from_pylist([{"tree": row["tree"], "n": -(-row["n"] // SLOTS), "at": row["chunk"],
+            top = reduced(_placed(row), row["n"], height)[-1][0]
+            yield pa.RecordBatch.from_pylist([{"tree": row["tree"], "n": -(-row["n"] // FAN ** height), "at": row["chunk"],
                                                "digest": top}])
 
     return arrays.select("tree", "n", "chunk", F.transform("slots", lambda s: F.struct(s["slot"], s["digest"])).alias("slots")
                          ).mapInArrow(run, "tree string, n bigint, at bigint, digest string")
 
 
-def _paths_down(arrays: DataFrame, above: DataFrame | None) -> DataFrame:
+def _paths_down(arrays: DataFrame, above: DataFrame | None, height: int) -> DataFrame:
     """(tree, chunk, steps): the path of every slot, which is the row of that number in the round below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            levels = reduced(_placed(row), row["n"])
-            first = row["chunk"] * SLOTS
+            levels = reduced(_placed(row), row["n"], height)
+            first = row["chunk"] * FAN ** height
             yield pa.RecordBatch.from_pylist([
                 {"tree": row["tree"], "chunk": first + s, "steps": path(levels, s) + (row["steps"] or [])}
                 for s in range(len(levels[0]))])
@@ -173,26 +173,26 @@ def _with_steps(arrays: DataFrame, above: DataFrame | None) -> DataFrame:
     return arrays.join(above, ["tree", "chunk"], "left")
 
 
-def reduce_trees(arrays: DataFrame, largest: int) -> tuple[DataFrame, list[DataFrame]]:
+def reduce_trees(arrays: DataFrame, largest: int, height: int) -> tuple[DataFrame, list[DataFrame]]:
     """(tree, digest) of the nodes that remain, and the slot arrays of every round; ``largest`` is the size of a tree."""
-    rounds, nodes = [arrays], checkpointed(_next_nodes(arrays))
-    while largest > SLOTS:
-        largest = -(-largest // SLOTS)
-        rounds.append(slot_arrays(nodes))
-        nodes = checkpointed(_next_nodes(rounds[-1]))
+    rounds, nodes = [arrays], checkpointed(_next_nodes(arrays, height))
+    while largest > FAN ** height:
+        largest = -(-largest // FAN ** height)
+        rounds.append(slot_arrays(nodes, height))
+        nodes = checkpointed(_next_nodes(rounds[-1], height))
     return nodes.select("tree", "digest"), rounds
 
 
-def paths_above(rounds: list[DataFrame]) -> DataFrame | None:
+def paths_above(rounds: list[DataFrame], height: int) -> DataFrame | None:
     """(tree, chunk, steps) of the path above every slot array of the first round, None if there is nothing above."""
     above = None
     for arrays in reversed(rounds[1:]):
-        above = _paths_down(arrays, above)
+        above = _paths_down(arrays, above, height)
     return above
 
 
 def manifest(df: DataFrame, fields: list[Column], claimed: list[Column] | None = None, id_col: str = "doc_id",
-             group_col: str = "lang") -> DataFrame:
+             group_col: str = "lang", height: int = SLOT_LEVELS) -> DataFrame:
     """For each row: ``id_col``, ``leaf``, ``place`` in its group, ``subroot``, ``root``, ``proof``, ``folded_root`` and
     ``verified``.
 
@@ -206,27 +206,27 @@ def manifest(df: DataFrame, fields: list[Column], claimed: list[Column] | None =
         tree.alias("tree"), quoted(id_col).cast("long").alias("id"), leaf_of(fields).alias("leaf"),
         leaf_of(claimed or fields).alias("claim")).withColumn("order", F.monotonically_increasing_id()))
     placed, sizes = coordinates(leaves)
-    arrays = slot_arrays(placed.withColumnRenamed("leaf", "digest").join(sizes, "tree"), ("id", "claim"))
-    subroots, rounds = reduce_trees(arrays, sizes.agg(F.max("n")).first()[0] or 0)
+    arrays = slot_arrays(placed.withColumnRenamed("leaf", "digest").join(sizes, "tree"), height, ("id", "claim"))
+    subroots, rounds = reduce_trees(arrays, sizes.agg(F.max("n")).first()[0] or 0, height)
     groups = sizes.count()
     numbered = checkpointed(running_total(subroots.withColumn("all", F.lit("")), ["all"], ["tree"], F.lit(1), "at"))
     tops = numbered.select(F.lit("").alias("tree"), F.lit(groups).cast("long").alias("n"), "at", "digest")
-    root, upper = reduce_trees(slot_arrays(tops), groups)
+    root, upper = reduce_trees(slot_arrays(tops, height), groups, height)
     # The subroots are the lowest slots of the upper tree, so their paths are one round further down.
-    top_paths = _paths_down(upper[0], paths_above(upper))
+    top_paths = _paths_down(upper[0], paths_above(upper, height), height)
     found = root.first()
     named = numbered.join(top_paths.select(F.col("chunk").alias("at"), F.col("steps").alias("top_steps")), "at").select(
         "tree", F.col("digest").alias("subroot"), F.lit(found["digest"] if found else None).alias("root"), "top_steps")
-    rows = _with_steps(arrays, paths_above(rounds)).join(named, "tree")
+    rows = _with_steps(arrays, paths_above(rounds, height)).join(named, "tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            levels = reduced(_placed(row), row["n"])
+            levels = reduced(_placed(row), row["n"], height)
             above = (row["steps"] or []) + row["top_steps"]
             out = {c: [] for c in ("id", "leaf", "place", "subroot", "root", "proof", "folded_root")}
             for slot in row["slots"]:
                 proof = path(levels, slot["slot"]) + above
-                values = (slot["id"], slot["digest"], row["chunk"] * SLOTS + slot["slot"], row["subroot"], row["root"],
+                values = (slot["id"], slot["digest"], row["chunk"] * FAN ** height + slot["slot"], row["subroot"], row["root"],
                           proof, folded(slot["claim"], proof))
                 for column, value in zip(out.values(), values):
                     column.append(value)

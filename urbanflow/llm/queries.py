@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import (bpe, counts, exact, manifest, mixing, packing, passages, pii, quality, rules, simhash,
-                           toxicity)
+from urbanflow.llm import (bpe, counts, divergence, exact, manifest, mixing, packing, passages, pii, quality, rules,
+                           simhash, toxicity)
 from urbanflow.llm.common import documents, labels
 from urbanflow.session import ensure_checkpoint_dir
 
@@ -84,6 +84,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fields = [F.col(c) for c in manifest.FIELDS]
@@ -104,7 +108,8 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality,
            "op4_packed_ids": op4_packed_ids, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash,
            "op7_personal_data": op7_personal_data, "op8_passages": op8_passages,
-           "op9_quality_rules": op9_quality_rules, "op10_source_mix": op10_source_mix, "op12_manifest": op12_manifest,
+           "op9_quality_rules": op9_quality_rules, "op10_source_mix": op10_source_mix, "op11_divergence": op11_divergence,
+           "op12_manifest": op12_manifest,
            "op13_toxicity": op13_toxicity}
 
 #: CRC-32 of a decimal number's text, bit by bit.
@@ -123,6 +128,29 @@ SQL = {"op2_exact_dedup": """
     select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
            doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
     from d""",
+       "op11_divergence": f"""
+    with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t,
+                      row_number() over () as r from documents),
+    w as materialized (select lang, source, r, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+    k as materialized (select lang, term, count(*)::hugeint as total from w group by lang, term having count(distinct r) >= 30),
+    v as (select lang, count(*)::hugeint as v, sum(total)::hugeint as n from k group by lang),
+    g as materialized (select distinct lang, source from d),
+    c as materialized (select lang, source, term, count(*)::hugeint as c from w semi join k using (lang, term) group by all),
+    gn as (select lang, source, sum(c)::hugeint as n from c group by all),
+    p as materialized (
+      select g.lang, g.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000 * (coalesce(c.c, 0) + 5)) // (coalesce(gn.n, 0) + 5 * v.v) as p,
+             1 + (1000000000 * (k.total + 5)) // (v.n + 5 * v.v) as q
+      from g join k using (lang) join v using (lang) left join c using (lang, source, term) left join gn using (lang, source)),
+    s as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+          from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+             from g a join g b on a.lang = b.lang and a.source <> b.source
+             left join s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+    term as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where c > 0 and p > q),
+    ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+               from (select * from pair union all select * from term))
+    select * from ranked where part = 'pair' or rank <= 50""",
        "op12_manifest": f"""
     with recursive d as (
       select doc_id, lang, {_leaf_sql()} as leaf, {_leaf_sql(f"n_chars + case when {CRC32} % 7 = 0 then 1 else 0 end")} as claim,
