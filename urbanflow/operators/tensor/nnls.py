@@ -140,8 +140,11 @@ def active_set(gram: np.ndarray, right: np.ndarray, start: np.ndarray | None = N
 SOLVERS = {"anls_bpp": block_pivoting, "anls_asgroup": active_set}
 
 
-def nnls_rows(right: Factor, gram: np.ndarray, method: str, warm: Factor | None = None) -> Factor:
-    """Solve every row of a factor, starting from the rows of ``warm``; absent rows have the solution 0."""
+def nnls_rows(right: Factor, gram: np.ndarray, method: str, warm: Factor | None = None, keep: str | None = None) -> Factor:
+    """Solve every row of a factor, starting from the rows of ``warm``; absent rows have the solution 0.
+
+    ``keep`` also keeps the right-hand sides, as columns with that prefix.
+    """
     if method not in SOLVERS:
         raise ValueError(f"unknown method {method!r}")
     rank, names = right.rank, right.columns
@@ -151,6 +154,7 @@ def nnls_rows(right: Factor, gram: np.ndarray, method: str, warm: Factor | None
         df = df.join(hinted(old, warm.is_small()), "idx", "left").na.fill(0.0)
 
     solver, starts = SOLVERS[method], [f"w{c}" for c in range(rank)] if warm is not None else []
+    kept = [f"{keep}{c}" for c in range(rank)] if keep else []
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -158,6 +162,8 @@ def nnls_rows(right: Factor, gram: np.ndarray, method: str, warm: Factor | None
             start = batch[starts].to_numpy(float) if starts else None
             out = pd.DataFrame(solver(gram, rows, start), columns=names)
             out.insert(0, "idx", batch["idx"].to_numpy())
+            for c, name in enumerate(kept):
+                out[name] = rows[:, c]
             yield out
-    schema = ", ".join(["idx bigint", *[f"{n} double" for n in names]])
+    schema = ", ".join(["idx bigint", *[f"{n} double" for n in [*names, *kept]]])
     return Factor(df.mapInPandas(solve, schema), right.rows, rank)

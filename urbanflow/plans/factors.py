@@ -30,21 +30,26 @@ def model_rows(factors: list[A.Factor], digits=5):
 
 def cp_als(spark, folder):
     t = TT.od_tensor_of(spark, folder)[0]
-    found = cp.cp_als(t, RANK, max_iter=SWEEPS)
-    return model_rows(found.model.factors).withColumn("fit", F.lit(round(found.fit, 5)))
+    found = cp.cp_als(t, RANK)
+    return model_rows(found.model.factors).withColumn("fit", F.lit(round(found.fit, 5))).withColumn(
+        "sweeps", F.lit(found.iterations))
 
 
-def cp_als_fine(spark, folder):
-    """CP on the large sparse supplier x customer x hour tensor."""
-    df = V.od_fine(spark, folder)
+def _fine(spark, folder):
+    """The large sparse supplier x customer x hour tensor."""
     sizes = (V.table(spark, folder, "supplier").count() + 1, V.table(spark, folder, "customer").count() + 1, 24)
-    found = cp.cp_als(TB.Tensor(df, ("i", "j", "k"), sizes), RANK, max_iter=1)
-    return model_rows(found.model.factors, 4)
+    return TB.Tensor(V.od_fine(spark, folder), ("i", "j", "k"), sizes)
+
+
+def cp_als_fine(spark, folder):
+    found = cp.cp_als(_fine(spark, folder), RANK)
+    return model_rows(found.model.factors, 4).withColumn("sweeps", F.lit(found.iterations))
 
 
 def _ntf(spark, folder, method):
     t = TT.od_tensor_of(spark, folder)[0]
-    return model_rows(ntf.ntf(t, RANK, method=method, stop_criterion=2, min_iter=SWEEPS, max_iter=SWEEPS).model.factors)
+    found = ntf.ntf(t, RANK, method=method, stop_criterion=2)
+    return model_rows(found.model.factors).withColumn("sweeps", F.lit(found.iterations))
 
 
 def ntf_bpp(spark, folder):
@@ -55,9 +60,15 @@ def ntf_as(spark, folder):
     return _ntf(spark, folder, "anls_asgroup")
 
 
+def ntf_fine(spark, folder):
+    """Stops by the projected gradient."""
+    found = ntf.ntf(_fine(spark, folder), RANK)
+    return model_rows(found.model.factors, 4).withColumn("sweeps", F.lit(found.iterations))
+
+
 def _beta(spark, folder, beta):
     t = TT.od_tensor_of(spark, folder)[0]
-    return model_rows(ntf.beta_ntf(t, RANK, beta=beta, n_iter=SWEEPS).model.factors)
+    return model_rows(ntf.beta_ntf(t, RANK, beta=beta).model.factors)
 
 
 def beta_ntf(spark, folder):
@@ -72,6 +83,10 @@ def beta_ntf_dense(spark, folder):
     return _beta(spark, folder, 1.5)
 
 
+def beta_ntf_fine(spark, folder):
+    return model_rows(ntf.beta_ntf(_fine(spark, folder), RANK, beta=1).model.factors, 4)
+
+
 def projected_gradient(spark, folder):
     t = TT.od_tensor_of(spark, folder)[0]
     factors = TT.start(spark, t)
@@ -222,7 +237,7 @@ def kfold_error(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    cp_als, cp_als_fine, ntf_bpp, ntf_as, beta_ntf, beta_ntf_kl, beta_ntf_dense, projected_gradient, nvecs, hosvd,
+    cp_als, cp_als_fine, ntf_bpp, ntf_as, ntf_fine, beta_ntf, beta_ntf_fine, beta_ntf_kl, beta_ntf_dense, projected_gradient, nvecs, hosvd,
     tucker_hooi, tucker_rank1, tucker_masked_gradient, component_strength, temporal_pattern, spatial_class, rank_sweep, edges, rescal,
     rescal_attributes, dedicom, indscal, matrix_factorization, pair_features, reconstruct_model1, reconstruct_model2,
     reconstruct_model3, kfold_error)}
@@ -245,31 +260,90 @@ def _dense_update(mode, names, new):
             f"{new} AS MATERIALIZED (SELECT idx, " + ", ".join(f"f{c} * (1e-15 + n{c}) / (1e-15 + d{c}) AS f{c}" for c in range(2)) + f" FROM {names[mode]} JOIN {new}_m USING (idx))"]
 
 
-def sweeps_sql(kind, sweeps=SWEEPS, head=None, sizes=TT.SIZES, facs=TT.FACS, digits=5, base="t"):
-    names, ctes = ["fa", "fb", "fc"], []
+def _chain(kind, sweeps, base="t"):
+    """Table expressions of so many sweeps, and the names of the factors after each."""
+    names, ctes, after = ["fa", "fb", "fc"], [], []
     for s in range(sweeps):
         for m in range(3):
             new = f"{LETTERS[m]}{s + 1}"
             if kind == "beta15":
                 ctes += _dense_update(m, names, new)
             else:
-                ratio = f"t.v / ({_model(names)})" if kind == "beta1" else None
+                ratio = f"{base}.v / ({_model(names)})" if kind == "beta1" else None
                 ctes += _half_sweep(kind, m, names, new, s, base=base, extra=ratio)
             names[m] = new
-    head = head or TT.TENS
-    grid = TT.GRID if kind == "beta15" else ""
-    tail = " UNION ALL ".join(
+        after.append(tuple(names))
+    return ctes, after
+
+
+def _factor_tail(names, sizes, digits):
+    return " UNION ALL ".join(
         f"SELECT {m}::INT AS mode, r.idx::BIGINT AS idx, round(coalesce(f0, 0), {digits}) AS f0, round(coalesce(f1, 0), {digits}) AS f1 FROM range({sizes[m]}) AS r(idx) LEFT JOIN {names[m]} USING (idx)"
         for m in range(3))
-    sql = f"{head}{facs}{grid}, {', '.join(ctes)}"
-    if kind == "cp" and base == "t":
-        last = f"{LETTERS[2]}{sweeps}_l"
-        xm = f"SELECT sum(t.v * ({' + '.join('*'.join([f'l{c}', *[f'{n}.f{c}' for n in names]]) for c in range(2))})) FROM t " + " ".join(
-            f"JOIN {n} ON {n}.idx = t.{'ijk'[m]}" for m, n in enumerate(names)) + f", {last}"
-        mm = " + ".join(f"(SELECT l{a} * l{b} FROM {last}) * " + " * ".join(_gram_sql(n, a, b) for n in names) for a in range(2) for b in range(2))
-        sql += f", fit AS (SELECT round(1 - ((SELECT sum(v * v) FROM t) + {mm} - 2 * ({xm})) / (SELECT sum(v * v) FROM t), 5) AS fit)"
-        return f"{sql} SELECT q.*, fit.fit FROM ({tail}) q, fit"
-    return f"{sql} {tail}"
+
+
+def sweeps_sql(kind, sweeps, head=None, sizes=TT.SIZES, facs=TT.FACS, digits=5, base="t"):
+    """Factors after a fixed number of sweeps."""
+    ctes, after = _chain(kind, sweeps, base)
+    grid = TT.GRID if kind == "beta15" else ""
+    return f"{head or TT.TENS}{facs}{grid}, {', '.join(ctes)} {_factor_tail(after[-1], sizes, digits)}"
+
+
+def _overlap(names, base, weight):
+    """Inner product of the tensor and the model, and the model's squared norm."""
+    cells = " + ".join("*".join([weight[c], *[f"{n}.f{c}" for n in names]]) for c in range(2))
+    xm = f"(SELECT sum({base}.v * ({cells})) FROM {base} " + " ".join(
+        f"JOIN {n} ON {n}.idx = {base}.{'ijk'[m]}" for m, n in enumerate(names)) + "{0})"
+    mm = " + ".join(f"{weight[a]} * {weight[b]} * " + " * ".join(_gram_sql(n, a, b) for n in names) for a in range(2) for b in range(2))
+    return xm, f"({mm})"
+
+
+def _squares(names, mode, base, project):
+    """Sum of squares of the gradient of one factor; rows that the tensor does not touch have none when projected."""
+    others = [m for m in range(3) if m != mode]
+    x, y = (names[m] for m in others)
+    h = [[f"{_gram_sql(x, a, b)} * {_gram_sql(y, a, b)}" for b in range(2)] for a in range(2)]
+    sums = ", ".join(f"sum({base}.v * {x}.f{c} * {y}.f{c}) AS m{c}" for c in range(2))
+    joins = " ".join(f"JOIN {names[m]} ON {names[m]}.idx = {base}.{'ijk'[m]}" for m in others)
+    inner = f"SELECT {base}.{'ijk'[mode]} AS idx, {sums} FROM {base} {joins} GROUP BY 1"
+    g = [f"(f0 * {h[0][c]} + f1 * {h[1][c]} - coalesce(m{c}, 0))" for c in range(2)]
+    counted = [f"CASE WHEN {g[c]} < 0 OR f{c} > 0 THEN {g[c]} * {g[c]} ELSE 0 END" if project else f"{g[c]} * {g[c]}" for c in range(2)]
+    return f"(SELECT sum({counted[0]} + {counted[1]}) FROM {names[mode]} LEFT JOIN ({inner}) USING (idx))"
+
+
+def stopped_sql(kind, rule, most, least=0, tol=1e-5, head=None, sizes=TT.SIZES, facs=TT.FACS, digits=5, base="t", fit=False):
+    """Factors after the sweep at which a stop rule holds first, out of ``most`` sweeps; ``least`` is the first one to ask.
+
+    The rules: change of the fit (0), projected gradient against the first one (1), change of the relative error (2).
+    """
+    ctes, after = _chain(kind, most, base)
+    size = f"(SELECT sum(v * v) FROM {base})"
+    states = []
+    for s in range(max(least - 1, 0), most):
+        if rule == 1:
+            state = "sqrt(" + " + ".join(_squares(after[s], m, base, True) for m in range(3)) + ") / (SELECT value FROM first)"
+        else:
+            weight = [f"l{c}" if kind == "cp" else "1.0" for c in range(2)]
+            xm, mm = _overlap(after[s], base, weight)
+            if kind == "cp":
+                last = f"{LETTERS[2]}{s + 1}_l"
+                mm = f"(SELECT {mm} FROM {last})"
+                state = f"1 - ({size} + {mm} - 2 * {xm.format(', ' + last)}) / {size}"
+            else:
+                state = f"sqrt(greatest({size} + {mm} - 2 * {xm.format('')}, 0)) / sqrt({size})"
+        states.append(f"SELECT {s} AS s, {state} AS value")
+    if rule == 1:
+        first = " + ".join(_squares(("fa", "fb", "fc"), m, base, False) for m in range(3))
+        ctes.append(f"first AS MATERIALIZED (SELECT sqrt({first}) AS value)")
+    ctes.append(f"states AS MATERIALIZED ({' UNION ALL '.join(states)})")
+    met = f"value < {tol}" if rule == 1 else f"abs(value - lag(value) OVER (ORDER BY s)) < {tol}"
+    ctes.append(f"asked AS (SELECT s, value, {met} AS met FROM states)")
+    ctes.append(f"stop AS MATERIALIZED (SELECT coalesce(min(s), {most - 1}) AS s FROM asked WHERE met AND s >= {least})")
+    tail = " UNION ALL ".join(f"SELECT q.* FROM ({_factor_tail(after[s], sizes, digits)}) q, stop WHERE stop.s = {s}"
+                              for s in range(max(least, 1), most))
+    more = ", round(value, 5) AS fit" if fit else ""
+    return (f"{head or TT.TENS}{facs}, {', '.join(ctes)} SELECT q.*{more}, (stop.s + 1)::INT AS sweeps FROM ({tail}) q, stop "
+            f"JOIN states USING (s)")
 
 
 FINE_SIZES = ("(SELECT count(*) + 1 FROM supplier)", "(SELECT count(*) + 1 FROM customer)", "24")
@@ -384,13 +458,15 @@ def _rank1_sql(sweeps=2):
 SQL = {
     "nvecs": _power_sql(),
     "tucker_rank1": _rank1_sql(),
-    "cp_als": sweeps_sql("cp"),
-    "cp_als_fine": sweeps_sql("cp", 1, FINE_HEAD, FINE_SIZES, FINE_FACS, 4, "od_fine"),
-    "ntf_bpp": sweeps_sql("ntf"),
-    "ntf_as": sweeps_sql("ntf"),
-    "beta_ntf": sweeps_sql("beta2"),
-    "beta_ntf_kl": sweeps_sql("beta1"),
-    "beta_ntf_dense": sweeps_sql("beta15"),
+    "cp_als": stopped_sql("cp", 0, 16, fit=True),
+    "cp_als_fine": stopped_sql("cp", 0, 16, head=FINE_HEAD, sizes=FINE_SIZES, facs=FINE_FACS, digits=4, base="od_fine"),
+    "ntf_bpp": stopped_sql("ntf", 2, 26, 21, 1e-4),
+    "ntf_as": stopped_sql("ntf", 2, 26, 21, 1e-4),
+    "ntf_fine": stopped_sql("ntf", 1, 24, 20, 1e-4, FINE_HEAD, FINE_SIZES, FINE_FACS, 4, "od_fine"),
+    "beta_ntf": sweeps_sql("beta2", 50),
+    "beta_ntf_kl": sweeps_sql("beta1", 50),
+    "beta_ntf_dense": sweeps_sql("beta15", 50),
+    "beta_ntf_fine": sweeps_sql("beta1", 50, FINE_HEAD, FINE_SIZES, FINE_FACS, 4, "od_fine"),
     "projected_gradient": f"""{TT.TENS}{TT.FACS}, mk AS ({TT.mttkrp_sql(0)}),
       hh AS (SELECT {', '.join(f"(SELECT sum(f{a} * f{b}) FROM fb) * (SELECT sum(f{a} * f{b}) FROM fc) AS h{a}{b}" for a in range(2) for b in range(2))}),
       gd AS (SELECT fa.idx, fa.f0 AS x0, fa.f1 AS x1, fa.f0 * h00 + fa.f1 * h10 - coalesce(mk.f0, 0) AS g0, fa.f0 * h01 + fa.f1 * h11 - coalesce(mk.f1, 0) AS g1 FROM fa LEFT JOIN mk USING (idx), hh)
