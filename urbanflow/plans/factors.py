@@ -126,18 +126,16 @@ def tucker_masked_gradient(spark, folder):
 
 
 def component_strength(spark, folder):
-    t = TT.od_tensor_of(spark, folder)[0]
-    return TT.rounded(patterns.component_strength(TT.fitted(t)), "strength", digits=3)
+    return TT.rounded(patterns.component_strength(TT.fitted(spark, folder)), "strength", digits=3)
 
 
 def temporal_pattern(spark, folder):
-    t = TT.od_tensor_of(spark, folder)[0]
-    return TT.rounded(patterns.temporal_pattern(TT.fitted(t)[2]), "value", digits=4)
+    return TT.rounded(patterns.temporal_pattern(TT.fitted(spark, folder)[2]), "value", digits=4)
 
 
 def spatial_class(spark, folder):
     t, index = TT.od_tensor_of(spark, folder)
-    rows = patterns.spatial_pattern(TT.fitted(t)[0], t, 0, index)
+    rows = patterns.spatial_pattern(TT.fitted(spark, folder)[0], t, 0, index)
     return TT.rounded(rows, "total", digits=4)
 
 
@@ -162,8 +160,8 @@ def edges(spark, folder):
 
 def rescal(spark, folder):
     rows, n, relations = _edges(spark, folder)
-    found = relational.rescal(rows, n, relations, RANK, init="random", max_iter=SWEEPS, conv=0.0)
-    return TT.factor_rows(found.a, 4)
+    found = relational.rescal(rows, n, relations, RANK, init="random")
+    return TT.factor_rows(found.a, 4).withColumn("sweeps", F.lit(found.iterations))
 
 
 def rescal_attributes(spark, folder):
@@ -172,21 +170,20 @@ def rescal_attributes(spark, folder):
     customer = V.table(spark, folder, "customer")
     attr = customer.groupBy(F.lit(0).alias("l"), F.col("c_nationkey").cast("long").alias("e"),
                             F.col("c_mktsegment").alias("a")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    found = relational.rescal(rows, n, relations, RANK, init="random", max_iter=SWEEPS, conv=0.0, attributes=attr,
-                              lambda_a=0.1, lambda_r=0.1, lambda_v=0.1)
-    return TT.rounded(found.attributes, "z0", "z1", digits=3)
+    found = relational.rescal(rows, n, relations, RANK, init="random", attributes=attr, lambda_a=0.1, lambda_r=0.1, lambda_v=0.1)
+    return TT.rounded(found.attributes, "z0", "z1", digits=3).withColumn("sweeps", F.lit(found.iterations))
 
 
 def dedicom(spark, folder):
     rows, n, relations = _edges(spark, folder)
-    found = relational.dedicom(rows, n, relations, RANK, init="random", max_iter=3)
-    return found.a.df.withColumn("fit", F.lit(found.fit))
+    found = relational.dedicom(rows, n, relations, RANK, init="random")
+    return found.a.df.withColumn("fit", F.lit(found.fit)).withColumn("sweeps", F.lit(found.iterations))
 
 
 def indscal(spark, folder):
     rows, n, relations = _edges(spark, folder)
-    found = relational.indscal(rows, n, relations, RANK, max_iter=SWEEPS, conv=0.0)
-    return TT.factor_rows(found.a, 5)
+    found = relational.indscal(rows, n, relations, RANK)
+    return TT.factor_rows(found.a, 4).withColumn("sweeps", F.lit(found.iterations))
 
 
 def matrix_factorization(spark, folder):
@@ -203,7 +200,7 @@ MIN_VOLUME = 15
 
 def _pairs(spark, folder):
     t, index = TT.od_tensor_of(spark, folder)
-    factors = TT.fitted(t)
+    factors = TT.fitted(spark, folder)
     known = places.normalized_features(PP._radius_counts(spark, folder), FEATURES)
     table = index.join(V.locations(spark, folder), "name").join(known, "name")
     return learn.pair_features(t, factors[0], factors[1], table, FEATURES, MIN_VOLUME)
@@ -371,41 +368,90 @@ def _t2(a):
     return [[a[0][0], a[1][0]], [a[0][1], a[1][1]]]
 
 
-def rescal_sql():
-    ctes, a = [], "a0"
-    s, g = [["s00", "s01"], ["s10", "s11"]], [["g00", "g01"], ["g01", "g11"]]
-    r = [["r00", "r01"], ["r10", "r11"]]
-    inv = [["g11", "-g01"], ["-g01", "g00"]]
-    for n in range(SWEEPS):
-        ctes += [_g(f"g{n}", a), _products(f"p{n}", a)]
-        middle = _matmul(_matmul(inv, s), inv)
-        ctes.append(f"r{n} AS MATERIALIZED (SELECT k, " + ", ".join(
-            f"{middle[x][y]} / pow(g00 * g11 - g01 * g01, 2) AS r{x}{y}" for x in range(2) for y in range(2)) + f" FROM p{n}, g{n})")
+def _stop_ctes(fits, conv, least=1):
+    """The first sweep, from the second one on, after which the fit changes by less than ``conv``."""
+    states = " UNION ALL ".join(f"SELECT {n} AS s, ({fit}) AS value" for n, fit in enumerate(fits))
+    return [f"states AS MATERIALIZED ({states})",
+            f"asked AS (SELECT s, abs(value - lag(value) OVER (ORDER BY s)) < {conv} AS met FROM states)",
+            f"stop AS MATERIALIZED (SELECT coalesce(min(s), {len(fits) - 1}) AS s FROM asked WHERE met AND s >= {least})"]
+
+
+def _at_stop(parts):
+    """The rows of the sweep that the stop rule picks."""
+    return " UNION ALL ".join(f"SELECT q.*, {n + 1}::INT AS sweeps FROM ({sql}) q, stop WHERE stop.s = {n}" for n, sql in enumerate(parts))
+
+
+ATTRIBUTES = """w AS MATERIALIZED (SELECT c_nationkey AS e, c_mktsegment AS a, count(*)::DOUBLE AS w FROM customer GROUP BY ALL)"""
+
+
+def rescal_sql(most, attributes=False, penalty=0.0):
+    """RESCAL with two components; ridge terms go through the eigenvectors of the 2 x 2 Gram matrix."""
+    ctes, fits, ends, a = ["nk AS MATERIALIZED (SELECT k, count(*)::DOUBLE AS n FROM e GROUP BY k)"], [], [], "a0"
+    s, g, r = [["s00", "s01"], ["s10", "s11"]], [["g00", "g01"], ["g01", "g11"]], [["r00", "r01"], ["r10", "r11"]]
+    v, l = [["c", "-d"], ["d", "c"]], ["l0", "l1"]
+
+    def state(n, a):
+        """Gram matrix, slice products, R_k and, with attributes, Z for a factor."""
+        found = [_g(f"g{n}", a), _products(f"p{n}", a)]
+        found.append(f"v{n} AS MATERIALIZED (SELECT *, c * c * g00 + 2 * c * d * g01 + d * d * g11 AS l0, d * d * g00 - 2 * c * d * g01 + c * c * g11 AS l1 "
+                     f"FROM (SELECT *, cos(0.5 * atan2(2 * g01, g00 - g11)) AS c, sin(0.5 * atan2(2 * g01, g00 - g11)) AS d FROM g{n}))")
+        turned = _matmul(_matmul(_t2(v), s), v)
+        found.append(f"u{n} AS MATERIALIZED (SELECT k, c, d, " + ", ".join(
+            f"{turned[x][y]} / ({l[x]} * {l[y]} + {penalty}) AS r{x}{y}" for x in range(2) for y in range(2)) + f" FROM p{n}, v{n})")
+        back = _matmul(_matmul(v, r), _t2(v))
+        found.append(f"r{n} AS MATERIALIZED (SELECT k, " + ", ".join(f"{back[x][y]} AS r{x}{y}" for x in range(2) for y in range(2)) + f" FROM u{n})")
+        if attributes:
+            det = f"((g00 + {penalty}) * (g11 + {penalty}) - g01 * g01)"
+            found.append(f"y{n} AS MATERIALIZED (SELECT w.a, sum(w * f0) AS f0, sum(w * f1) AS f1 FROM w JOIN {a} x ON x.idx = w.e GROUP BY w.a)")
+            found.append(f"z{n} AS MATERIALIZED (SELECT a, (f0 * (g11 + {penalty}) - f1 * g01) / {det} AS z0, (f1 * (g00 + {penalty}) - f0 * g01) / {det} AS z1 FROM y{n}, g{n})")
+        return found
+
+    ctes += state(0, a)
+    for n in range(most):
         e1, e2 = _matmul(_matmul(r, g), _t2(r)), _matmul(_matmul(_t2(r), g), r)
+        more = [[f" + (SELECT sum(z{x} * z{y}) FROM z{n})" if attributes else "" for y in range(2)] for x in range(2)]
         ctes.append(f"e{n} AS MATERIALIZED (SELECT " + ", ".join(
-            f"sum({e1[x][y]} + {e2[x][y]}) AS e{x}{y}" for x in range(2) for y in range(2)) + f" FROM r{n}, g{n})")
+            f"sum({e1[x][y]} + {e2[x][y]}){more[x][y]}{f' + {penalty}' if x == y else ''} AS e{x}{y}" for x in range(2) for y in range(2)) + f" FROM r{n}, g{n})")
+        extra = f"UNION ALL SELECT w.e, w * z0, w * z1 FROM w JOIN z{n} USING (a)" if attributes else ""
         ctes.append(f"""f{n} AS MATERIALIZED (SELECT idx, sum(f0) AS f0, sum(f1) AS f1 FROM (
           SELECT e.s AS idx, a.f0 * r00 + a.f1 * r01 AS f0, a.f0 * r10 + a.f1 * r11 AS f1 FROM e JOIN {a} a ON a.idx = e.o JOIN r{n} USING (k) UNION ALL
-          SELECT e.o, a.f0 * r00 + a.f1 * r10, a.f0 * r01 + a.f1 * r11 FROM e JOIN {a} a ON a.idx = e.s JOIN r{n} USING (k)) GROUP BY idx)""")
+          SELECT e.o, a.f0 * r00 + a.f1 * r10, a.f0 * r01 + a.f1 * r11 FROM e JOIN {a} a ON a.idx = e.s JOIN r{n} USING (k) {extra}) GROUP BY idx)""")
         a = f"a{n + 1}"
         det = "(e00 * e11 - e01 * e10)"
         ctes.append(f"{a} AS MATERIALIZED (SELECT idx::BIGINT AS idx, (f0 * e11 - f1 * e10) / {det} AS f0, (f1 * e00 - f0 * e01) / {det} AS f1 FROM f{n}, e{n})")
-    return f"{EDGE_HEAD}, {', '.join(ctes)} SELECT idx, round(f0, 4) AS f0, round(f1, 4) AS f1 FROM {a}"
-
-
-def indscal_sql():
+        ctes += state(n + 1, a)
+        model = _matmul(_matmul(g, r), g)
+        cells = [(x, y) for x in range(2) for y in range(2)]
+        gap = f"n - 2 * ({' + '.join(f'{r[x][y]} * {s[x][y]}' for x, y in cells)}) + {' + '.join(f'{r[x][y]} * {model[x][y]}' for x, y in cells)}"
+        size = " + ".join(f"{r[x][y]} * {r[x][y]}" for x, y in cells)
+        fits.append(f"SELECT max({penalty} * (g00 + g11)) + sum(({gap}) / n + {penalty} * ({size})) FROM r{n + 1} JOIN p{n + 1} USING (k) JOIN nk USING (k), g{n + 1}")
+        ends.append(f"SELECT 0::INT AS l, a, round(z0, 3) AS z0, round(z1, 3) AS z1 FROM z{n + 1}" if attributes else
+                    f"SELECT idx, round(f0, 4) AS f0, round(f1, 4) AS f1 FROM {a}")
+    ctes += _stop_ctes(fits, 1e-4)
+    head = EDGE_HEAD + (", " + ATTRIBUTES if attributes else "")
+    return f"{head}, {', '.join(ctes)} {_at_stop(ends)}"
+
+
+def indscal_sql(most):
     def polar(new, old, g):
         det = "(g00 * g11 - g01 * g01)"
         # Inverse root of a 2x2 matrix M: adjugate of (M + sqrt(det) I) over sqrt(det * (trace + 2 sqrt(det))).
         low = f"sqrt({det} * (g00 + g11 + 2 * sqrt({det})))"
         return [_g(g, old), f"{new} AS MATERIALIZED (SELECT idx, (f0 * (g11 + sqrt({det})) - f1 * g01) / {low} AS f0, (f1 * (g00 + sqrt({det})) - f0 * g01) / {low} AS f1 FROM {old}, {g})"]
-    ctes, a = polar("b0", "a0", "gg"), "b0"
-    for n in range(SWEEPS):
-        ctes.append(_products(f"p{n}", a))
+    ctes, fits, ends, a = polar("b0", "a0", "gg"), [], [], "b0"
+    ctes.append(_products("p0", a))
+    total = "(SELECT count(*)::DOUBLE FROM e)"
+    for n in range(most):
         ctes.append(f"c{n} AS MATERIALIZED (SELECT e.s AS idx, sum(f0 * greatest(s00, 0)) AS f0, sum(f1 * greatest(s11, 0)) AS f1 FROM e JOIN {a} ON idx = e.o JOIN p{n} USING (k) GROUP BY 1)")
         a = f"b{n + 1}"
         ctes += polar(a, f"c{n}", f"q{n}")
-    return f"{EDGE_HEAD}, {', '.join(ctes)} SELECT idx::BIGINT AS idx, round(f0, 5) AS f0, round(f1, 5) AS f1 FROM {a}"
+        ctes += [_products(f"p{n + 1}", a), _g(f"o{n}", a)]
+        d0, d1 = "greatest(x.s00, 0)", "greatest(x.s11, 0)"
+        fits.append(f"SELECT 1 - ({total} - 2 * sum({d0} * y.s00 + {d1} * y.s11) + sum({d0} * {d0} * g00 * g00 + 2 * {d0} * {d1} * g01 * g01 + {d1} * {d1} * g11 * g11)) / {total} "
+                    f"FROM p{n} x JOIN p{n + 1} y USING (k), o{n}")
+        ends.append(f"SELECT idx::BIGINT AS idx, round(f0, 4) AS f0, round(f1, 4) AS f1 FROM {a}")
+    ctes += _stop_ctes(fits, 1e-7)
+    return f"{EDGE_HEAD}, {', '.join(ctes)} {_at_stop(ends)}"
 
 
 _share = [f"f{c} / (f0 + f1) - (sum(f{c}) OVER ()) / (sum(f0 + f1) OVER ())" for c in range(2)]
@@ -480,7 +526,8 @@ SQL = {
       mg AS (SELECT i AS idx, sum(v) AS total FROM t GROUP BY i)
       SELECT name, idx::BIGINT AS idx, class, round(total, 4) AS total, trunc(0.99::DOUBLE * (total - min(total) OVER ()) / (max(total) OVER () - min(total) OVER ()) * 20)::INT AS bucket FROM cl JOIN mg USING (idx) JOIN names USING (idx)""",
     "edges": f"{EDGE_HEAD} SELECT k::INT AS k, s, o, 1.0::DOUBLE AS v FROM e",
-    "rescal": rescal_sql(),
-    "indscal": indscal_sql(),
+    "rescal": rescal_sql(8),
+    "rescal_attributes": rescal_sql(70, True, 0.1),
+    "indscal": indscal_sql(50),
     "pair_features": _pair_sql(),
 }
