@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import Memo, append_columns
+from urbanflow.llm.common import CACHED_CHARACTERS, Memo, append_columns
 
 STATE_LIMIT = 200_000
 PIECE_LIMIT = 600_000
@@ -183,7 +183,8 @@ class TextEncoder:
         import regex
         self._split = regex.compile(pattern).findall
         machine = Transducer(read_ranks(path))
-        self._pieces = Memo(lambda piece: np.array(machine.encode(piece.encode()), "<i4").tobytes(), PIECE_LIMIT)
+        self._pieces = Memo(lambda piece: np.array(machine.encode(piece.encode()), "<i4").tobytes(),
+                            PIECE_LIMIT, CACHED_CHARACTERS)
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._pieces.__getitem__, self._split(text or ""))), "<i4")
@@ -222,25 +223,37 @@ def _once(key: tuple, make):
     return _MADE[key]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with the token ids of ``text_col`` as an array of int."""
+def _encoded(texts: pa.Array, path: str, pattern: str) -> pa.ListArray:
+    encoder = _once(("encode", path, pattern), lambda: TextEncoder(path, pattern))
+    found = [encoder.encode(text) for text in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+
+
+def _decoded(rows: pa.ListArray, path: str) -> list[str]:
+    tokens = _once(("decode", path), lambda: {rank: token for token, rank in read_ranks(path).items()})
+    rows = rows.fill_null([]) if rows.null_count else rows
+    ids, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
+    return ["".join(decode_stream(ids[a:b].tolist(), tokens)) for a, b in zip(ends, ends[1:])]
 
-    def compute(texts: pa.Array) -> list:
-        encoder = _once(("encode", path, pattern), lambda: TextEncoder(path, pattern))
-        found = [encoder.encode(text) for text in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, found)])
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))]
 
-    return append_columns(df, text_col, [(ids_col, T.ArrayType(T.IntegerType()))], compute)
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``df`` with the token ids of ``text_col`` as an array of int."""
+    return append_columns(df, text_col, [(ids_col, T.ArrayType(T.IntegerType()))],
+                          lambda texts: [_encoded(texts, path, pattern)])
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text that the ids of ``ids_col`` stand for."""
+    return append_columns(df, ids_col, [(text_col, T.StringType())], lambda rows: [_decoded(rows, path)])
+
 
-    def compute(rows: pa.ListArray) -> list:
-        tokens = _once(("decode", path), lambda: {rank: token for token, rank in read_ranks(path).items()})
-        rows = rows.fill_null([]) if rows.null_count else rows
-        ids, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
-        return [["".join(decode_stream(ids[a:b].tolist(), tokens)) for a, b in zip(ends, ends[1:])]]
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
+               decoded_col: str = "decoded") -> DataFrame:
+    """``df`` with the token ids of ``text_col`` and the text they stand for, in one pass of the Python workers."""
+
+    def compute(texts: pa.Array) -> list:
+        ids = _encoded(texts, path, pattern)
+        return [ids, _decoded(ids, path)]
 
-    return append_columns(df, ids_col, [(text_col, T.StringType())], compute)
+    return append_columns(df, text_col, [(ids_col, T.ArrayType(T.IntegerType())), (decoded_col, T.StringType())], compute)

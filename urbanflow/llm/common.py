@@ -16,6 +16,8 @@ from urbanflow.session import checkpointed
 BLANKS = r"\x20\x09-\x0D"
 #: Rows in one Arrow batch; texts are long, so the default of 10,000 rows would hold hundreds of megabytes.
 ROWS_PER_BATCH = 256
+#: Characters of text that the keys of one cache may have together.
+CACHED_CHARACTERS = 1 << 24
 #: Bits of a bit table: 8 MB whatever the data.
 FILTER_BITS = 26
 #: White space as the tokenizer pattern means it (Unicode White_Space), written out because engines differ on \s.
@@ -126,23 +128,29 @@ class Memo(dict):
     """A dictionary that computes missing values and keeps about the ``limit`` values used last.
 
     Values live in two generations of half the limit each: when the young one is full it becomes the old one, and
-    what is then asked for again moves back.
+    what is then asked for again moves back.  Text keys also count by their length, so that long ones fill a generation
+    sooner: ``characters`` bounds both together.
     """
 
-    def __init__(self, compute: Callable | None, limit: int):
+    def __init__(self, compute: Callable | None, limit: int, characters: int | None = None):
         super().__init__()
         self._compute, self._half, self._old = compute, max(1, limit // 2), {}
+        self._room = None if characters is None else characters // 2
+        self._held = 0
 
     def _age(self) -> None:
-        if len(self) >= self._half:
+        if len(self) >= self._half or (self._room is not None and self._held >= self._room):
             self._old = dict(self)
             self.clear()
+            self._held = 0
 
     def __missing__(self, key):
         value = self._old.get(key)
         if value is None:
             value = self._compute(key)
         self._age()
+        if self._room is not None:
+            self._held += len(key)
         self[key] = value
         return value
 
@@ -157,4 +165,6 @@ class Memo(dict):
                     found.append(key)
                 else:
                     self[key] = value
+        if self._room is not None:
+            self._held += sum(map(len, found))
         return found

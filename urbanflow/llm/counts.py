@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import SAFE_PIECE, Memo, append_columns, quoted
+from urbanflow.llm.common import CACHED_CHARACTERS, SAFE_PIECE, Memo, append_columns, quoted
 
 CALL_BYTES = 1 << 18
 KNOWN_LIMIT = 1_000_000
@@ -75,7 +75,7 @@ def _cutter(definition: dict) -> Callable[[str], list[str]]:
 class Counter:
     def __init__(self, path: str):
         self._library = Library(path)
-        self._known = Memo(None, KNOWN_LIMIT)
+        self._known = Memo(None, KNOWN_LIMIT, CACHED_CHARACTERS)
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """The number of tokens of each text of a batch."""

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import Memo, quoted, small_batches
+from urbanflow.llm.common import CACHED_CHARACTERS, Memo, quoted, small_batches
 from urbanflow.llm.counts import CALL_BYTES, Library, by_bytes
 
 SHARD_IDS = 1 << 19
@@ -130,7 +130,7 @@ class Encoder:
     def __init__(self, path: str):
         self._library = Library(path)
         self.size = self._library.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._known = Memo(None, KNOWN_LIMIT)
+        self._known = Memo(None, KNOWN_LIMIT, CACHED_CHARACTERS)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         known, parts = self._known, [self._library.cut(text) if text else [] for text in texts]

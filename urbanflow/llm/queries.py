@@ -22,11 +22,11 @@ TOXIC = 0.5
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN).drop("text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).drop("text")
     decimals = F.array_join(F.col("ids").cast("array<string>"), " ")
-    back = bpe.decode(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                                 F.sha2(decimals, 256).alias("ids_sha256"), "ids"), RANKS)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
