@@ -5,7 +5,7 @@ import pytest
 from test_tensor_golden import array_of, dense, factor_array, matrix
 
 from urbanflow.operators.tensor import algebra as A
-from urbanflow.operators.tensor import cp, nnls, ntf, relational, tucker
+from urbanflow.operators.tensor import cp, layout, nnls, ntf, qr, relational, tucker
 from urbanflow.operators.tensor import table as TB
 
 RNG = np.random.default_rng(7)
@@ -114,6 +114,64 @@ def test_nvecs_long_mode(spark):
     assert np.allclose(np.abs(left.T @ got), np.eye(2), atol=1e-6)
 
 
+def test_hosvd_and_hooi_agree_with_numpy_on_a_longer_tensor(spark):
+    """40 x 40 x 30, sparse: vectors, residual and core against dense decompositions."""
+    rng = np.random.default_rng(11)
+    shape = (40, 40, 30)
+    y = np.einsum("ir,jr,kr->ijk", *[rng.standard_normal((n, 3)) * [4, 2, 1] for n in shape]) * (rng.random(shape) < 0.3)
+    t = TB.nonzeros(dense(spark, y))
+    left = []
+    for mode in range(3):
+        u, s, _ = np.linalg.svd(np.moveaxis(y, mode, 0).reshape(shape[mode], -1), full_matrices=False)
+        found = tucker.leading_vectors(t, mode, 2)
+        got = factor_array(found.factor)
+        assert found.residual <= 1e-11 and np.allclose(found.values, s[:2] ** 2, rtol=1e-10)
+        assert np.allclose(np.abs(u[:, :2].T @ got), np.eye(2), atol=1e-8)
+        left.append(u[:, :2])
+    factors, core = tucker.hosvd(t, 2)
+    want = np.einsum("ijk,ia,jb,kc->abc", y, *left)
+    assert np.allclose(np.abs(array_of(core)), np.abs(want), atol=1e-7)
+    for f, u in zip(factors.values(), left):
+        assert np.allclose(np.abs(u.T @ factor_array(f)), np.eye(2), atol=1e-8)
+
+    u, fit = [None, *[np.array(start(shape, 2)[m]) for m in (1, 2)]], 0.0
+    for sweep in range(500):
+        before = fit
+        for mode in range(3):
+            others = [u[m] for m in range(3) if m != mode]
+            w = np.einsum(["ijk,jb,kc->ibc", "ijk,ib,kc->jbc", "ijk,ib,jc->kbc"][mode], y, *others).reshape(shape[mode], -1)
+            u[mode] = np.linalg.svd(w, full_matrices=False)[0][:, :2]
+        fit = 1 - np.sqrt(max((y ** 2).sum() - ((u[2].T @ w) ** 2).sum(), 0)) / np.linalg.norm(y)
+        if sweep > 1 and abs(fit - before) < 1e-3:
+            break
+    found = tucker.hooi(t, 2, init="random", conv=1e-3)
+    assert found.iterations == sweep + 1 and found.fit == pytest.approx(fit, abs=1e-10)
+    for f, want in zip(found.factors, u):
+        assert np.allclose(np.abs(want.T @ factor_array(f)), np.eye(2), atol=1e-6)
+
+
+def test_projections_of_many_columns_are_summed_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    y = rng.standard_normal((9, 8, 7))
+    u = [rng.standard_normal((n, 3)) for n in (9, 8, 7)]
+    monkeypatch.setattr(tucker, "COLUMNS_AT_ONCE", 4)
+    with layout.ModeCopies(dense(spark, y), 3) as copies:
+        got = factor_array(tucker.projected(copies, [A.factor_from_array(spark, x) for x in u], 1))
+    assert np.allclose(got, np.einsum("ijk,ib,kc->jbc", y, u[0], u[2]).reshape(8, -1))
+
+
+def test_tree_qr_keeps_small_directions(spark):
+    """Columns of sizes 1 to 1e-10: a Gram matrix would lose the smallest."""
+    rng = np.random.default_rng(4)
+    a = np.linalg.qr(rng.standard_normal((60, 4)))[0] * [1, 1e-3, 1e-7, 1e-10]
+    f = A.factor_from_array(spark, a)
+    f = A.Factor(f.df.repartition(5), f.rows, f.rank)
+    assert np.allclose(np.linalg.svd(qr.tall_r(f))[1], [1, 1e-3, 1e-7, 1e-10], rtol=1e-4)
+    assert np.allclose(factor_array(qr.orthonormal(f)).T @ factor_array(qr.orthonormal(f)), np.eye(4), atol=1e-5)
+    empty = A.Factor(f.df.where("idx < 0"), 0, 4)
+    assert qr.whitener(qr.tall_r(empty)).shape == (4, 0)
+
+
 def test_tucker_recovers_a_planted_core(spark):
     shape, ranks = (7, 8, 9), (2, 3, 2)
     factors = [np.linalg.qr(RNG.standard_normal((n, r)))[0] for n, r in zip(shape, ranks)]
@@ -128,10 +186,10 @@ def test_tucker_recovers_a_planted_core(spark):
 
 
 def test_tucker_with_many_components(spark, monkeypatch):
-    """The long-table half-sweep gives the same model as the wide one."""
+    """Projections summed in parts give the same model as those summed at once."""
     y = RNG.random((6, 5, 4))
     wide = tucker.hooi(dense(spark, y), (2, 2, 2), max_iter=2)
-    monkeypatch.setattr(tucker, "WIDE_COLUMNS", 1)
+    monkeypatch.setattr(tucker, "COLUMNS_AT_ONCE", 1)
     long = tucker.hooi(dense(spark, y), (2, 2, 2), max_iter=2)
     assert long.fit == pytest.approx(wide.fit, abs=1e-8) and np.allclose(long.core, wide.core, atol=1e-6)
     for a, b in zip(wide.factors, long.factors):

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from urbanflow.operators.tensor.algebra import (Factor, all_rows, factor_from_array, factor_matrix, flipsign, gram, hinted, inner,
-                                                join_factors, number, scaled, signs, start_factor, times, ttm, ttm_many, tucker_sql,
-                                                tucker_value)
+from urbanflow.operators.tensor.algebra import (Factor, all_rows, factor_matrix, flipsign, hinted, inner, join_factors, number,
+                                                scaled, signs, start_factor, times, ttm_many, tucker_sql, tucker_value)
+from urbanflow.operators.tensor.layout import ModeCopies
+from urbanflow.operators.tensor.qr import ROUNDING, tall_r, whitener
 from urbanflow.operators.tensor.sweep import FactorStore, kept
 from urbanflow.operators.tensor.table import Tensor
 from urbanflow.session import checkpoint_table, checkpointed, drop_table
 
-OVERSAMPLE = 8
-SUBSPACE = 32
-WIDE_COLUMNS = 64
+#: Directions of the range finder beyond those asked for.
+OVERSAMPLE = 32
+#: Columns of a projected unfolding that one pass sums; more would make one generated function too long.
+COLUMNS_AT_ONCE = 64
 
 
 def _apply_gram(t: Tensor, mode: int, q: Factor) -> Factor:
@@ -32,42 +35,82 @@ def _apply_gram(t: Tensor, mode: int, q: Factor) -> Factor:
     return Factor(rows, q.rows, q.rank)
 
 
-def nvecs(t: Tensor, mode: int, rank: int, flip: bool = True, max_iter: int = 200, tol: float = 1e-11) -> Factor:
-    """Leading left vectors of a mode unfolding, by subspace iteration with a few extra columns.
+@dataclass
+class LeadingVectors:
+    """Leading left vectors of a mode unfolding, the squares of its singular values, and how far they are from exact:
+    ``residual`` is the norm of (Gram matrix times vectors - vectors times values) in units of the largest value."""
 
-    Work is proportional to the non-zeros, and only matrices of rank size reach the driver.  A mode of at most
-    ``SUBSPACE`` indices is solved in one step, which is the same iteration with every direction in it; beyond it
-    rounds go on until the values change by less than ``tol``, and a warning says if ``max_iter`` came first.
-    Directions that the unfolding does not have are completed, so the factor always has ``rank`` columns.
+    factor: Factor
+    values: np.ndarray
+    residual: float
+    rounds: int
+
+
+def _sketch(t: Tensor, mode: int, width: int) -> Factor:
+    """The unfolding times a matrix of random signs, which are bits of a hash of the column: one pass, nothing is joined."""
+    others = [t.modes[m] for m in t.others(mode)]
+    sums = [f"sum(if((shiftright(xxhash64({c // 64}, {', '.join(others)}), {c % 64}) & 1) = 1, v, -v)) as f{c}" for c in range(width)]
+    return Factor(t.df.groupBy(F.expr(f"{t.modes[mode]} as idx")).agg(*map(F.expr, sums)), t.shape[mode], width)
+
+
+def leading_vectors(t: Tensor, mode: int, rank: int, max_iter: int = 200, tol: float = 1e-11) -> LeadingVectors:
+    """Leading left vectors of a mode unfolding by a randomized range finder and subspace iteration.
+
+    The subspace has ``OVERSAMPLE`` directions more than asked for, at most the length of the mode; if it holds the whole
+    range, which it does for short modes, the first round is exact.  Tall matrices are made orthonormal by a tree QR.
+    Rounds end when the residual is below ``tol``; a warning says if ``max_iter`` came first.  Work is proportional to the
+    non-zeros, and only matrices of the subspace's size reach the driver.
     """
-    spark, n = t.df.sparkSession, t.shape[mode]
-    exact = n <= SUBSPACE
-    width = n if exact else min(n, rank + OVERSAMPLE)
-    q = factor_from_array(spark, np.eye(n)) if exact else start_factor(spark, mode, n, width)
-    if not exact:
-        q = times(q, _whitener(gram(q)))
-    values, done, tables = np.zeros(rank), False, []
-    for _ in range(1 if exact else max_iter):
-        y = _apply_gram(t, mode, q)
-        df, path = checkpoint_table(y.df)
+    n = t.shape[mode]
+    y, path = _written(_sketch(t, mode, min(n, rank + OVERSAMPLE)))
+    tables, residual, best, values, rounds = [path], 0.0, None, np.zeros(0), 0
+    for rounds in range(1, max_iter + 1):
+        turn = whitener(tall_r(y))
+        if not turn.shape[1]:
+            break
+        q = times(y, turn)
+        y, path = _written(_apply_gram(t, mode, q))
         tables.append(path)
-        y = Factor(df, n, y.rank)
         ritz = inner(q, y)
         found, vectors = np.linalg.eigh((ritz + ritz.T) / 2)
         found, vectors = found[::-1], vectors[:, ::-1]
-        held = int((found[:rank] > max(found[0], 0.0) * 1e-13).sum()) if len(found) else 0
-        best = times(q, vectors[:, :held]) if held else None
-        done = exact or np.abs(found[:rank] - values[:len(found[:rank])]).max() <= tol * max(abs(found[0]), 1e-300)
-        values = found[:rank]
-        if done:
+        held = int((found[:rank] > max(found[0], 0.0) * ROUNDING).sum())
+        values, best = found[:held], times(q, vectors[:, :held])
+        residual = _residual_norm(q, y, vectors[:, :held], values) / max(found[0], 1e-300)
+        if residual <= tol:
             break
-        q = times(y, _whitener(gram(y)))
-        for old in tables[:-1]:
-            drop_table(spark, old)
-        del tables[:-1]
-    if not done:
-        warnings.warn(f"leading vectors of mode {mode} still change after {max_iter} rounds", stacklevel=2)
-    best = _completed(spark, best, mode, n, rank)
+        for old in tables[:-2]:
+            drop_table(t.df.sparkSession, old)
+        del tables[:-2]
+    else:
+        warnings.warn(f"leading vectors of mode {mode}: residual {residual:.1e} after {max_iter} rounds", stacklevel=2)
+    if best is not None:
+        best, _ = _written(best)
+    for old in tables:
+        drop_table(t.df.sparkSession, old)
+    return LeadingVectors(_completed(t.df.sparkSession, best, mode, n, rank), values, residual, rounds)
+
+
+def _written(f: Factor) -> tuple[Factor, str]:
+    df, path = checkpoint_table(f.df)
+    return Factor(df, f.rows, f.rank), path
+
+
+def _residual_norm(q: Factor, y: Factor, vectors: np.ndarray, values: np.ndarray) -> float:
+    """Norm of y V - q V diag(values)."""
+    right = y.df.selectExpr("idx", *[f"{c} as g{k}" for k, c in enumerate(y.columns)])
+    both = q.df.join(hinted(right, y.is_small()), "idx")
+    gaps = [" + ".join([f"g{c} * {number(vectors[c, h])} - f{c} * {number(vectors[c, h] * values[h])}" for c in range(q.rank)])
+            for h in range(len(values))]
+    return float(both.agg(F.expr("sum(" + " + ".join(f"pow({g}, 2)" for g in gaps) + ")")).first()[0] or 0.0) ** 0.5
+
+
+def nvecs(t: Tensor, mode: int, rank: int, flip: bool = True, max_iter: int = 200, tol: float = 1e-11) -> Factor:
+    """The factor of :func:`leading_vectors`.
+
+    Directions that the unfolding does not have are completed, so the factor always has ``rank`` columns.
+    """
+    best = leading_vectors(t, mode, rank, max_iter, tol).factor
     return flipsign(best) if flip else best
 
 
@@ -87,7 +130,7 @@ def _completed(spark, best: Factor | None, mode: int, n: int, rank: int) -> Fact
         both = full.df.join(hinted(more, extra.is_small()), "idx")
         shift = [" - ".join([f"g{k}", *[f"f{s} * {number(cross[s, k])}" for s in range(have)]]) for k in range(rank - have)]
     rest = Factor(both.selectExpr("idx", *[f"{e} as f{k}" for k, e in enumerate(shift)]), n, rank - have)
-    turn = _whitener(gram(rest))
+    turn = whitener(tall_r(rest))
     if turn.shape[1] < rank - have:
         turn = np.hstack([turn, np.eye(rank - have)[:, :rank - have - turn.shape[1]]])
     rest = times(rest, turn)
@@ -97,13 +140,6 @@ def _completed(spark, best: Factor | None, mode: int, n: int, rank: int) -> Fact
     return Factor(all_rows(best).df.join(hinted(renamed, rest.is_small()), "idx"), n, rank)
 
 
-def _whitener(g: np.ndarray) -> np.ndarray:
-    """Matrix that makes the columns behind a Gram matrix orthonormal, dropping directions without weight."""
-    values, vectors = np.linalg.eigh(g)
-    good = values > values.max() * 1e-14
-    return vectors[:, good] / np.sqrt(values[good])
-
-
 def _ranks(t: Tensor, rank) -> list[int]:
     return [int(rank)] * t.order if np.isscalar(rank) else [int(r) for r in rank]
 
@@ -130,31 +166,30 @@ class TuckerResult:
     iterations: int
 
 
-def projected(t: Tensor, factors, mode: int) -> Factor:
+def projected(copies: ModeCopies, factors, mode: int) -> Factor:
     """Tensor times the transposed factors of all other modes, as one wide row per index of ``mode``.
 
-    Columns run over the other modes' components, the last one fastest.
+    Columns run over the other modes' components, the last one fastest; ``COLUMNS_AT_ONCE`` of them are summed in one pass.
     """
-    others = t.others(mode)
-    rows = join_factors(t, factors, others)
-    sums = []
-    for at in np.ndindex(*[factors[m].rank for m in others]):
-        value = " * ".join(["v", *[f"m{m}_{c}" for m, c in zip(others, at)]])
-        sums.append(F.expr(f"sum({value}) as f{len(sums)}"))
-    df = rows.groupBy(F.expr(f"{t.modes[mode]} as idx")).agg(*sums)
-    return Factor(df, t.shape[mode], len(sums))
+    others = copies.tensor.others(mode)
+    values = {f"f{n}": " * ".join(["v", *[f"m{m}_{c}" for m, c in zip(others, at)]])
+              for n, at in enumerate(np.ndindex(*[factors[m].rank for m in others]))}
+    df = None
+    for some in batched(values.items(), COLUMNS_AT_ONCE):
+        part = copies.per_index(mode, copies.joined(mode, factors, others), dict(some))
+        df = part if df is None else df.join(part, "idx")
+    return Factor(df, copies.tensor.shape[mode], len(values))
 
 
 def hooi(t: Tensor, rank, init="nvecs", max_iter: int = 500, conv: float = 1e-7) -> TuckerResult:
     """Tucker decomposition by orthogonal iteration.
 
-    One job per half-sweep returns the Gram matrix of the projected unfolding on its thin side; the new factor
-    is the unfolding times a small matrix, and the core follows from the same Gram matrix.
+    A half-sweep writes the projected unfolding W on the copy of its mode and reduces it to a triangle by a tree QR; the
+    singular vectors of the triangle turn W into the new factor and give the core.  Sweeps end when the fit changes by less
+    than ``conv``.
     """
     ranks = _ranks(t, rank)
-    t = kept(t)
     spark = t.df.sparkSession
-    norm_x = float(t.df.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0) ** 0.5
     if isinstance(init, list):
         factors = list(init)
     elif init == "random":
@@ -163,44 +198,30 @@ def hooi(t: Tensor, rank, init="nvecs", max_iter: int = 500, conv: float = 1e-7)
         factors = [None, *[nvecs(t, m, ranks[m]) for m in t.others(0)]]
     else:
         raise ValueError(f"unknown init option {init!r}")
-    store, fit, core, sweep = FactorStore(factors), 0.0, None, 0
-    for sweep in range(max_iter):
-        before = fit
-        for mode in range(t.order):
-            if np.prod([ranks[m] for m in t.others(mode)]) > WIDE_COLUMNS:
-                core = _long_half_sweep(t, store, mode, ranks[mode])
-                continue
-            store.put(mode, projected(t, store.factors, mode))
-            values, vectors = np.linalg.eigh(store.grams[mode])
-            top = np.argsort(values)[::-1][:ranks[mode]]
-            inverse = vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-300))
-            flat = inverse.T @ store.grams[mode]
-            others = [ranks[m] for m in t.others(mode)]
-            core = np.moveaxis(flat.reshape([-1, *others]), 0, mode)
-            store.factors[mode] = times(store.factors[mode], inverse)
-        fit = 1 - max(norm_x ** 2 - float((core ** 2).sum()), 0.0) ** 0.5 / norm_x
-        if sweep > 1 and abs(fit - before) < conv:
-            break
-    t.df.unpersist()
-    factors = []
-    for mode, f in enumerate(store.factors):
+    fit, core, sweep, paths = 0.0, None, 0, [None] * t.order
+    with ModeCopies(t) as copies:
+        norm_x = copies.norm()
+        for sweep in range(max_iter):
+            before = fit
+            for mode in range(t.order):
+                wide, path = _written(projected(copies, factors, mode))
+                _, s, vt = np.linalg.svd(tall_r(wide), full_matrices=False)
+                s, vt = s[:ranks[mode]], vt[:ranks[mode]]
+                held = s > ROUNDING * s.max(initial=0.0)
+                factors[mode] = times(wide, vt.T * np.divide(1.0, s, out=np.zeros_like(s), where=held))
+                core = np.moveaxis((s[:, None] * vt).reshape([-1, *[factors[m].rank for m in t.others(mode)]]), 0, mode)
+                if paths[mode]:
+                    drop_table(spark, paths[mode])
+                paths[mode] = path
+            fit = 1 - max(norm_x ** 2 - float((core ** 2).sum()), 0.0) ** 0.5 / norm_x
+            if sweep > 1 and abs(fit - before) < conv:
+                break
+    found = []
+    for mode, f in enumerate(factors):
         turn = signs(f)
-        factors.append(scaled(f, turn))
+        found.append(scaled(f, turn))
         core = core * turn.reshape([-1 if m == mode else 1 for m in range(t.order)])
-    return TuckerResult(core, factors, fit, sweep + 1)
-
-
-def _long_half_sweep(t: Tensor, store: FactorStore, mode: int, rank: int) -> np.ndarray:
-    """Half-sweep for many components: the projected tensor stays a long table instead of wide rows."""
-    matrices = {m: (factor_matrix(f), f.rank) for m, f in enumerate(store.factors) if m != mode}
-    small = ttm_many(t, matrices, transp=True)
-    small = small.with_df(checkpointed(small.df))
-    store.put(mode, nvecs(small, mode, rank))
-    cells = ttm(small, factor_matrix(store.factors[mode]), rank, mode, transp=True)
-    core = np.zeros(cells.shape)
-    for row in cells.df.collect():
-        core[tuple(int(row[m]) for m in t.modes)] = row["v"]
-    return core
+    return TuckerResult(core, found, fit, sweep + 1)
 
 
 def masked_tucker(t: Tensor, rank: int, steps: int = 500, alpha: float = 0.0002, beta: float = 0.02,

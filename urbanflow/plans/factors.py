@@ -107,8 +107,8 @@ def hosvd(spark, folder):
 
 def tucker_hooi(spark, folder):
     t = TT.od_tensor_of(spark, folder)[0]
-    found = tucker.hooi(t, RANK, init="random", max_iter=3)
-    return model_rows(found.factors, 3).withColumn("fit", F.lit(round(found.fit, 4)))
+    found = tucker.hooi(t, RANK, init="random")
+    return model_rows(found.factors, 3).withColumn("fit", F.lit(round(found.fit, 4))).withColumn("sweeps", F.lit(found.iterations))
 
 
 def tucker_rank1(spark, folder):
@@ -488,6 +488,88 @@ def _power_sql(steps=40):
     return f"{TT.TENS}, {', '.join(ctes)} SELECT idx, round(x, 5) AS f0 FROM {x}"
 
 
+def _signed_sql(name, source):
+    """Columns turned so that the entry of largest magnitude is positive."""
+    turns = ", ".join(f"arg_max(sign(f{c}), abs(f{c})) AS s{c}" for c in range(2))
+    return f"{name} AS MATERIALIZED (SELECT idx, f0 * s0 AS f0, f1 * s1 AS f1 FROM {source}, (SELECT {turns} FROM {source}))"
+
+
+def _leading_sql(name, gram, size, squarings=13):
+    """Unit eigenvector ``v0, v1, ...`` and value ``l`` of the largest eigenvalue of a small matrix ``g00, g01, ...`` in one row, by
+    repeated squaring: the column of the power with the largest diagonal entry."""
+    cells = [(x, y) for x in range(size) for y in range(x, size)]
+    at = lambda x, y, p: f"{p}{min(x, y)}{max(x, y)}"
+    square = {c: " + ".join(f"{at(c[0], z, 'x')} * {at(z, c[1], 'x')}" for z in range(size)) for c in cells}
+    trace = " + ".join(at(x, x, "x") for x in range(size))
+    rows = ", ".join(f"({square[c]}) / pow({trace}, 2)" for c in cells)
+    power = (f"{name}_p(n, {', '.join(at(*c, 'x') for c in cells)}) AS (SELECT 0, {', '.join(at(*c, 'g') for c in cells)} FROM {gram} "
+             f"UNION ALL SELECT n + 1, {rows} FROM {name}_p WHERE n < {squarings})")
+    largest = f"greatest({', '.join(at(x, x, 'x') for x in range(size))})"
+    entry = {y: "CASE " + " ".join(f"WHEN {at(x, x, 'x')} = {largest} THEN {at(x, y, 'x')}" for x in range(size)) + " END" for y in range(size)}
+    vector = f"{name}_u AS MATERIALIZED (SELECT " + ", ".join(f"({entry[y]}) / sqrt({largest}) AS u{y}" for y in range(size)) + f" FROM {name}_p WHERE n = {squarings})"
+    length = "sqrt(" + " + ".join(f"u{y} * u{y}" for y in range(size)) + ")"
+    value = " + ".join(f"u{x} * u{y} * {at(x, y, 'g')}" for x in range(size) for y in range(size))
+    return [power, vector, f"{name} AS MATERIALIZED (SELECT " + ", ".join(f"u{y} / {length} AS v{y}" for y in range(size))
+            + f", ({value}) / pow({length}, 2) AS l FROM {name}_u, {gram})"]
+
+
+def hooi_sql(most, conv=1e-7):
+    """Orthogonal iteration with two components; singular vectors by repeated squaring and deflation."""
+    names, ctes, fits, ends = ["fa", "fb", "fc"], [], [], []
+    cells = [(x, y) for x in range(4) for y in range(x, 4)]
+    for s in range(most):
+        for m in range(3):
+            new, others = f"{LETTERS[m]}{s + 1}", [o for o in range(3) if o != m]
+            x, y = (names[o] for o in others)
+            joins = " ".join(f"JOIN {names[o]} ON {names[o]}.idx = t.{'ijk'[o]}" for o in others)
+            wide = ", ".join(f"sum(v * {x}.f{b} * {y}.f{c}) AS w{2 * b + c}" for b in range(2) for c in range(2))
+            ctes.append(f"{new}_w AS MATERIALIZED (SELECT t.{'ijk'[m]} AS idx, {wide} FROM t {joins} GROUP BY 1)")
+            ctes.append(f"{new}_g AS MATERIALIZED (SELECT {', '.join(f'sum(w{a} * w{b}) AS g{a}{b}' for a, b in cells)} FROM {new}_w)")
+            ctes += _leading_sql(f"{new}_1", f"{new}_g", 4)
+            ctes.append(f"{new}_h AS MATERIALIZED (SELECT {', '.join(f'g{a}{b} - l * v{a} * v{b} AS g{a}{b}' for a, b in cells)} FROM {new}_g, {new}_1)")
+            ctes += _leading_sql(f"{new}_2", f"{new}_h", 4)
+            sides = ", ".join("(" + " + ".join(f"w{a} * e{c}.v{a}" for a in range(4)) + f") / sqrt(e{c}.l) AS f{c}" for c in range(2))
+            ctes.append(f"{new} AS MATERIALIZED (SELECT idx, {sides} FROM {new}_w, {new}_1 e0, {new}_2 e1)")
+            names[m] = new
+        fits.append(f"SELECT 1 - sqrt(greatest((SELECT sum(v * v) FROM t) - (SELECT l FROM {new}_1) - (SELECT l FROM {new}_2), 0)) / sqrt((SELECT sum(v * v) FROM t))")
+        signed = [f"(WITH {_signed_sql('q', n)} SELECT * FROM q)" for n in names]
+        ends.append(" UNION ALL ".join(
+            f"SELECT {m}::INT AS mode, r.idx::BIGINT AS idx, round(coalesce(f0, 0), 3) AS f0, round(coalesce(f1, 0), 3) AS f1 FROM range({TT.SIZES[m]}) AS r(idx) LEFT JOIN {signed[m]} USING (idx)"
+            for m in range(3)))
+    ctes += _stop_ctes(fits, conv, 2)
+    head = TT.TENS.replace("WITH ", "WITH RECURSIVE ", 1)
+    return (f"{head}{TT.FACS}, {', '.join(ctes)} SELECT z.*, round(value, 4) AS fit FROM ({_at_stop(ends)}) z, stop JOIN states USING (s)")
+
+
+def hosvd_sql(squarings=13):
+    """The core of the tensor in the leading vectors of its unfoldings, found by repeated squaring of their Gram matrices."""
+    ctes = []
+    for m, letter in enumerate(LETTERS):
+        key, rest = "ijk"[m], [k for k in "ijk" if k != "ijk"[m]]
+        same = " AND ".join(f"x.{k} = y.{k}" for k in rest)
+        gram = f"{letter}_g0"
+        ctes.append(f"{gram} AS MATERIALIZED (SELECT x.{key} AS a, y.{key} AS b, sum(x.v * y.v) AS x FROM t x JOIN t y ON {same} GROUP BY 1, 2)")
+        for c in range(2):
+            now = gram
+            for n in range(squarings):
+                new = f"{letter}_q{c}_{n}"
+                ctes.append(f"{new} AS MATERIALIZED (SELECT p.a, q.b, sum(p.x * q.x) / (SELECT pow(sum(x), 2) FROM {now} WHERE a = b) AS x FROM {now} p JOIN {now} q ON p.b = q.a GROUP BY 1, 2)")
+                now = new
+            top = f"(SELECT arg_max(a, x) FROM {now} WHERE a = b)"
+            ctes.append(f"{letter}_u{c} AS MATERIALIZED (SELECT a, x / sqrt((SELECT sum(x * x) FROM {now} WHERE b = {top})) AS x FROM {now} WHERE b = {top})")
+            if c == 0:
+                value = f"(SELECT sum(g.x * p.x * q.x) FROM {gram} g JOIN {letter}_u0 p ON p.a = g.a JOIN {letter}_u0 q ON q.a = g.b)"
+                ctes.append(f"{letter}_l AS MATERIALIZED (SELECT {value} AS l)")
+                ctes.append(f"{letter}_g1 AS MATERIALIZED (SELECT g.a, g.b, g.x - l * p.x * q.x AS x FROM {gram} g JOIN {letter}_u0 p ON p.a = g.a JOIN {letter}_u0 q ON q.a = g.b, {letter}_l)")
+                gram = f"{letter}_g1"
+        ctes.append(f"{letter}_f AS MATERIALIZED (SELECT p.a AS idx, p.x AS f0, q.x AS f1 FROM {letter}_u0 p JOIN {letter}_u1 q ON p.a = q.a)")
+        ctes.append(_signed_sql(f"{letter}_s", f"{letter}_f"))
+    joins = " ".join(f"JOIN {x}_s ON {x}_s.idx = t.{k}" for x, k in zip(LETTERS, "ijk"))
+    core = " UNION ALL ".join(f"SELECT {a}::BIGINT AS i, {b}::BIGINT AS j, {c}::BIGINT AS k, round(sum(v * a_s.f{a} * b_s.f{b} * c_s.f{c}), 3) AS v FROM t {joins}"
+                              for a in range(2) for b in range(2) for c in range(2))
+    return f"{TT.TENS}, {', '.join(ctes)} {core}"
+
+
 def _rank1_sql(sweeps=2):
     names, ctes = ["fa", "fb", "fc"], []
     for s in range(sweeps):
@@ -503,6 +585,8 @@ def _rank1_sql(sweeps=2):
 
 SQL = {
     "nvecs": _power_sql(),
+    "hosvd": hosvd_sql(),
+    "tucker_hooi": hooi_sql(24),
     "tucker_rank1": _rank1_sql(),
     "cp_als": stopped_sql("cp", 0, 16, fit=True),
     "cp_als_fine": stopped_sql("cp", 0, 16, head=FINE_HEAD, sizes=FINE_SIZES, facs=FINE_FACS, digits=4, base="od_fine"),
