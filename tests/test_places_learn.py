@@ -180,6 +180,23 @@ def test_learning(spark):
         scored = learn.kfold(pairs, model, 2, "linear")
         total = learn.total_error(scored).first()
         assert total.n == n * (n - 1) * hours and 0 < total.error < 1
+    # Fits by subtraction equal fits on the other folds' rows, for every model and case.
+    cases = {"workdays": pairs, "holidays": pairs.filter("i < 6")}
+    scored = learn.linear_kfold(cases, 10).toPandas()
+    assert scored.groupby(["case", "model"]).size().to_dict() == {
+        (c, m): 24 * k for c, k in (("workdays", 56), ("holidays", 42)) for m in ("model1", "model2", "model3")}
+    rows, _ = learn.model_columns(learn.with_folds(cases["holidays"], 10), "model3")
+    rows = rows.toPandas()
+    for model in ("model1", "model3"):
+        names = learn.model_columns(pairs, model)[1]
+        train, test = rows[rows.fold != 4], rows[rows.fold == 4]
+        x = lambda part: np.column_stack([np.ones(len(part)), part[names].to_numpy(float)])
+        weights = np.linalg.lstsq(x(train), train[[f"y{k}" for k in range(24)]].to_numpy(float), rcond=None)[0]
+        got = scored[(scored.case == "holidays") & (scored.model == model) & (scored.fold == 4)].sort_values(["i", "j", "hour"])
+        want = (x(test.sort_values(["i", "j"])) @ weights).ravel()
+        assert np.allclose(got.prediction, want, atol=1e-4)
+    errors = {(r["case"], r["model"]): r.error for r in learn.error_by_model(learn.linear_kfold(cases, 10)).collect()}
+    assert len(errors) == 6 and all(0 < e < 1 for e in errors.values())
     gbt = learn.reconstruct(folded.filter("fold < 2"), folded.filter("fold = 2"), "model3", maxIter=2, maxDepth=2)
     assert gbt.count() == 18 * hours
 

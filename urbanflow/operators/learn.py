@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext, cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -16,6 +22,9 @@ from urbanflow.session import checkpointed
 
 HOURS = 24
 
+# Ship the small batch functions with the task, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def pair_features(t: Tensor, src: Factor, dst: Factor, places: DataFrame, features: list[str],
                   min_volume: float) -> DataFrame:
@@ -113,6 +122,109 @@ def kfold(pairs: DataFrame, model: str, n_folds: int = 10, learner_name: str = "
     return out
 
 
+#: Directions of the normal equations below this share of the largest are left out of a fold's fit.
+DEPENDENT = 1e-10
+
+
+def fold_sums(folded: DataFrame, names: list[str]) -> dict[tuple[str, int], np.ndarray]:
+    """Z'Z of every (case, fold), where a pair's row of Z is 1, its features ``names`` and its 24 shares.
+
+    One pass over the pairs: tasks add up their rows, and what they send is merged by case and fold.  The driver gets one
+    matrix of features times features for each case and fold.
+    """
+    columns = [*names, *[f"y{k}" for k in range(HOURS)]]
+    width = len(columns) + 1
+    schema = "case string, fold int, part int, sums array<double>"
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for key, rows in batch.groupby(["case", "fold"], sort=False):
+                z = np.column_stack([np.ones(len(rows)), rows[columns].to_numpy(float)])
+                found[key] = found.get(key, 0.0) + z.T @ z
+        context = TaskContext.get()
+        for (case, fold), total in found.items():
+            yield pd.DataFrame({"case": [case], "fold": [fold], "part": [context.partitionId() if context else 0],
+                                "sums": [total.ravel()]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for case, fold, part in zip(batch["case"], batch["fold"], batch["sums"]):
+                found[case, fold] = found.get((case, fold), 0.0) + np.asarray(part)
+        for (case, fold), total in found.items():
+            yield pd.DataFrame({"case": [case], "fold": [fold], "part": [0], "sums": [total]})
+
+    parts = folded.select("case", "fold", *columns).mapInPandas(add, schema)
+    merged = parts.repartition("case", "fold").sortWithinPartitions("case", "fold", "part").mapInPandas(merge, schema)
+    return {(r["case"], r["fold"]): np.array(r["sums"]).reshape(width, width) for r in merged.collect()}
+
+
+def fold_weights(sums: dict[tuple[str, int], np.ndarray], names: list[str], models: dict[str, list[str]]
+                 ) -> dict[tuple[str, str, int], np.ndarray]:
+    """(case, model, fold) -> least-squares weights (constant and features x hours) of all pairs of the case but the fold's.
+
+    The statistics of a fold's training pairs are those of the case less its own, and a model's are rows and columns of
+    the statistics of all features, so nothing is read again.
+    """
+    found = {}
+    for case in {c for c, _ in sums}:
+        total = sum(s for (c, _), s in sums.items() if c == case)
+        for fold in (f for c, f in sums if c == case):
+            rest = total - sums[case, fold]
+            for model, chosen in models.items():
+                at = [0, *[1 + names.index(n) for n in chosen]]
+                size = np.sqrt(np.maximum(rest[at, at], 1e-300))
+                values, vectors = np.linalg.eigh(rest[np.ix_(at, at)] / np.outer(size, size))
+                held = values > DEPENDENT * max(values.max(), 0.0)
+                turned = vectors[:, held] / values[held] @ vectors[:, held].T
+                found[case, model, fold] = turned @ (rest[at, 1 + len(names):] / size[:, None]) / size[:, None]
+    return found
+
+
+def fold_predictions(folded: DataFrame, names: list[str], models: dict[str, list[str]],
+                     weights: dict[tuple[str, str, int], np.ndarray]) -> DataFrame:
+    """(case, model, i, j, fold, hour, y, prediction): every pair by the fit that has not seen its fold."""
+    targets = [f"y{k}" for k in range(HOURS)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (case, fold), rows in batch.groupby(["case", "fold"], sort=False):
+                y = rows[targets].to_numpy(float)
+                for model, chosen in models.items():
+                    x = np.column_stack([np.ones(len(rows)), rows[chosen].to_numpy(float)])
+                    yield pd.DataFrame({
+                        "case": case, "model": model, "i": np.repeat(rows["i"].to_numpy(), HOURS),
+                        "j": np.repeat(rows["j"].to_numpy(), HOURS), "fold": fold,
+                        "hour": np.tile(np.arange(HOURS), len(rows)), "y": y.ravel(),
+                        "prediction": (x @ weights[case, model, fold]).ravel()})
+
+    return folded.select("case", "i", "j", "fold", *names, *targets).mapInPandas(
+        run, "case string, model string, i bigint, j bigint, fold int, hour int, y double, prediction double")
+
+
+def linear_kfold(cases: dict[str, DataFrame], n_folds: int = 10, models: dict[str, list[str]] | None = None) -> DataFrame:
+    """Predictions of linear models by hour for every pair of every case, from one pass for the fits and one for the result.
+
+    ``cases`` maps a name (source and day type) to its pairs; ``models`` maps a name to feature columns, by default the
+    three models of :func:`model_columns`.
+    """
+    folded, known = None, None
+    for case, pairs in cases.items():
+        rows, largest = model_columns(with_folds(pairs, n_folds), "model3")
+        known = models or {m: model_columns(pairs, m)[1] for m in ("model1", "model2", "model3")}
+        names = largest if models is None else sorted({c for chosen in models.values() for c in chosen})
+        part = rows.select(F.lit(case).alias("case"), "i", "j", "fold", *names, *[f"y{k}" for k in range(HOURS)])
+        folded = part if folded is None else folded.unionByName(part)
+    return fold_predictions(folded, names, known, fold_weights(fold_sums(folded, names), names, known))
+
+
+def error_by_model(scored: DataFrame) -> DataFrame:
+    """Sum of absolute errors over the sum of targets, for every case and model."""
+    gap = F.sum(F.abs(F.col("prediction") - F.col("y")))
+    return scored.groupBy("case", "model").agg(F.count(F.lit(1)).alias("n"), F.try_divide(gap, F.sum("y")).alias("error"))
+
+
 def total_error(scored: DataFrame) -> DataFrame:
     """Sum of absolute errors over the sum of targets."""
     gap = F.sum(F.abs(F.col("prediction") - F.col("y")))

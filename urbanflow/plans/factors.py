@@ -198,9 +198,9 @@ FEATURES = places.feature_names(PP.TAGS)
 MIN_VOLUME = 15
 
 
-def _pairs(spark, folder):
-    t, index = TT.od_tensor_of(spark, folder)
-    factors = TT.fitted(spark, folder)
+def _pairs(spark, folder, day_type="workdays"):
+    t, index = TT.od_tensor_of(spark, folder, day_type)
+    factors = TT.fitted(spark, folder, day_type)
     known = places.normalized_features(PP._radius_counts(spark, folder), FEATURES)
     table = index.join(V.locations(spark, folder), "name").join(known, "name")
     return learn.pair_features(t, factors[0], factors[1], table, FEATURES, MIN_VOLUME)
@@ -229,15 +229,35 @@ def reconstruct_model3(spark, folder):
     return _reconstruct(spark, folder, "model3")
 
 
+FOLDS = 10
+DAY_TYPES = ("workdays", "holidays")
+#: Feature sets that SQL can follow: the products of both ends' factors, and the distance.
+SMALL_MODELS = {"model1": ["p0", "p1"], "distance": ["dist"]}
+
+
 def kfold_error(spark, folder):
-    return learn.total_error(learn.kfold(_pairs(spark, folder), "model3", 2, "linear"))
+    """Error of the three models on both day types, every pair predicted by a fit without its fold."""
+    cases = {d: _pairs(spark, folder, d) for d in DAY_TYPES}
+    return TT.rounded(learn.error_by_model(learn.linear_kfold(cases, FOLDS)), "error", digits=5)
+
+
+def kfold_error_small(spark, folder):
+    cases = {d: _pairs(spark, folder, d) for d in DAY_TYPES}
+    return TT.rounded(learn.error_by_model(learn.linear_kfold(cases, FOLDS, SMALL_MODELS)), "error", digits=6)
+
+
+def reconstruct_linear(spark, folder):
+    """Shares of every pair and hour from the factor products, by linear fits that have not seen the pair's fold."""
+    cases = {d: _pairs(spark, folder, d) for d in DAY_TYPES}
+    rows = learn.linear_kfold(cases, FOLDS, {"model1": SMALL_MODELS["model1"]})
+    return TT.rounded(rows, "y", "prediction", digits=4)
 
 
 QUERIES = {f.__name__: f for f in (
     cp_als, cp_als_fine, ntf_bpp, ntf_as, ntf_fine, beta_ntf, beta_ntf_fine, beta_ntf_kl, beta_ntf_dense, projected_gradient, nvecs, hosvd,
     tucker_hooi, tucker_rank1, tucker_masked_gradient, component_strength, temporal_pattern, spatial_class, rank_sweep, edges, rescal,
     rescal_attributes, dedicom, indscal, matrix_factorization, pair_features, reconstruct_model1, reconstruct_model2,
-    reconstruct_model3, kfold_error)}
+    reconstruct_model3, kfold_error, kfold_error_small, reconstruct_linear)}
 
 # ---- SQL counterparts -----------------------------------------------------------------------------
 # Two components allow closed forms, so whole sweeps can be written as a chain of common table expressions.
@@ -477,6 +497,48 @@ def _pair_sql():
       FROM pv JOIN pl s ON s.idx = i JOIN pl d ON d.idx = j JOIN fa ON fa.idx = i JOIN fb ON fb.idx = j"""
 
 
+def _fold_case(day_type):
+    """Predictions of the small models on one day type: normal equations by fold and hour, total less own, solved by Cramer's rule."""
+    near = PP.NEAR.replace(V.LOCATIONS + ", ", "", 1).replace(V.LOCATIONS + ",", "")
+    dist = V.haversine_sql("s.lng", "s.lat", "d.lng", "d.lat", "6400.0")
+    shares = ", ".join(f"sum(CASE WHEN k = {k} THEN v ELSE 0 END) * 100.0 / sum(v)" for k in range(24))
+    x = {"model1": ["x1", "x2"], "distance": ["x3"]}
+    moments = {"n": "count(*)", **{f"s{a}": f"sum(x{a})" for a in (1, 2, 3)}, "s11": "sum(x1 * x1)", "s12": "sum(x1 * x2)",
+               "s22": "sum(x2 * x2)", "s33": "sum(x3 * x3)", "y": "sum(y)", **{f"y{a}": f"sum(x{a} * y)" for a in (1, 2, 3)}}
+    det = lambda m: (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                     f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+    m, right = [["n", "s1", "s2"], ["s1", "s11", "s12"], ["s2", "s12", "s22"]], ["y", "y1", "y2"]
+    put = lambda c: [[right[r] if k == c else m[r][k] for k in range(3)] for r in range(3)]
+    weights = ", ".join(f"{det(put(c))} / {det(m)} AS b{c}" for c in range(3))
+    return f"""({TT.tens_sql(day_type)}{TT.FITTED}, {near},
+      pl AS (SELECT idx, lng, lat FROM names JOIN locations USING (name)),
+      pv AS (SELECT i, j, [{shares}] AS ys FROM t WHERE i <> j GROUP BY i, j HAVING sum(v) >= {MIN_VOLUME}),
+      px AS (SELECT i, j, ys, fa.f0 * fb.f0 AS x1, fa.f1 * fb.f1 AS x2, {dist} / 1000 AS x3, row_number() OVER (ORDER BY i, j) - 1 AS place, count(*) OVER () AS total
+        FROM pv JOIN pl s ON s.idx = i JOIN pl d ON d.idx = j JOIN fa ON fa.idx = i JOIN fb ON fb.idx = j),
+      pf AS MATERIALIZED (SELECT *, (CASE WHEN place < (total // {FOLDS} + 1) * (total % {FOLDS}) THEN place // (total // {FOLDS} + 1)
+        ELSE total % {FOLDS} + (place - (total // {FOLDS} + 1) * (total % {FOLDS})) // greatest(total // {FOLDS}, 1) END)::INT AS fold FROM px),
+      ph AS MATERIALIZED (SELECT i, j, fold, x1, x2, x3, unnest(range(24))::INT AS hour, unnest(ys) AS y FROM pf),
+      own AS (SELECT fold, hour, {', '.join(f'{e} AS {n}' for n, e in moments.items())} FROM ph GROUP BY ALL),
+      rest AS (SELECT fold, hour, {', '.join(f'sum({n}) OVER (PARTITION BY hour) - {n} AS {n}' for n in moments)} FROM own),
+      w AS (SELECT fold, hour, {weights}, (y * s33 - s3 * y3) / (n * s33 - s3 * s3) AS d0, (n * y3 - s3 * y) / (n * s33 - s3 * s3) AS d1 FROM rest)
+      SELECT '{day_type}' AS "case", i, j, fold, hour, y, b0 + b1 * x1 + b2 * x2 AS model1, d0 + d1 * x3 AS distance FROM ph JOIN w USING (fold, hour))"""
+
+
+def _fold_rows(models):
+    cases = " UNION ALL ".join(f"SELECT * FROM {_fold_case(d)}" for d in DAY_TYPES)
+    return " UNION ALL ".join(f"SELECT \"case\", '{m}' AS model, i, j, fold, hour, y, {m} AS prediction FROM scored" for m in models), cases
+
+
+def reconstruct_linear_sql():
+    rows, cases = _fold_rows(["model1"])
+    return f"WITH scored AS MATERIALIZED ({cases}) SELECT \"case\", model, i, j, fold, hour, round(y, 4) AS y, round(prediction, 4) AS prediction FROM ({rows})"
+
+
+def kfold_small_sql():
+    rows, cases = _fold_rows(["model1", "distance"])
+    return f"WITH scored AS MATERIALIZED ({cases}) SELECT \"case\", model, count(*)::BIGINT AS n, round(sum(abs(prediction - y)) / sum(y), 6) AS error FROM ({rows}) GROUP BY ALL"
+
+
 def _power_sql(steps=40):
     """Power iteration for the leading vector of the hour mode."""
     ctes, x = ["p0 AS (SELECT idx::BIGINT AS idx, 1.0::DOUBLE AS x FROM range(24) AS r(idx))"], "p0"
@@ -585,6 +647,8 @@ def _rank1_sql(sweeps=2):
 
 SQL = {
     "nvecs": _power_sql(),
+    "reconstruct_linear": reconstruct_linear_sql(),
+    "kfold_error_small": kfold_small_sql(),
     "hosvd": hosvd_sql(),
     "tucker_hooi": hooi_sql(24),
     "tucker_rank1": _rank1_sql(),

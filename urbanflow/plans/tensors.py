@@ -44,11 +44,11 @@ def start(spark, t, rank=RANK):
 _FITS: dict[tuple, list[A.Factor]] = {}
 
 
-def fitted(spark, folder):
-    """Factors of the nonnegative workday model, every row present; the first query that asks writes them for all others."""
-    key = (spark.sparkContext.applicationId, folder, V.stamp(spark, folder, ("lineitem", "orders", "customer", "supplier", "nation")))
+def fitted(spark, folder, day_type="workdays"):
+    """Factors of the nonnegative model of a day type, every row present; the first query that asks writes them for all others."""
+    key = (spark.sparkContext.applicationId, folder, day_type, V.stamp(spark, folder, ("lineitem", "orders", "customer", "supplier", "nation")))
     if key not in _FITS:
-        found = ntf.ntf(_t(spark, folder), RANK, "anls_bpp", stop_criterion=2, min_iter=FIT_SWEEPS, max_iter=FIT_SWEEPS)
+        found = ntf.ntf(od_tensor_of(spark, folder, day_type)[0], RANK, "anls_bpp", stop_criterion=2, min_iter=FIT_SWEEPS, max_iter=FIT_SWEEPS)
         _FITS[key] = [A.Factor(checkpointed(A.all_rows(f).df), f.rows, f.rank) for f in found.model.factors]
     return _FITS[key]
 
