@@ -366,6 +366,79 @@ def test_mix_comes_near_its_targets(spark):
     assert len(got) == 6 and all(abs(r["taken"] - r["target"]) <= 2 for r in got)
 
 
+def chosen(rows, target):
+    """The documents that get a copy more, by the rule itself: (rank, size) of each, what is needed in words."""
+    units = collections.Counter()
+    for rank, size in rows:
+        units[rank] += size
+    taken, left, open_words = set(), [], target
+    for rank in sorted(units):
+        if not left and units[rank] <= open_words + 1e-9:
+            taken.add(rank)
+            open_words -= units[rank]
+        else:
+            left.append(rank)
+    rest = sorted((u for u in left if units[u] < 2 * open_words), key=lambda u: (-units[u], u))
+    for rank in list(rest):
+        if units[rank] <= open_words:
+            taken.add(rank)
+            rest.remove(rank)
+            open_words -= units[rank]
+    if rest:
+        last = min(rest, key=lambda u: (units[u], u))
+        if units[last] - open_words < open_words:
+            taken.add(last)
+    return taken
+
+
+def hashed_unit(spark, rows):
+    """u of every row, from the operator's own hash."""
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "source", F.coalesce("text", F.lit(""))), 11) + 0.5) / float(1 << 53)
+    return {(r["doc_id"], r["text"], r["source"]): r["u"] for r in df.select("*", u.alias("u")).collect()}
+
+
+def test_selection_equals_brute_force(spark):
+    """Ranks, cut and filling recomputed one document at a time; long documents, equal sizes and repeated rows among them."""
+    rng = random.Random(21)
+    rows = [(n, " ".join(["w"] * rng.choice([1, 2, 3, 10, 10, 40, rng.randint(1, 900)])), rng.choice("aaaabcde")) for n in range(700)]
+    rows += [(9000, " ".join(["w"] * 10), "e")] * 50 + [(9001, " ".join(["w"] * 20000), "c"), (9002, None, "a"), (9003, "", None)]
+    u = hashed_unit(spark, rows)
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)).collect()
+    sizes, totals = {r: len((r[1] or "").split()) for r in rows}, collections.Counter()
+    for r in rows:
+        totals[r[2]] += sizes[r]
+    goal = plain_targets(totals)
+    for source in totals:
+        own = [r for r in rows if r[2] == source and sizes[r]]
+        if not own:
+            continue
+        rate = goal[source] / totals[source]
+        whole = int(rate + 1e-12)
+        p, mean = max(0.0, rate - whole), sum(sizes[r] for r in own) / len(own)
+        ranks = {}
+        for r in own:
+            odds = u[r] / (1 - u[r]) / (p / (1 - p) * (mean / sizes[r]) ** 0.5) if p else None
+            ranks[r] = odds / (1 + odds) if p else None
+        extra = chosen([(ranks[r], sizes[r]) for r in own], p * totals[source]) if p else set()
+        got = {(m["doc_id"], m["text"], m["source"]): m["copies"] for m in mixed if m["source"] == source and m["size"]}
+        assert got == {r: whole + (p > 0 and ranks[r] in extra) for r in own}, source
+        # No target is missed by more than the smallest document that could still be taken.
+        units = collections.Counter()
+        for r in own:
+            units[ranks[r]] += sizes[r]
+        missed = abs(sum(m["taken"] for m in mixed if m["source"] == source) - goal[source])
+        assert not p or missed <= min((n for k, n in units.items() if k not in extra), default=missed)
+
+
+def test_mix_fills_small_sources(spark):
+    """On the given tables every source comes within its smallest open document, one or two words here."""
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert len(got) == 20 and max(abs(r["taken"] - r["target"]) for r in got) <= 40, [(r["source"], r["taken"], r["target"]) for r in got]
+
+
 @pytest.mark.parametrize("sizes", [{"a": 0, "b": 0}, {"a": 10}, {"a": 1, "b": 1000, None: 5}, {"é": 7, "z": 7, "Z": 7, "a": 9000}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size bigint")
