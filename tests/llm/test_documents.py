@@ -1,6 +1,7 @@
 """Duplicates, near duplicates, passages, personal data, quality and mixing against brute force."""
 
 import collections
+import math
 import hashlib
 import itertools
 import random
@@ -431,6 +432,46 @@ def test_selection_equals_brute_force(spark):
         assert not p or missed <= min((n for k, n in units.items() if k not in extra), default=missed)
 
 
+def test_rules_verdict_equals_brute_force(spark):
+    """Counts, weights, threshold and verdict of every document recomputed from Spark's hashes of words and pairs."""
+    rng = random.Random(17)
+    good = [f"good{n}" for n in range(60)]
+    junk = [f"junk{n}" for n in range(300)]
+    docs, known = [], []
+    for n in range(160):
+        words = [rng.choice(good if n % 3 else junk) for _ in range(rng.randint(40, 120))]
+        docs.append((n, " ".join(words) if n % 40 else None, "x"))
+        if n % 2:
+            known.append((n, int(n % 3 != 0)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, score string").repartition(4)
+    labels = spark.createDataFrame(known, "doc_id bigint, quality int")
+    texts = {d: (t or "").split() for d, t, _ in docs}
+    vocabulary = sorted({w for ws in texts.values() for w in ws})
+    code = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select(
+        "w", F.xxhash64("w").alias("h")).collect()}
+    pairs = sorted({(code[a], code[b]) for ws in texts.values() for a, b in zip(ws, ws[1:])})
+    pair = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(pairs, "a bigint, b bigint").select(
+        "a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    half = {r["id"]: r["h"] % 2 == 0 for r in spark.range(160).select("id", F.xxhash64("id").alias("h")).collect()}
+    size = 1 << rules.BITS
+    grams = {d: [code[w] % size for w in ws] + [pair[code[a], code[b]] % size for a, b in zip(ws, ws[1:])] for d, ws in texts.items()}
+    trusted = {d for d, q in known if q == 1}
+    raw = collections.Counter(g for gs in grams.values() for g in gs)
+    target = collections.Counter(g for d in trusted if half[d] for g in grams[d])
+    raw_all, target_all, extra = sum(raw.values()) + size, sum(target.values()), rules.SMOOTHING * size
+    weight = lambda g: math.log((target[g] + extra * (raw[g] + 1) / raw_all) / (target_all + extra) / ((raw[g] + 1) / raw_all))
+    score = {d: sum(map(weight, gs)) / len(gs) if gs else 0.0 for d, gs in grams.items()}
+    held = [score[d] for d in trusted if not half[d] and grams[d]]
+    mean = sum(held) / len(held)
+    threshold = mean - rules.WIDTH * (sum((x - mean) ** 2 for x in held) / len(held)) ** 0.5
+    rows = rules.apply_rules(df, labels).collect()
+    assert len(rows) == 160 and len(held) > 10
+    for r in rows:
+        assert r["score"] == pytest.approx(score[r["doc_id"]], abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and score[r["doc_id"]] >= threshold)
+    assert rules.fit(df, rules.trusted_ids(labels))[1] == pytest.approx(threshold, abs=1e-7)
+
+
 def test_mix_fills_small_sources(spark):
     """On the given tables no source misses its target by more than its smallest document that could still be taken."""
     for sf in ("sf0.001", "sf0.01"):

@@ -4,14 +4,16 @@ Words and pairs of neighbouring words are hashed into ``2 ** BITS`` buckets.  Bu
 raw multinomial; those of the trusted documents (all that are labelled good) give the target multinomial; both are
 smoothed towards the raw one.  A document's score is the mean of
 log(target / raw) over its n-grams.  One half of the trusted documents gives the target, the other half, which the model
-has not seen, fixes the threshold: their mean score less ``WIDTH`` standard deviations.  Every document is held against it, and against the two base rules (fewer than 50 words; more
-than half of the words inside repeated 3-word windows).
+has not seen, fixes the threshold: their mean score less ``WIDTH`` standard deviations.  Every document is held against
+it, and against the two base rules (fewer than 50 words; more than half of the words inside repeated 3-word windows).
 
 The model is one array of ``2 ** BITS`` numbers (0.5 MB) whatever the data and goes into the plan as a literal; counting
-combines before the shuffle, and scoring needs neither a join nor a shuffle.  Trusted ids are joined by their size.
+combines before the shuffle, and scoring needs neither a join nor a shuffle.  Only the texts of trusted documents are
+shuffled, once: a bit table of 8 MB keeps the others where they are.
 
 Cases: a null text has no words and fails the base rules; a text without n-grams scores 0; with no trusted document at
-all the ratio is 0 for every text and only the base rules decide; an empty table gives an empty result.  Columns named
+all the ratio is 0 for every text and only the base rules decide; repeated rows count and score as often as they occur; very
+long texts are read whole; an empty table gives an empty result.  Columns named
 like a result column are replaced, all others are kept.
 """
 
@@ -20,13 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import BLANKS, quoted, word_array
+from urbanflow.llm.common import BLANKS, bit_table, quoted, with_bit, word_array
 from urbanflow.session import checkpointed
 
 BITS = 16
 #: Weight of the raw distribution in the target one, in n-grams for every bucket.
 SMOOTHING = 0.5
 WIDTH = 3.0
+#: Scores are added up as integers of this many units.
+UNITS = 10 ** 9
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
 
 
@@ -84,18 +88,35 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return checkpointed(good.distinct())
 
 
-def fit(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[float], float]:
-    """The weight of each bucket, and the threshold; ``trusted`` has the column ``trusted_id``."""
+def _trusted_texts(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(first_half, codes) of the trusted documents, as a table.
+
+    A bit table lets only rows through whose id can be trusted, so no other text is shuffled, whatever the size; the join
+    with the ids themselves then leaves out those that came through by chance.
+    """
     texts = df.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("body"))
-    texts = texts.join(trusted, F.col("id") == F.col("trusted_id"), "left")
+    bits = bit_table(trusted, ["trusted_id"])
+    near = with_bit(texts.withColumnRenamed("id", "trusted_id"), ["trusted_id"], bits, "maybe").where("maybe").drop("maybe")
+    # The same plan at every size: ids grow with the labels, so they are never broadcast.
+    own = near.join(trusted.hint("shuffle_merge"), "trusted_id")
     first_half = F.pmod(F.xxhash64("trusted_id"), F.lit(2)) == 0
-    flagged = texts.select((F.col("trusted_id").isNotNull() & first_half).alias("good"),
-                           F.transform(word_array(F.col("body")), lambda w: F.xxhash64(w)).alias("codes"))
-    counted = flagged.select("good", F.explode(_buckets("codes")).alias("bucket")).groupBy("bucket").agg(
-        F.count("*").alias("raw"), F.count_if("good").alias("target"))
+    return checkpointed(own.select(first_half.alias("first_half"), "body"))
+
+
+def _counts(rows: DataFrame, name: str) -> DataFrame:
+    """(bucket, name): n-grams of ``body`` in each bucket."""
+    codes = rows.select(F.transform(word_array(F.col("body")), lambda w: F.xxhash64(w)).alias("codes"))
+    return codes.select(F.explode(_buckets("codes")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+
+
+def fit(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[float], float]:
+    """The weight of each bucket, and the threshold; ``trusted`` has the column ``trusted_id``."""
+    good = _trusted_texts(df, trusted, id_col, text_col)
+    raw = _counts(df.select(F.coalesce(quoted(text_col), F.lit("")).alias("body")), "raw")
+    target = _counts(good.where("first_half"), "target")
     spark = df.sparkSession
-    every = spark.range(1 << BITS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").select(
-        "bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
+    every = spark.range(1 << BITS).select(F.col("id").cast("int").alias("bucket")).join(raw, "bucket", "left").join(
+        target, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     packed = checkpointed(every.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("rows")))
     sums = packed.select(*[F.aggregate(f"rows.{c}", F.lit(0).cast("long"), lambda a, x: a + x).alias(f"{c}_sum")
                            for c in ("raw", "target")], "rows")
@@ -107,11 +128,15 @@ def fit(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str
         return F.log((row["target"] + extra * raw) / (F.col("target_sum") + extra) / raw)
 
     model = sums.select(F.transform("rows", weight).alias("weights")).first()["weights"]
-    good = texts.where(F.col("trusted_id").isNotNull() & ~first_half).select(F.transform(word_array(F.col("body")), lambda w: F.xxhash64(w))
-                                                        .alias("codes"))
-    seen = _scored(good, model).where("size(codes) > 0").agg(F.avg("score"), F.stddev_pop("score"))
-    mean, sd = seen.first()
-    return model, (mean - WIDTH * sd) if mean is not None else float("-inf")
+    held = good.where("not first_half").select(F.transform(word_array(F.col("body")), lambda w: F.xxhash64(w)).alias("codes"))
+    # Integer sums do not depend on the order in which tasks end, so the threshold is the same in every run.
+    unit = F.round(F.col("score") * UNITS).cast("decimal(38,0)")
+    seen = _scored(held, model).where("size(codes) > 0").agg(F.count("*"), F.sum(unit), F.sum((unit * unit).cast("decimal(38,0)")))
+    n, total, squares = seen.first()
+    if not n:
+        return model, float("-inf")
+    variance = (int(squares) * n - int(total) ** 2) / n ** 2
+    return model, (int(total) / n - WIDTH * variance ** 0.5) / UNITS
 
 
 def _scored(rows: DataFrame, model: list[float]) -> DataFrame:
