@@ -39,6 +39,7 @@ class Library:
             self.lengths: Callable[[list[str]], list[int]] = lambda parts: [
                 len(ids) for ids in processor.encode(parts, num_threads=1)]
             self.cut: Callable[[str], list[str]] = lambda text: [text]
+            self.safe = False
             return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -47,16 +48,22 @@ class Library:
         tokenizer.no_padding()
         self.lengths = lambda parts: [len(e) for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         with open(path, encoding="utf-8") as source:
-            self.cut = _cutter(json.load(source))
+            definition = json.load(source)
+        self.safe = byte_level(definition)
+        self.cut = _cutter(definition)
 
 
-def _cutter(definition: dict) -> Callable[[str], list[str]]:
-    """How to cut texts for a tokenizer file; added strings are cut out first, as the library does."""
+def byte_level(definition: dict) -> bool:
+    """Whether a tokenizer file splits texts by the byte-level pattern and leaves them as they are."""
     pre = definition.get("pre_tokenizer") or {}
-    safe = (definition.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+    return (definition.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
             and not pre.get("add_prefix_space"))
+
+
+def _cutter(definition: dict) -> Callable[[str], list[str]]:
+    """How to cut texts for a tokenizer file; added strings are cut out first, as the library does."""
     added = definition.get("added_tokens") or []
-    if not safe or any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in added):
+    if not byte_level(definition) or any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in added):
         return lambda text: [text]
     pieces = SAFE_PIECE.findall
     if not added:

@@ -2,9 +2,10 @@
 
 Documents are put into ranges of their id, in ascending order, and encoded with the library of the vocabulary file;
 every document ends with id ``end``.  A task cuts its range into shards of whole documents with about ``SHARD_IDS``
-ids and compresses each one by itself: in every round, neighbouring pairs that are frequent in the shard are replaced
-by nonterminals (of overlapping pairs the more frequent one), until a round gains too little.  Bounded work per id:
-all pairs of a round are counted and replaced at once.
+ids and compresses each one by itself: in every round, neighbouring pairs that are frequent in the shard are replaced by nonterminals (of overlapping
+pairs the more frequent one), until no pair occurs ``LEAST`` times, which is when a rule saves more than it takes, or a
+round saves less than ``GAIN`` of the symbols.  All pairs of a round are counted and replaced at once; hashed counts
+choose among overlapping pairs, exact counts decide which pairs become rules.
 
 File format: Parquet, one row per shard: ``part`` and ``shard`` (their order is that of the ids), ``start`` (ids
 of the part before the shard), ``doc_ids`` and
@@ -30,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import CACHED_CHARACTERS, Memo, quoted, small_batches
+from urbanflow.llm.common import CACHED_CHARACTERS, WHITE, Memo, quoted, small_batches
 from urbanflow.llm.counts import CALL_BYTES, Library, by_bytes
 
 SHARD_IDS = 1 << 19
-#: Rounds of replacing, the least count of a pair, and the share of symbols that a round must save to go on.
-ROUNDS, LEAST, GAIN = 6, 8, 0.02
+#: The least count of a pair (its rule takes two symbols and a length), and the share of symbols that a round must save.
+LEAST, GAIN = 4, 0.001
 COUNT_BITS = 20
 KNOWN_LIMIT = 1_000_000
 
@@ -47,9 +48,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """(rules, lengths, symbols) of ids below ``base``."""
     symbols = ids.astype(np.uint32)
     rules, lengths, made = [], [np.zeros(0, np.uint32)], 0
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         left, right = symbols[:-1], symbols[1:]
         slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - COUNT_BITS)
         counts = np.bincount(slot, minlength=1 << COUNT_BITS).astype(np.int32)[slot]
@@ -65,7 +64,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
                                        return_inverse=True, return_counts=True)
         often = seen >= LEAST
         used = often[which]
-        if used.sum() < GAIN * len(symbols):
+        if not used.any() or used.sum() < GAIN * len(symbols):
             break
         number = np.cumsum(often) - 1 + base + made
         at, pairs = at[used], pairs[often]
@@ -125,21 +124,49 @@ class Shard:
 
 
 class Encoder:
-    """Ids of texts as the library gives them; parts between safe boundaries that come again are not encoded again."""
+    """Ids of texts as the library gives them; parts between safe boundaries that come again are not encoded again.
+
+    Parts that start with a blank before a character that is not white are encoded many at a time, as one text: the next
+    such part always starts a new piece.  The bytes of the tokens then tell where each part ends.
+    """
 
     def __init__(self, path: str):
         self._library = Library(path)
-        self.size = self._library.tokenizer.get_vocab_size(with_added_tokens=True)
+        tokenizer = self._library.tokenizer
+        self.size = tokenizer.get_vocab_size(with_added_tokens=True)
         self._known = Memo(None, KNOWN_LIMIT, CACHED_CHARACTERS)
+        # A byte-level vocabulary writes every byte as one character.
+        self._bytes = np.zeros(self.size, np.int64)
+        for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
+            self._bytes[number] = len(token)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         known, parts = self._known, [self._library.cut(text) if text else [] for text in texts]
         unknown = sorted(known.absent(set(chain.from_iterable(parts))), key=len, reverse=True)
-        for call in by_bytes(unknown, CALL_BYTES):
-            found = self._library.tokenizer.encode_batch_fast(call, add_special_tokens=False)
-            known.update((part, np.array(e.ids, "<u4").tobytes()) for part, e in zip(call, found))
+        for call in by_bytes([p for p in unknown if self._joinable(p)], CALL_BYTES):
+            known.update(zip(call, self._joined(call) or self._alone(call)))
+        for call in by_bytes([p for p in unknown if not self._joinable(p)], CALL_BYTES):
+            known.update(zip(call, self._alone(call)))
         return [np.frombuffer(b"".join(map(known.__getitem__, cut)), "<u4") for cut in parts]
 
+    def _joinable(self, part: str) -> bool:
+        return self._library.safe and len(part) > 1 and part[0] == " " and part[1] not in WHITE
+
+    def _alone(self, parts: list[str]) -> list[bytes]:
+        found = self._library.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _joined(self, parts: list[str]) -> list[bytes] | None:
+        """The ids of each part from those of all together, or None if a token crosses the end of a part."""
+        ids = np.array(self._library.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self._bytes[ids])
+        part_ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+        at = np.searchsorted(ends, part_ends)
+        if not len(ids) or at[-1] != len(ids) - 1 or not np.array_equal(ends[at], part_ends):
+            return None
+        held, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+        return [held[a:b] for a, b in zip(cuts, cuts[1:])]
+
 
 _MADE: dict[str, Encoder] = {}
 
