@@ -98,6 +98,35 @@ def test_beta_ntf_weights_and_score(spark, x):
     assert ntf.beta_score(x, found.model, 2) == pytest.approx(((X - full(found.model)) ** 2).sum() / 2)
 
 
+def test_errors_need_no_zero_cells(spark):
+    """Sums over all cells from the non-zeros, norms and column sums, against dense arrays; the plan builds no cell."""
+    rng = np.random.default_rng(9)
+    y = rng.integers(1, 9, SHAPE) * (rng.random(SHAPE) < 0.3)
+    u, weights = [rng.random((n, RANK)) for n in SHAPE], np.array([2.0, 0.5])
+    t = TB.nonzeros(dense(spark, y.astype(float)))
+    model = A.Kruskal([A.factor_from_array(spark, f) for f in u], weights)
+    m = np.einsum("r,ir,jr,kr->ijk", weights, *u)
+    frame = A.errors(model, t)
+    row = frame.first()
+    assert row.rel_frobenius == pytest.approx(np.linalg.norm(y - m) / np.linalg.norm(y), rel=1e-10)
+    assert row.rel_abs == pytest.approx(np.abs(y - m).sum() / y.sum(), rel=1e-10)
+    assert "Range" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    kl = np.where(y > 0, y * (np.log(np.where(y > 0, y, 1)) - np.log(m)) + m - y, m).sum()
+    assert A.divergence(model, t, 1) == pytest.approx(kl, rel=1e-10)
+    assert A.divergence(model, t, 2) == pytest.approx(((y - m) ** 2).sum() / 2, rel=1e-10)
+    assert A.divergence(model, t, 0) == float("inf")
+    full = y + 1.0
+    assert A.divergence(model, dense(spark, full), 0) == pytest.approx((full / m - np.log(full / m) - 1).sum(), rel=1e-10)
+    signed = A.Kruskal([A.factor_from_array(spark, f - 0.5) for f in u], weights)
+    row = A.errors(signed, t).first()
+    gap = y - np.einsum("r,ir,jr,kr->ijk", weights, *[f - 0.5 for f in u])
+    assert row.rel_abs is None and row.rel_frobenius == pytest.approx(np.linalg.norm(gap) / np.linalg.norm(y), rel=1e-10)
+    with pytest.raises(ValueError):
+        A.divergence(model, t, 1.5)
+    score = (y ** 1.5 + 0.5 * m ** 1.5 - 1.5 * y * m ** 0.5).sum() / 0.75
+    assert ntf.beta_score(t, model, 1.5) == pytest.approx(score, rel=1e-10)
+
+
 def test_nvecs(x):
     for mode in range(3):
         unfolded = np.moveaxis(X, mode, 0).reshape(SHAPE[mode], -1)

@@ -120,8 +120,8 @@ def decompose(t: Tensor, method: str, rank: int, sample_rate: float = 1.0, min_i
 
 
 def sampled_error(t: Tensor, model: Kruskal) -> DataFrame:
-    """Errors of a model against the full tensor, all cells included."""
-    return errors(model, TB.densify(t))
+    """Errors of a model against the full tensor, all cells included; the cells without trips are never built."""
+    return errors(model, t)
 
 
 def error_sweep(tensors: dict, ranks, rates, methods=tuple(METHODS), **iterations) -> DataFrame:

@@ -330,12 +330,50 @@ def rel_frobenius(norm_x: float, norm_m: float, product_xm: float) -> float:
     return max(norm_x ** 2 + norm_m ** 2 - 2 * product_xm, 0.0) ** 0.5 / norm_x
 
 
+def model_total(model: Kruskal) -> tuple[float, bool]:
+    """Sum of the model over all cells, from column sums alone, and whether no factor or weight is negative."""
+    total, positive = np.array(model.weights, float), bool((model.weights >= 0).all())
+    for f in model.factors:
+        row = f.df.agg(*[F.expr(f"sum({c})") for c in f.columns], *[F.expr(f"min({c})") for c in f.columns]).first()
+        total = total * [v or 0.0 for v in row[:f.rank]]
+        positive = positive and all((v or 0.0) >= 0 for v in row[f.rank:])
+    return float(total.sum()), positive
+
+
 def errors(model: Kruskal, t: Tensor) -> DataFrame:
-    """Relative Frobenius and relative absolute error over all cells of a densified tensor."""
-    rows = kruskal_cells(model, t)
+    """Relative Frobenius and relative absolute error over all cells, from one pass over the cells that ``t`` holds.
+
+    Absent cells are 0 and differ by the model alone, so their squares are the model's squared norm less that of the cells
+    held, and their absolute values, of a nonnegative model, its sum less theirs.  The absolute error of a model with
+    negative entries has no such form and is NULL; densify the tensor for it.
+    """
+    total, positive = model_total(model)
     gap = F.col("v") - F.col("model")
-    return rows.agg(F.sqrt(F.sum(gap * gap) / F.sum(F.col("v") * F.col("v"))).alias("rel_frobenius"),
-                    (F.sum(F.abs(gap)) / F.sum("v")).alias("rel_abs"))
+    seen = kruskal_cells(model, t).agg(
+        F.sum(gap * gap).alias("gap_sq"), F.sum(F.abs(gap)).alias("gap_abs"), F.sum(F.col("model") * F.col("model")).alias("model_sq"),
+        F.sum("model").alias("model_sum"), F.sum(F.col("v") * F.col("v")).alias("v_sq"), F.sum("v").alias("v_sum"))
+    rest_sq = F.greatest(F.lit(model.norm() ** 2) - F.col("model_sq"), F.lit(0.0))
+    rest_abs = F.greatest(F.lit(total) - F.col("model_sum"), F.lit(0.0)) if positive else F.lit(None).cast("double")
+    return seen.select(F.sqrt((F.col("gap_sq") + rest_sq) / F.col("v_sq")).alias("rel_frobenius"),
+                       ((F.col("gap_abs") + rest_abs) / F.col("v_sum")).alias("rel_abs"))
+
+
+def divergence(model: Kruskal, t: Tensor, beta: float) -> float:
+    """Total divergence over all cells without building them, for beta 2, 1 (Kullback-Leibler) and 0 (Itakura-Saito).
+
+    The zero cells of beta 2 come from the model's norm, those of beta 1 from its sum; with beta 0 a zero cell is infinitely
+    far from a positive model, so the sum is infinite unless ``t`` holds every cell with a positive value.
+    """
+    if beta not in (0, 1, 2):
+        raise ValueError("only beta 0, 1 and 2 have a form without the zero cells; densify the tensor for others")
+    v, m = F.col("v"), F.col("model")
+    seen = kruskal_cells(model, t).agg(F.sum(beta_divergence(v, m, beta)), F.sum(m * m), F.sum(m), F.count_if(v > 0)).first()
+    here, squares, sums, positive = (x or 0.0 for x in seen)
+    if beta == 2:
+        return here + max(model.norm() ** 2 - squares, 0.0) / 2
+    if beta == 1:
+        return here + model_total(model)[0] - sums
+    return here if positive == t.cells() else float("inf")
 
 
 def beta_divergence(a: Column, b: Column, beta: float) -> Column:

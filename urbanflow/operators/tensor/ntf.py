@@ -10,7 +10,7 @@ from operator import mul
 import numpy as np
 from pyspark.sql import functions as F
 
-from urbanflow.operators.tensor.algebra import (Factor, Kruskal, all_rows, beta_divergence, gram, hinted, inner,
+from urbanflow.operators.tensor.algebra import (Factor, Kruskal, all_rows, beta_divergence, divergence, gram, hinted, inner,
                                                 kruskal_cells, model_sql, mttkrp, number, product_sql,
                                                 rel_frobenius, start_factor, times_sql)
 from urbanflow.operators.tensor.layout import ModeCopies
@@ -174,6 +174,8 @@ def _part_sums(copies: ModeCopies, factors, mode: int, values: dict[str, str], j
 
 
 def beta_score(t: Tensor, model: Kruskal, beta: float) -> float:
-    """Total divergence between a tensor and a model over all cells."""
+    """Total divergence between a tensor and a model over all cells; only beta other than 0, 1 and 2 builds the zero cells."""
+    if beta in (0, 1, 2):
+        return divergence(model, t, beta)
     rows = kruskal_cells(model, densify(t))
     return float(rows.agg(F.sum(beta_divergence(F.col("v"), F.col("model"), beta))).first()[0] or 0.0)

@@ -328,18 +328,25 @@ def kruskal_mttkrp(spark, folder):
 
 
 def rel_error(spark, folder):
-    t = TB.densify(_t(spark, folder))
+    t = _t(spark, folder)
     return rounded(A.errors(_model(spark, t), t), "rel_frobenius", "rel_abs")
 
 
 def beta_divergence(spark, folder):
-    t = TB.densify(_t(spark, folder))
-    rows = A.kruskal_cells(_model(spark, t), t)
-    v, m = F.col("v"), F.col("model")
-    return rows.agg(F.round(F.sum(F.when(v > 0, A.beta_divergence(v, m, 0))), 4).alias("beta0"),
-                    F.round(F.sum(A.beta_divergence(v, m, 1)), 4).alias("beta1"),
-                    F.round(F.sum(A.beta_divergence(v, m, 2)), 4).alias("beta2"),
-                    F.round(F.sum(A.beta_divergence(v, m, 1.5)), 4).alias("beta15"))
+    """Divergences over all cells; that of beta 0 is infinite at every zero cell, so it is given for the others, and their number."""
+    t = _t(spark, folder)
+    t = t.with_df(checkpointed(t.df))
+    model = _model(spark, t)
+    held = TB.nonzeros(t).df.count()
+    only = A.kruskal_cells(model, TB.nonzeros(t)).agg(F.sum(A.beta_divergence(F.col("v"), F.col("model"), 0))).first()[0]
+    row = (round(only, 4), t.cells() - held, round(A.divergence(model, t, 1), 4), round(A.divergence(model, t, 2), 4))
+    return spark.createDataFrame([row], "beta0_nonzeros double, beta0_infinite bigint, beta1 double, beta2 double")
+
+
+def beta_divergence_dense(spark, folder):
+    """A divergence whose zero cells have no closed sum, so tasks generate them."""
+    t = _t(spark, folder)
+    return spark.createDataFrame([(round(ntf.beta_score(t, _model(spark, t), 1.5), 4),)], "beta15 double")
 
 
 CORE = np.arange(1.0, 9.0).reshape(2, 2, 2)
@@ -371,7 +378,7 @@ QUERIES = {f.__name__: f for f in (
     unfold_mode2, unfold_transposed, fold_roundtrip, tensor_transpose, khatri_rao, tensor_norm, tensor_innerprod,
     tensor_diff, tensor_center, tensor_scale, tensor_concat, tensor_densify, tensor_points, tensor_sorted, holdout_mask, json_roundtrip,
     tensor_shape, tensor_from_dense, tensor_equal, identity_trace, commutation, center_matrix, edge_slices, mttkrp_mode0, mttkrp_mode1, mttkrp_mode2, mttkrp_fine, factor_gram, kruskal_norm, kruskal_innerprod,
-    kruskal_cells, component_cells, kruskal_mttkrp, rel_error, beta_divergence, tucker_cells, factor_pack, factor_unpack,
+    kruskal_cells, component_cells, kruskal_mttkrp, rel_error, beta_divergence, beta_divergence_dense, tucker_cells, factor_pack, factor_unpack,
     flipsign)}
 
 # ---- SQL counterparts -----------------------------------------------------------------------------
@@ -530,9 +537,11 @@ SQL = {
     "component_cells": f"{TENS}{FACS} " + " UNION ALL ".join(f"SELECT i, j, k, {c}::INT AS component, round({w}::DOUBLE * fa.f{c} * fb.f{c} * fc.f{c}, 8) AS part FROM {joined()}" for c, w in enumerate((2.0, 3.0))),
     "kruskal_mttkrp": f"{TENS}{FITTED}, {factor_sql(0, shift=3, name='ga')}, {factor_sql(2, shift=3, name='gc')} {_kmttkrp()}",
     "rel_error": f"{TENS}{FACS}{GRID}, {_model_dense} SELECT round(sqrt(sum((v - m) * (v - m)) / sum(v * v)), 6) AS rel_frobenius, round(sum(abs(v - m)) / sum(v), 6) AS rel_abs FROM md",
-    "beta_divergence": f"""{TENS}{FACS}{GRID}, {_model_dense} SELECT round(sum(CASE WHEN v > 0 THEN v / m - ln(v / m) - 1 END), 4) AS beta0,
-      round(sum(CASE WHEN v = 0 THEN m ELSE v * (ln(v) - ln(m)) + m - v END), 4) AS beta1, round(sum((v - m) * (v - m) / 2), 4) AS beta2,
-      round(sum((pow(v, 1.5) + 0.5 * pow(m, 1.5) - 1.5 * v * pow(m, 0.5)) / 0.75), 4) AS beta15 FROM md""",
+    "beta_divergence": f"""{TENS}{FACS}{GRID}, {_model_dense} SELECT round(sum(CASE WHEN v > 0 THEN v / m - ln(v / m) - 1 END), 4) AS beta0_nonzeros,
+      count(*) FILTER (v = 0) AS beta0_infinite, round(sum(CASE WHEN v = 0 THEN m ELSE v * (ln(v) - ln(m)) + m - v END), 4) AS beta1,
+      round(sum((v - m) * (v - m) / 2), 4) AS beta2 FROM md""",
+    "beta_divergence_dense": f"""{TENS}{FACS}{GRID}, {_model_dense}
+      SELECT round(sum((pow(v, 1.5) + 0.5 * pow(m, 1.5) - 1.5 * v * pow(m, 0.5)) / 0.75), 4) AS beta15 FROM md""",
     "tucker_cells": f"{TENS}{FACS} SELECT i, j, k, v, round({_tucker}, 6) AS model FROM {joined()}",
     "factor_pack": f"{TENS}{FITTED} {_pack()}",
     "factor_unpack": f"{TENS}{FITTED} SELECT idx, {r(('f0', 'f1'), 4)} FROM fb",
