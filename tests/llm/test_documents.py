@@ -2,7 +2,6 @@
 
 import collections
 import math
-import hashlib
 import itertools
 import random
 import re

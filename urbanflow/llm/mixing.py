@@ -16,8 +16,9 @@ document, so filling needs the number of documents of each size below that, and
 
 Cases: a null text has size 0; a document without words is never taken beyond its certain copies and takes no words;
 u depends on the id, the source and the text, so reruns agree; rows that repeat all three are one document, which is
-taken or left as a whole, and counts with the words of all its rows.  Very long texts are counted whole.  An empty table gives an empty result.  A source without words has target 0.  Columns named like a result
-column are replaced, all others are kept.  The number of sources is taken to be small beside that of documents.
+taken or left as a whole, and counts with the words of all its rows.  Very long texts are counted whole.  An empty
+table gives an empty result.  A source without words has target 0.  Columns named like a result column are replaced,
+all others are kept.  The number of sources is taken to be small beside that of documents.
 """
 
 from __future__ import annotations
