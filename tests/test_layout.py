@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from test_tensor_golden import array_of, factor_array
 
 from urbanflow.operators.tensor import algebra as A

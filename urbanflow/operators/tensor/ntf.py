@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import mul
@@ -44,11 +45,16 @@ def _gradient(right: Factor, factors: list[Factor], grams: list[np.ndarray], mod
     return Factor(both.selectExpr("idx", *out), f.rows, f.rank)
 
 
-def _gradient_norm(copies: ModeCopies, store: FactorStore, project: bool) -> float:
-    """Norm of the gradient over all factors, in one job."""
+def gradient_norm(t: Tensor, factors: list[Factor], grams: list[np.ndarray], project: bool) -> float:
+    """Norm of the gradient over all factors."""
+    return _gradient_norm(lambda mode: mttkrp(t, factors, mode), factors, grams, project)
+
+
+def _gradient_norm(right: Callable[[int], Factor], factors: list[Factor], grams: list[np.ndarray], project: bool) -> float:
+    """Norm of the gradient over all factors, in one job; ``right`` gives the MTTKRP of a mode."""
     parts = None
-    for mode in range(copies.tensor.order):
-        g = _gradient(copies.mttkrp(store.factors, mode), store.factors, store.grams, mode, project)
+    for mode in range(len(factors)):
+        g = _gradient(right(mode), factors, grams, mode, project)
         part = g.df.agg(F.expr("sum(" + " + ".join(f"{c} * {c}" for c in g.columns) + ")").alias("square"))
         parts = part if parts is None else parts.unionByName(part)
     return float(parts.agg(F.sum("square")).first()[0] or 0.0) ** 0.5
@@ -71,7 +77,8 @@ def ntf(t: Tensor, rank: int, method: str = "anls_bpp", tol: float = 1e-4, stop_
     products = tuple(f"sum(f{c} * g{c})" for c in range(rank))
     with ModeCopies(t) as copies:
         norm_x = copies.norm()
-        first = _gradient_norm(copies, store, False) if stop_criterion == 1 else 1.0
+        now = lambda mode: copies.mttkrp(store.factors, mode)
+        first = _gradient_norm(now, store.factors, store.grams, False) if stop_criterion == 1 else 1.0
         zero = ways[0]
         store.factors[zero] = Factor(store.factors[zero].df.select(
             "idx", *[F.lit(0.0).alias(c) for c in store.factors[zero].columns]), t.shape[zero], rank)
@@ -90,7 +97,7 @@ def ntf(t: Tensor, rank: int, method: str = "anls_bpp", tol: float = 1e-4, stop_
             if max_time is not None and time.time() - began > max_time:
                 break
             if stop_criterion == 1:
-                criterion = _gradient_norm(copies, store, True) / first
+                criterion = _gradient_norm(now, store.factors, store.grams, True) / first
                 if criterion < tol:
                     break
             elif stop_criterion == 2:

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from urbanflow.operators import learn, patterns, places
 from urbanflow.operators.tensor import algebra as A
 from urbanflow.operators.tensor import cp, ntf, relational, tucker
 from urbanflow.operators.tensor import table as TB
-from urbanflow.plans import mobility
 from urbanflow.plans import places as PP
 from urbanflow.plans.sweeps import LETTERS, _gram_sql, _half_sweep
 from urbanflow.plans import tensors as TT
 from urbanflow.plans import views as V
 
 RANK = 2
-SWEEPS = 2
 
 
 def model_rows(factors: list[A.Factor], digits=5):
