@@ -105,3 +105,16 @@ def test_beta_errors(spark, sparse):
         found = ntf.beta_ntf(sparse, 2, beta=beta, n_iter=3)
         full = np.einsum("ir,jr,kr->ijk", *[factor_array(A.all_rows(f)) for f in found.model.factors])
         assert found.rel_error == pytest.approx(np.linalg.norm(x - full) / np.linalg.norm(x), abs=1e-9)
+
+
+def test_nonzeros_are_computed_once(spark, sparse):
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+    counted = sparse.with_df(sparse.df.mapInPandas(seen, sparse.df.schema))
+    with layout.ModeCopies(counted, 4) as copies:
+        assert [c.count() for c in copies.copies] == [sparse.df.count()] * 3
+    assert rows.value == sparse.df.count()

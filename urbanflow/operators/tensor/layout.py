@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from urbanflow.operators.tensor.algebra import Factor, hinted, product_sql
 from urbanflow.operators.tensor.table import Tensor
-from urbanflow.session import drop_table, ensure_checkpoint_dir
+from urbanflow.session import checkpoint_table, drop_table, ensure_checkpoint_dir
 
 #: Without this a join on (bucket, index) would shuffle the copy, although its buckets already hold the rows together.
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -44,7 +44,11 @@ class ModeCopies:
         self._tables: list[tuple[str, str]] = []
         self._before = self.spark.conf.get(CO_PARTITION, "true")
         self._routes: dict[tuple[int, int], DataFrame] = {}
-        self.copies = [self._copy(mode) for mode in range(t.order)]
+        # The non-zeros are computed once; counts and copies read them from there.
+        cells, path = checkpoint_table(t.df)
+        total = cells.count()
+        self.copies = [self._copy(cells, total, mode) for mode in range(t.order)]
+        drop_table(self.spark, path)
         self.spark.conf.set(CO_PARTITION, "false")
 
     def __enter__(self) -> ModeCopies:
@@ -65,17 +69,16 @@ class ModeCopies:
         self._tables.append((name, path))
         return self.spark.table(name)
 
-    def _copy(self, mode: int) -> DataFrame:
+    def _copy(self, cells: DataFrame, total: int, mode: int) -> DataFrame:
         t, index = self.tensor, self.tensor.modes[mode]
-        counts = t.df.groupBy(index).agg(F.count("*").alias("n"))
-        total = t.df.count()
+        counts = cells.groupBy(index).agg(F.count("*").alias("n"))
         # At most buckets / SPREAD indices have more than that share, so the list is short whatever the data.
         large = [r[0] for r in counts.where(F.col("n") > max(1.0, SPREAD * total / self.buckets)).collect()]
         others = F.xxhash64(*[t.modes[m] for m in t.others(mode)])
         salt = F.when(F.col(index).isin(large), F.pmod(others, F.lit(self.buckets))).otherwise(F.lit(0).cast("long"))
         slot = F.pmod(F.xxhash64(F.col(index), salt), F.lit(self.buckets)).cast("int")
         label = F.element_at(F.array(*[F.lit(x) for x in self._labels]), slot + 1)
-        return self._stored(t.df.withColumn("bucket", label), "bucket", ["bucket", index])
+        return self._stored(cells.withColumn("bucket", label), "bucket", ["bucket", index])
 
     def _route(self, mode: int, other: int) -> DataFrame:
         """(idx, bucket): the buckets of the copy of ``mode`` that need rows of the factor ``other``."""
