@@ -118,3 +118,22 @@ def test_nonzeros_are_computed_once(spark, sparse):
     with layout.ModeCopies(counted, 4) as copies:
         assert [c.count() for c in copies.copies] == [sparse.df.count()] * 3
     assert rows.value == sparse.df.count()
+
+
+def test_one_copy_serves_all_modes_beside_a_long_mode(spark, sparse, monkeypatch):
+    monkeypatch.setattr(A, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(layout, "BROADCAST_BYTES", 0)
+    x, factors = array_of(sparse), starts(spark)
+    u = [factor_array(f) for f in factors]
+    tables = len(spark.catalog.listTables())
+    with layout.ModeCopies(sparse, 4) as copies:
+        assert copies.home == [0, 0, 0] and len(spark.catalog.listTables()) == tables + 1
+        for mode in range(3):
+            assert np.allclose(factor_array(A.all_rows(copies.mttkrp(factors, mode))), numpy_mttkrp(x, u, mode))
+            rows = copies.joined(mode, factors, range(3))
+            assert rows.count() == sparse.df.count()
+
+
+def test_buckets_follow_the_cells():
+    assert [layout.bucket_count(n, 200) for n in (0, 11_000, 600_000, 36_000_000, 216_000_000)] == [1, 1, 3, 48, 54]
+    assert layout.bucket_count(10 ** 12, 200) == 200

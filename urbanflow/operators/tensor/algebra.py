@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from urbanflow.functions.text import int_div
 from urbanflow.operators.tensor.table import Tensor
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 16 * 1024 * 1024
 WIDE_RANK = 8
 
 # Ship the small batch functions with the task, so that workers need not have this package installed.
