@@ -5,7 +5,7 @@ import pytest
 from test_tensor_golden import array_of, factor_array
 
 from urbanflow.operators.tensor import algebra as A
-from urbanflow.operators.tensor import cp, layout, ntf
+from urbanflow.operators.tensor import cp, layout, nnls, ntf
 from urbanflow.operators.tensor.table import Tensor
 
 SHAPE = (40, 30, 6)
@@ -137,3 +137,15 @@ def test_one_copy_serves_all_modes_beside_a_long_mode(spark, sparse, monkeypatch
 def test_buckets_follow_the_cells():
     assert [layout.bucket_count(n, 200) for n in (0, 11_000, 600_000, 36_000_000, 216_000_000)] == [1, 1, 3, 48, 54]
     assert layout.bucket_count(10 ** 12, 200) == 200
+
+
+def test_results_of_a_long_mode_are_not_broadcast(spark, sparse, monkeypatch):
+    """Only factors of the other modes pass the driver, not a factor's own rows, sums or start values."""
+    monkeypatch.setattr(A, "SIDE_ROWS", 8)
+    factors = starts(spark)
+    grams = [A.gram(f) for f in factors]
+    right = A.Factor(spark.createDataFrame([(1, 2.0, 3.0)], "idx bigint, f0 double, f1 double"), SHAPE[0], 2)
+    for df in (ntf._gradient(right, factors, grams, 0, True).df, A.all_rows(right).df,
+               nnls.nnls_rows(right, grams[0], "anls_bpp", factors[0]).df):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in A.all_rows(A.Factor(right.df, SHAPE[2], 2)).df._jdf.queryExecution().executedPlan().toString()

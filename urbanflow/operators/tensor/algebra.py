@@ -23,6 +23,8 @@ from urbanflow.operators.tensor.table import Tensor
 
 BROADCAST_BYTES = 16 * 1024 * 1024
 WIDE_RANK = 8
+#: Rows up to which a table on the same index is broadcast: it passes the driver again in every step of a fit.
+SIDE_ROWS = 20_000
 
 # Ship the small batch functions with the task, so that workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -48,6 +50,11 @@ def hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def beside(df: DataFrame, rows: int) -> DataFrame:
+    """A table to be joined with another one on the same index; a long one is shuffled, never sent through the driver."""
+    return F.broadcast(df) if rows <= SIDE_ROWS else df.hint("shuffle_merge")
+
+
 def start_value(mode: int, row: Column, component: int) -> Column:
     """Repeatable start value in (0, 1) from mode, row and component."""
     # Multipliers and modulus of the start hash.
@@ -104,7 +111,7 @@ def mttkrp(t: Tensor, factors, mode: int) -> Factor:
 def all_rows(f: Factor) -> Factor:
     """Add the rows that are absent (all 0)."""
     ids = f.df.sparkSession.range(f.rows).select(F.col("id").alias("idx"))
-    df = ids.join(f.df, "idx", "left").na.fill(0.0, f.columns)
+    df = ids.join(beside(f.df, f.rows), "idx", "left").na.fill(0.0, f.columns)
     return Factor(df, f.rows, f.rank)
 
 

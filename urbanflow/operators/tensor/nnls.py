@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
-from urbanflow.operators.tensor.algebra import Factor, hinted
+from urbanflow.operators.tensor.algebra import Factor, beside
 
 TINY = 1e-12
 #: Condition number from which a block is solved by least squares of smallest norm.
@@ -151,7 +151,7 @@ def nnls_rows(right: Factor, gram: np.ndarray, method: str, warm: Factor | None
     df = right.df.select("idx", *names)
     if warm is not None:
         old = warm.df.selectExpr("idx", *[f"{c} as w{s}" for s, c in enumerate(warm.columns)])
-        df = df.join(hinted(old, warm.is_small()), "idx", "left").na.fill(0.0)
+        df = df.join(beside(old, warm.rows), "idx", "left").na.fill(0.0)
 
     solver, starts = SOLVERS[method], [f"w{c}" for c in range(rank)] if warm is not None else []
     kept = [f"{keep}{c}" for c in range(rank)] if keep else []

@@ -11,7 +11,7 @@ from operator import mul
 import numpy as np
 from pyspark.sql import functions as F
 
-from urbanflow.operators.tensor.algebra import (Factor, Kruskal, all_rows, beta_divergence, divergence, gram, hinted, inner,
+from urbanflow.operators.tensor.algebra import (Factor, Kruskal, all_rows, beside, beta_divergence, divergence, gram, inner,
                                                 kruskal_cells, model_sql, mttkrp, number, product_sql,
                                                 rel_frobenius, start_factor, times_sql)
 from urbanflow.operators.tensor.layout import ModeCopies
@@ -37,7 +37,7 @@ def _gradient(right: Factor, factors: list[Factor], grams: list[np.ndarray], mod
     h = reduce(mul, [g for m, g in enumerate(grams) if m != mode])
     f = factors[mode]
     side = right.df.selectExpr("idx", *[f"{c} as g{s}" for s, c in enumerate(right.columns)])
-    both = all_rows(f).df.join(hinted(side, right.is_small()), "idx", "left").na.fill(0.0)
+    both = all_rows(f).df.join(beside(side, right.rows), "idx", "left").na.fill(0.0)
     out = []
     for c, model in enumerate(times_sql(h)):
         g = f"({model} - g{c})"
@@ -165,7 +165,7 @@ def _multiplied(copies: ModeCopies, store: FactorStore, sums: list[list[float]],
         values = {"n": f"weight * v * pow({model}, {number(beta - 2)})", "d": f"weight * pow({model}, {number(beta - 1)})"}
         top = _part_sums(copies, store.factors, mode, values, range(order))
         bottom = [f"d{c}" for c in range(rank)]
-    rows = f.df.select("idx", *f.columns).join(hinted(top, f.is_small()), "idx", "left").na.fill(0.0)
+    rows = f.df.select("idx", *f.columns).join(beside(top, f.rows), "idx", "left").na.fill(0.0)
     small = number(eps)
     out = [f"f{c} * ({small} + n{c}) / ({small} + {bottom[c]}) as f{c}" for c in range(rank)]
     out += [f"n{c} as x{c}" for c in range(rank)] if keep else []
