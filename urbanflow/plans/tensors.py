@@ -333,14 +333,18 @@ def rel_error(spark, folder):
 
 
 def beta_divergence(spark, folder):
-    """Divergences over all cells; that of beta 0 is infinite at every zero cell, so it is given for the others, and their number."""
+    """Divergences over all cells; that of beta 0 is infinite at every zero cell, so it is given for the others, and their number.
+
+    The zero cells of beta 1.5 have no closed sum, so tasks generate them.
+    """
     t = _t(spark, folder)
     t = t.with_df(checkpointed(t.df))
     model = _model(spark, t)
     held = TB.nonzeros(t).df.count()
     only = A.kruskal_cells(model, TB.nonzeros(t)).agg(F.sum(A.beta_divergence(F.col("v"), F.col("model"), 0))).first()[0]
-    row = (round(only, 4), t.cells() - held, round(A.divergence(model, t, 1), 4), round(A.divergence(model, t, 2), 4))
-    return spark.createDataFrame([row], "beta0_nonzeros double, beta0_infinite bigint, beta1 double, beta2 double")
+    whole = [round(x, 4) for x in (A.divergence(model, t, 1), A.divergence(model, t, 2), ntf.beta_score(t, model, 1.5))]
+    return spark.createDataFrame([(round(only, 4), t.cells() - held, *whole)],
+                                 "beta0 double, beta0_infinite bigint, beta1 double, beta2 double, beta15 double")
 
 
 def beta_divergence_dense(spark, folder):
@@ -537,9 +541,10 @@ SQL = {
     "component_cells": f"{TENS}{FACS} " + " UNION ALL ".join(f"SELECT i, j, k, {c}::INT AS component, round({w}::DOUBLE * fa.f{c} * fb.f{c} * fc.f{c}, 8) AS part FROM {joined()}" for c, w in enumerate((2.0, 3.0))),
     "kruskal_mttkrp": f"{TENS}{FITTED}, {factor_sql(0, shift=3, name='ga')}, {factor_sql(2, shift=3, name='gc')} {_kmttkrp()}",
     "rel_error": f"{TENS}{FACS}{GRID}, {_model_dense} SELECT round(sqrt(sum((v - m) * (v - m)) / sum(v * v)), 6) AS rel_frobenius, round(sum(abs(v - m)) / sum(v), 6) AS rel_abs FROM md",
-    "beta_divergence": f"""{TENS}{FACS}{GRID}, {_model_dense} SELECT round(sum(CASE WHEN v > 0 THEN v / m - ln(v / m) - 1 END), 4) AS beta0_nonzeros,
+    "beta_divergence": f"""{TENS}{FACS}{GRID}, {_model_dense} SELECT round(sum(CASE WHEN v > 0 THEN v / m - ln(v / m) - 1 END), 4) AS beta0,
       count(*) FILTER (v = 0) AS beta0_infinite, round(sum(CASE WHEN v = 0 THEN m ELSE v * (ln(v) - ln(m)) + m - v END), 4) AS beta1,
-      round(sum((v - m) * (v - m) / 2), 4) AS beta2 FROM md""",
+      round(sum((v - m) * (v - m) / 2), 4) AS beta2,
+      round(sum((pow(v, 1.5) + 0.5 * pow(m, 1.5) - 1.5 * v * pow(m, 0.5)) / 0.75), 4) AS beta15 FROM md""",
     "beta_divergence_dense": f"""{TENS}{FACS}{GRID}, {_model_dense}
       SELECT round(sum((pow(v, 1.5) + 0.5 * pow(m, 1.5) - 1.5 * v * pow(m, 0.5)) / 0.75), 4) AS beta15 FROM md""",
     "tucker_cells": f"{TENS}{FACS} SELECT i, j, k, v, round({_tucker}, 6) AS model FROM {joined()}",
