@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from urbanflow.plans import factors
+from urbanflow.plans import views as V
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
@@ -15,3 +17,17 @@ def test_divergences_of_all_kinds_are_returned(spark):
     assert set(row.asDict()) == {"beta0", "beta0_infinite", "beta1", "beta2", "beta15"}
     assert row.beta15 == entry.queries()["beta_divergence_dense"](spark, FOLDER).first().beta15
     assert row.beta15 > 0 and "AS beta15" in entry.oracle_sql()["beta_divergence"]
+
+
+def test_edges_are_computed_once(spark, monkeypatch):
+    rows = spark.sparkContext.accumulator(0)
+    found = V.edges(spark, FOLDER)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+    monkeypatch.setattr(V, "edges", lambda *_: found.mapInPandas(seen, found.schema))
+    numbered, entities, relations = factors._edges(spark, FOLDER)
+    assert numbered.count() == found.count() == rows.value
+    assert entities == 25 and relations == found.select("k").distinct().count()

@@ -12,6 +12,7 @@ from urbanflow.plans import places as PP
 from urbanflow.plans.sweeps import LETTERS, _gram_sql, _half_sweep
 from urbanflow.plans import tensors as TT
 from urbanflow.plans import views as V
+from urbanflow.session import checkpointed
 
 RANK = 2
 
@@ -144,8 +145,8 @@ def rank_sweep(spark, folder):
 
 
 def _edges(spark, folder):
-    """Edge table with relations numbered in name order."""
-    edges = V.edges(spark, folder)
+    """Edge table with relations numbered in name order; written once, because numbers and fits read it again."""
+    edges = checkpointed(V.edges(spark, folder))
     index = TB.dense_index(edges.select(F.col("k").alias("name")))
     numbered = edges.join(F.broadcast(index), edges.k == index.name).select(F.col("idx").cast("int").alias("k"), "s", "o", "v")
     return numbered, V.table(spark, folder, "nation").count(), index.count()
