@@ -31,3 +31,20 @@ def test_edges_are_computed_once(spark, monkeypatch):
     numbered, entities, relations = factors._edges(spark, FOLDER)
     assert numbered.count() == found.count() == rows.value
     assert entities == 25 and relations == found.select("k").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["kruskal_mttkrp", "factor_unpack", "spatial_class"])
+def test_lines_are_read_once_by_a_query(spark, monkeypatch, name):
+    """The tensor and the factors of a query come from one table of counts."""
+    read, counts = [], V.od_counts
+    monkeypatch.setattr(V, "od_counts", lambda *a: read.append(1) or counts(*a))
+    assert entry.queries()[name](spark, FOLDER).count() > 0
+    assert len(read) == 1
+
+
+def test_both_day_types_share_their_counts(spark, monkeypatch):
+    read, counts, given = [], V.od_counts, []
+    monkeypatch.setattr(V, "od_counts", lambda *a: read.append(1) or counts(*a))
+    monkeypatch.setattr(factors, "_pairs", lambda spark, folder, day_type, found: given.append(found) or day_type)
+    assert factors._cases(spark, FOLDER) == {"workdays": "workdays", "holidays": "holidays"}
+    assert len(read) == 1 and given[0] is given[1]

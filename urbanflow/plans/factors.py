@@ -124,16 +124,16 @@ def tucker_masked_gradient(spark, folder):
 
 
 def component_strength(spark, folder):
-    return TT.rounded(patterns.component_strength(TT.fitted(spark, folder)), "strength", digits=3)
+    return TT.rounded(patterns.component_strength(TT.fitted(TT.od_tensor_of(spark, folder)[0])), "strength", digits=3)
 
 
 def temporal_pattern(spark, folder):
-    return TT.rounded(patterns.temporal_pattern(TT.fitted(spark, folder)[2]), "value", digits=4)
+    return TT.rounded(patterns.temporal_pattern(TT.fitted(TT.od_tensor_of(spark, folder)[0])[2]), "value", digits=4)
 
 
 def spatial_class(spark, folder):
     t, index = TT.od_tensor_of(spark, folder)
-    rows = patterns.spatial_pattern(TT.fitted(spark, folder)[0], t, 0, index)
+    rows = patterns.spatial_pattern(TT.fitted(t)[0], t, 0, index)
     return TT.rounded(rows, "total", digits=4)
 
 
@@ -196,9 +196,9 @@ FEATURES = places.feature_names(PP.TAGS)
 MIN_VOLUME = 15
 
 
-def _pairs(spark, folder, day_type="workdays"):
-    t, index = TT.od_tensor_of(spark, folder, day_type)
-    factors = TT.fitted(spark, folder, day_type)
+def _pairs(spark, folder, day_type="workdays", counts=None):
+    t, index = TT.od_tensor_of(spark, folder, day_type, counts)
+    factors = TT.fitted(t)
     known = places.normalized_features(PP._radius_counts(spark, folder), FEATURES)
     table = index.join(V.locations(spark, folder), "name").join(known, "name")
     return learn.pair_features(t, factors[0], factors[1], table, FEATURES, MIN_VOLUME)
@@ -233,21 +233,24 @@ DAY_TYPES = ("workdays", "holidays")
 SMALL_MODELS = {"model1": ["p0", "p1"], "distance": ["dist"]}
 
 
+def _cases(spark, folder):
+    """Pairs of both day types; the counts, which both come from, are written once."""
+    counts = checkpointed(V.od_counts(spark, folder))
+    return {d: _pairs(spark, folder, d, counts) for d in DAY_TYPES}
+
+
 def kfold_error(spark, folder):
     """Error of the three models on both day types, every pair predicted by a fit without its fold."""
-    cases = {d: _pairs(spark, folder, d) for d in DAY_TYPES}
-    return TT.rounded(learn.error_by_model(learn.linear_kfold(cases, FOLDS)), "error", digits=5)
+    return TT.rounded(learn.error_by_model(learn.linear_kfold(_cases(spark, folder), FOLDS)), "error", digits=5)
 
 
 def kfold_error_small(spark, folder):
-    cases = {d: _pairs(spark, folder, d) for d in DAY_TYPES}
-    return TT.rounded(learn.error_by_model(learn.linear_kfold(cases, FOLDS, SMALL_MODELS)), "error", digits=6)
+    return TT.rounded(learn.error_by_model(learn.linear_kfold(_cases(spark, folder), FOLDS, SMALL_MODELS)), "error", digits=6)
 
 
 def reconstruct_linear(spark, folder):
     """Shares of every pair and hour from the factor products, by linear fits that have not seen the pair's fold."""
-    cases = {d: _pairs(spark, folder, d) for d in DAY_TYPES}
-    rows = learn.linear_kfold(cases, FOLDS, {"model1": SMALL_MODELS["model1"]})
+    rows = learn.linear_kfold(_cases(spark, folder), FOLDS, {"model1": SMALL_MODELS["model1"]})
     return TT.rounded(rows, "y", "prediction", digits=4)
 
 

@@ -20,8 +20,9 @@ RANK = 2
 FIT_SWEEPS = 20
 
 
-def od_tensor_of(spark, folder, day_type="workdays"):
-    var = od.variability(V.od_counts(spark, folder))
+def od_tensor_of(spark, folder, day_type="workdays", counts=None):
+    """The tensor of a day type and its index; a query that needs several gives the ``counts`` it has written."""
+    var = od.variability(V.od_counts(spark, folder) if counts is None else counts)
     return build.od_tensor(var, V.locations(spark, folder), day_type)
 
 
@@ -40,17 +41,10 @@ def start(spark, t, rank=RANK):
     return [A.start_factor(spark, m, n, rank) for m, n in enumerate(t.shape)]
 
 
-#: Written factors by application, folder and state of the tables they come from.
-_FITS: dict[tuple, list[A.Factor]] = {}
-
-
-def fitted(spark, folder, day_type="workdays"):
-    """Factors of the nonnegative model of a day type, every row present; the first query that asks writes them for all others."""
-    key = (spark.sparkContext.applicationId, folder, day_type, V.stamp(spark, folder, ("lineitem", "orders", "customer", "supplier", "nation")))
-    if key not in _FITS:
-        found = ntf.ntf(od_tensor_of(spark, folder, day_type)[0], RANK, "anls_bpp", stop_criterion=2, min_iter=FIT_SWEEPS, max_iter=FIT_SWEEPS)
-        _FITS[key] = [A.Factor(checkpointed(A.all_rows(f).df), f.rows, f.rank) for f in found.model.factors]
-    return _FITS[key]
+def fitted(t):
+    """Factors of the nonnegative model of a tensor, every row present and written."""
+    found = ntf.ntf(t, RANK, "anls_bpp", stop_criterion=2, min_iter=FIT_SWEEPS, max_iter=FIT_SWEEPS)
+    return [A.Factor(checkpointed(A.all_rows(f).df), f.rows, f.rank) for f in found.model.factors]
 
 
 def _vector(spark, t, mode):
@@ -155,7 +149,7 @@ def tensor_transpose(spark, folder):
 
 
 def khatri_rao(spark, folder):
-    return factor_rows(A.khatri_rao(fitted(spark, folder)[:2]), 4)
+    return factor_rows(A.khatri_rao(fitted(_t(spark, folder))[:2]), 4)
 
 
 def tensor_norm(spark, folder):
@@ -289,7 +283,7 @@ def mttkrp_fine(spark, folder):
 
 
 def factor_gram(spark, folder):
-    rows = [(m, a, b, round(float(g[a, b]), 4)) for m, g in enumerate(A.gram(f) for f in fitted(spark, folder))
+    rows = [(m, a, b, round(float(g[a, b]), 4)) for m, g in enumerate(A.gram(f) for f in fitted(_t(spark, folder)))
             for a in range(RANK) for b in range(RANK)]
     return spark.createDataFrame(rows, "mode int, a int, b int, v double")
 
@@ -298,12 +292,12 @@ def _model(spark, t):
     return A.Kruskal(start(spark, t), np.array([2.0, 3.0]))
 
 
-def _fitted_model(spark, folder):
-    return A.Kruskal(fitted(spark, folder), np.array([2.0, 3.0]))
+def _fitted_model(t):
+    return A.Kruskal(fitted(t), np.array([2.0, 3.0]))
 
 
 def kruskal_norm(spark, folder):
-    return spark.createDataFrame([(round(_fitted_model(spark, folder).norm(), 4),)], "norm double")
+    return spark.createDataFrame([(round(_fitted_model(_t(spark, folder)).norm(), 4),)], "norm double")
 
 
 def kruskal_innerprod(spark, folder):
@@ -324,7 +318,7 @@ def component_cells(spark, folder):
 def kruskal_mttkrp(spark, folder):
     t = _t(spark, folder)
     other = [A.start_factor(spark, m + 3, n, RANK) for m, n in enumerate(t.shape)]
-    return factor_rows(A.kruskal_mttkrp(_fitted_model(spark, folder), other, 1), 3)
+    return factor_rows(A.kruskal_mttkrp(_fitted_model(t), other, 1), 3)
 
 
 def rel_error(spark, folder):
@@ -362,16 +356,16 @@ def tucker_cells(spark, folder):
 
 
 def factor_pack(spark, folder):
-    return rounded(A.pack(fitted(spark, folder)), "value", digits=4)
+    return rounded(A.pack(fitted(_t(spark, folder))), "value", digits=4)
 
 
 def factor_unpack(spark, folder):
     t = _t(spark, folder)
-    return factor_rows(A.unpack(A.pack(fitted(spark, folder)), t.shape, RANK)[1], 4)
+    return factor_rows(A.unpack(A.pack(fitted(t)), t.shape, RANK)[1], 4)
 
 
 def flipsign(spark, folder):
-    f = fitted(spark, folder)[0]
+    f = fitted(_t(spark, folder))[0]
     shifted = f.df.select("idx", *[(F.col(c) - 2.0).alias(c) for c in f.columns])
     return factor_rows(A.flipsign(A.Factor(shifted, f.rows, f.rank)), 4)
 

@@ -10,16 +10,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stamp(spark: SparkSession, folder: str, names) -> tuple:
-    """Size and time of the tables' files, through the file system that Spark reads them with."""
-    found = []
-    for name in names:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-        for file in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
-            found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
-    return tuple(found)
-
-
 def _k(props):
     return F.regexp_extract(props, r'"k": (\d+)', 1).cast("int")
 
