@@ -1,17 +1,19 @@
 """Byte-level BPE, token counts and packed ids against the libraries."""
 
 import random
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from urbanflow.llm import bpe, counts, packing
+from urbanflow.llm import bpe, common, counts, packing, quality
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -126,3 +128,14 @@ def test_packed_files(spark, odd, empty, tmp_path, monkeypatch):
     assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows)
     packing.write(empty, FILE, str(tmp_path / "b"))
     assert packing.read(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_worker_keeps_the_tables_of_one_operator():
+    texts = pa.array(["the quick brown fox", None])
+    ids = bpe._encoded(texts, RANKS, PATTERN)
+    encoder = weakref.ref(common.kept("bpe", ("encode", RANKS, PATTERN), lambda: pytest.fail("made again")))
+    assert bpe._decoded(ids, RANKS) == ["the quick brown fox", ""]
+    assert encoder() is not None
+    features = common.kept("quality", None, quality.Features)
+    assert encoder() is None
+    assert common.kept("quality", None, quality.Features) is features

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import CACHED_CHARACTERS, Memo, append_columns
+from urbanflow.llm.common import CACHED_CHARACTERS, Memo, append_columns, kept
 
 STATE_LIMIT = 200_000
 PIECE_LIMIT = 600_000
@@ -211,16 +211,15 @@ def decode_stream(ids: Iterable[int], tokens: dict[int, bytes], chunk: int = DEC
     yield stream.close()
 
 
-_MADE: dict = {}
-
-
 def _once(key: tuple, make):
     """One encoder or vocabulary per Python worker, shared by the tasks it runs."""
-    if key not in _MADE:
+
+    def made():
         # The tables hold millions of small tuples and no cycles; the collector would walk them again and again.
         gc.set_threshold(1_000_000, 20, 100)
-        _MADE[key] = make()
-    return _MADE[key]
+        return make()
+
+    return kept("bpe", key, made)
 
 
 def _encoded(texts: pa.Array, path: str, pattern: str) -> pa.ListArray:

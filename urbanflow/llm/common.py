@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -124,6 +125,25 @@ def with_bit(rows: DataFrame, key: list[str], table: DataFrame, name: str, bits:
     return joined.withColumn(name, set_bit).drop(at, bucket, held)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str, key, make: Callable):
+    """What ``operator`` makes once in a Python worker and keeps for the tasks that follow.
+
+    A worker serves the operators of a pipeline one after the other, so what others kept is dropped first: it holds the
+    tables of one operator, not those of all.
+    """
+    if operator not in _KEPT:
+        _KEPT.clear()
+        gc.collect()  # tables and the functions that fill them refer to each other
+        _KEPT[operator] = {}
+    own = _KEPT[operator]
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
 class Memo(dict):
     """A dictionary that computes missing values and keeps about the ``limit`` values used last.
 

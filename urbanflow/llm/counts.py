@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import CACHED_CHARACTERS, SAFE_PIECE, Memo, append_columns, quoted
+from urbanflow.llm.common import CACHED_CHARACTERS, SAFE_PIECE, Memo, append_columns, kept, quoted
 
 CALL_BYTES = 1 << 18
 KNOWN_LIMIT = 1_000_000
@@ -106,16 +106,11 @@ def by_bytes(parts: list[str], limit: int) -> list[list[str]]:
     return calls
 
 
-_MADE: dict[str, Counter] = {}
-
-
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int = 512) -> DataFrame:
     """``df`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens)."""
 
     def compute(texts: pa.Array) -> list:
-        if path not in _MADE:
-            _MADE[path] = Counter(path)
-        return [_MADE[path].counts(texts.to_pylist())]
+        return [kept("counts", path, lambda: Counter(path)).counts(texts.to_pylist())]
 
     counted = append_columns(df, text_col, [("n_tokens", T.LongType())], compute)
     return counted.withColumns({"n_bytes": F.coalesce(F.octet_length(quoted(text_col)), F.lit(0)).cast("long"),

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import CACHED_CHARACTERS, WHITE, Memo, quoted, small_batches
+from urbanflow.llm.common import CACHED_CHARACTERS, WHITE, Memo, kept, quoted, small_batches
 from urbanflow.llm.counts import CALL_BYTES, Library, by_bytes
 
 SHARD_IDS = 1 << 19
@@ -168,9 +168,6 @@ class Encoder:
         return [held[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-_MADE: dict[str, Encoder] = {}
-
-
 def pack(df: DataFrame, path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the file format, in order of ``part`` and ``shard``."""
     small_batches(df.sparkSession)
@@ -182,9 +179,7 @@ def pack(df: DataFrame, path: str, end: int = 0, id_col: str = "doc_id", text_co
     types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), *[pa.binary()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _MADE:
-            _MADE[path] = Encoder(path)
-        encoder, part, shard = _MADE[path], TaskContext.get().partitionId(), 0
+        encoder, part, shard = kept("packing", path, lambda: Encoder(path)), TaskContext.get().partitionId(), 0
         base = max(encoder.size, end + 1)
         ids, found, size, start = [], [], 0, 0
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import Memo, append_columns, quoted, small_batches
+from urbanflow.llm.common import Memo, append_columns, kept, quoted, small_batches
 from urbanflow.session import checkpointed
 
 BITS = 18
@@ -144,16 +144,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return state.weights().astype(np.float32)
 
 
-_MADE: list[Features] = []
-
-
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """``df`` with ``score`` from 0 to 1."""
 
     def compute(texts: pa.Array) -> list:
-        if not _MADE:
-            _MADE.append(Features())
-        vectors = (_MADE[0].vector(text) for text in texts.to_pylist())
+        features = kept("quality", None, Features)
+        vectors = (features.vector(text) for text in texts.to_pylist())
         return [logistic(np.array([float(weights[at] @ x) for at, x in vectors]) + weights[-1]).tolist()]
 
     return append_columns(df, text_col, [("score", T.DoubleType())], compute)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import Memo, append_columns, quoted, small_batches
+from urbanflow.llm.common import Memo, append_columns, kept, quoted, small_batches
 from urbanflow.llm.quality import held_out, logistic
 from urbanflow.session import checkpointed
 
@@ -252,20 +252,18 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-_MADE: dict[tuple[bytes, bytes], Cells] = {}
-
-
 def score(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``df`` with ``score`` from 0 to 1."""
 
     def compute(texts: pa.Array) -> list:
         if model is None:
             return [[0.5] * len(texts)]
+        cells = kept("toxicity", None, dict)
         key = (model.toxic, model.ordinary)
-        if key not in _MADE:
-            _MADE.clear()
-            _MADE[key] = Cells(*key)
-        x = np.array([model.features(_MADE[key].of(text)) for text in texts.to_pylist()])
+        if key not in cells:
+            cells.clear()
+            cells[key] = Cells(*key)
+        x = np.array([model.features(cells[key].of(text)) for text in texts.to_pylist()])
         return [logistic(x @ model.weights).tolist()]
 
     return append_columns(df, text_col, [("score", T.DoubleType())], compute)
