@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from urbanflow.plans import factors
+from urbanflow.plans import places as PP
 from urbanflow.plans import views as V
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,3 +49,18 @@ def test_both_day_types_share_their_counts(spark, monkeypatch):
     monkeypatch.setattr(factors, "_pairs", lambda spark, folder, day_type, found: given.append(found) or day_type)
     assert factors._cases(spark, FOLDER) == {"workdays": "workdays", "holidays": "holidays"}
     assert len(read) == 1 and given[0] is given[1]
+
+
+def test_points_meet_places_once(spark, monkeypatch):
+    """Both day types, and the sums over places, share one radius join over all points."""
+    made, rows = PP._radius_counts(spark, FOLDER), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+    monkeypatch.setattr(PP, "_radius_counts", lambda *_: made.coalesce(1).mapInPandas(seen, made.schema))
+    monkeypatch.setattr(factors, "_pairs", lambda spark, folder, day_type, written: written[1])
+    cases = factors._cases(spark, FOLDER)
+    assert [len(known.collect()) for known in cases.values()] == [25, 25]
+    assert rows.value == 25

@@ -196,10 +196,17 @@ FEATURES = places.feature_names(PP.TAGS)
 MIN_VOLUME = 15
 
 
-def _pairs(spark, folder, day_type="workdays", counts=None):
+def _place_features(spark, folder):
+    """Features of every place from all points; the counts, a row for each place, are written once, because the sums over
+    places read them again."""
+    return places.normalized_features(checkpointed(PP._radius_counts(spark, folder)), FEATURES)
+
+
+def _pairs(spark, folder, day_type="workdays", written=None):
+    """Pairs of a day type; a query that needs several gives the counts and place features it has ``written``."""
+    counts, known = written or (None, _place_features(spark, folder))
     t, index = TT.od_tensor_of(spark, folder, day_type, counts)
     factors = TT.fitted(t)
-    known = places.normalized_features(PP._radius_counts(spark, folder), FEATURES)
     table = index.join(V.locations(spark, folder), "name").join(known, "name")
     return learn.pair_features(t, factors[0], factors[1], table, FEATURES, MIN_VOLUME)
 
@@ -234,9 +241,9 @@ SMALL_MODELS = {"model1": ["p0", "p1"], "distance": ["dist"]}
 
 
 def _cases(spark, folder):
-    """Pairs of both day types; the counts, which both come from, are written once."""
-    counts = checkpointed(V.od_counts(spark, folder))
-    return {d: _pairs(spark, folder, d, counts) for d in DAY_TYPES}
+    """Pairs of both day types; the counts and place features, which both come from, are written once."""
+    written = checkpointed(V.od_counts(spark, folder)), _place_features(spark, folder)
+    return {d: _pairs(spark, folder, d, written) for d in DAY_TYPES}
 
 
 def kfold_error(spark, folder):
