@@ -115,6 +115,32 @@ def test_grammar_saves_symbols():
     assert len(symbols) + 2 * len(rules) < len(ids) / 8
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.none() | st.text("ab1<' \t\n\r\x85\xa0\u1680\u2003\u2028\u3000é世🙂", max_size=30)
+                | st.lists(st.sampled_from(["<|endoftext|>", " the", "\n", " ", "<|endof", "text|>"]), max_size=6).map("".join), max_size=8),
+       st.integers(0, 2))
+def test_batches_encode_as_the_library(texts, limit):
+    packing_limit, packing.KNOWN_LIMIT = packing.KNOWN_LIMIT, (3, 40, 1_000_000)[limit]
+    try:
+        encoder = packing.Encoder(FILE)
+        for batch in (texts, texts[::-1], texts[1:]):
+            ids, sizes = encoder.encode(pa.array(batch, pa.string()))
+            want = [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in batch]
+            assert sizes.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [n for w in want for n in w]
+    finally:
+        packing.KNOWN_LIMIT = packing_limit
+
+
+def test_known_parts_are_not_encoded_again():
+    encoder = packing.Encoder(FILE)
+    batch = pa.array(["the same words\n\nagain and again", None, "again the same"])
+    first = encoder.encode(batch)
+    encoder._alone = encoder._joined = None  # a part that goes to the library again fails
+    assert all(np.array_equal(a, b) for a, b in zip(first, encoder.encode(batch)))
+    assert isinstance(encoder._known[0], pa.LargeStringArray)  # one table, no Python object for a part
+
+
 def test_packed_files(spark, odd, empty, tmp_path, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_IDS", 300)
     packing.write(odd, FILE, str(tmp_path / "a"))

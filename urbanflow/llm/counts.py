@@ -39,7 +39,7 @@ class Library:
             self.lengths: Callable[[list[str]], list[int]] = lambda parts: [
                 len(ids) for ids in processor.encode(parts, num_threads=1)]
             self.cut: Callable[[str], list[str]] = lambda text: [text]
-            self.safe = False
+            self.safe, self.added = False, None
             return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -50,7 +50,9 @@ class Library:
         with open(path, encoding="utf-8") as source:
             definition = json.load(source)
         self.safe = byte_level(definition)
-        self.cut = _cutter(definition)
+        #: Added strings, which are cut out first; None where texts are not cut.
+        self.added = _added(definition)
+        self.cut = _cutter(self.added)
 
 
 def byte_level(definition: dict) -> bool:
@@ -60,15 +62,21 @@ def byte_level(definition: dict) -> bool:
             and not pre.get("add_prefix_space"))
 
 
-def _cutter(definition: dict) -> Callable[[str], list[str]]:
-    """How to cut texts for a tokenizer file; added strings are cut out first, as the library does."""
+def _added(definition: dict) -> list[str] | None:
+    """The added strings of a tokenizer file, or None if its texts must be encoded whole."""
     added = definition.get("added_tokens") or []
     if not byte_level(definition) or any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in added):
+        return None
+    return [a["content"] for a in added]
+
+
+def _cutter(strings: list[str] | None) -> Callable[[str], list[str]]:
+    """How to cut texts, given the added strings; those are cut out first, as the library does."""
+    if strings is None:
         return lambda text: [text]
     pieces = SAFE_PIECE.findall
-    if not added:
+    if not strings:
         return pieces
-    strings = [a["content"] for a in added]
     special = re.compile("(" + "|".join(re.escape(s) for s in sorted(strings, key=len, reverse=True)) + ")")
 
     def cut(text: str) -> list[str]:
