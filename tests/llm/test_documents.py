@@ -118,6 +118,15 @@ def test_links_reach_every_near_fingerprint(spark, bits, long_list):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_plan_of_links_stays_small(spark):
+    # The driver plans this; written-out conditions and literals made it several times as long.
+    links = simhash.links(spark.createDataFrame([(n,) for n in range(9)], "f bigint"))
+    assert len(links._jdf.queryExecution().optimizedPlan().toString()) < 12_000
+    flips = spark.range(1).selectExpr(f"concat({', '.join(simhash._flipped('id', k) for k in range(3))}) as found").first()
+    assert sorted(v % (1 << 64) for v in flips["found"]) == sorted(
+        sum(1 << p for p in chosen) for k in range(3) for chosen in itertools.combinations(range(64), k))
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     links = [(n, n + 1) for n in range(100, 140)] + [(5, n) for n in range(6, 60)] + [(70, 70), (200, 201), (201, 200)]
     got = dict(graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())

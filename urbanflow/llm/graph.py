@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from urbanflow.session import checkpoint_table, drop_table
@@ -14,24 +14,36 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of large-star and small-star steps: in turn, every node hands its smallest neighbour to its larger and
     to its smaller neighbours.  Each step is a minimum per node, combined before the shuffle, and a join of the links
     with these minima, which are one row a node; a node with very many links is therefore spread over tasks.  The
-    links of each round are a written table, and rounds end when the links no longer change.
+    links of each step are a written table, so that no plan holds more than one step, and rounds end when the links no
+    longer change, which their count and the sum of their hashes tell, taken while they are written.
     """
     spark = links.sparkSession
-    now, path = checkpoint_table(_canonical(links.select("a", "b")))
+    now, path, seen = _written(_canonical(links.select("a", "b")))
     before = None
-    while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == before:
-            break
-        before = seen
-        following, following_path = checkpoint_table(_small_star(_large_star(now)))
+    while seen != before:
+        half, half_path, _ = _written(_large_star(now))
         drop_table(spark, path)
-        now, path = following, following_path
+        now, path, following = _written(_small_star(half))
+        drop_table(spark, half_path)
+        before, seen = seen, following
     # Links now join every node with its root.
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _written(links: DataFrame) -> tuple[DataFrame, str, dict]:
+    """The links as a table, its path, and what identifies them."""
+    seen = Observation()
+    table, path = checkpoint_table(links.observe(seen, F.count("*").alias("n"),
+                                                 F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hashes")))
+    return table, path, seen.get
+
+
+def _both(first: tuple[str, str], second: tuple[str, str], names: tuple[str, str]) -> str:
+    """SQL that gives two rows with columns ``names`` for each row."""
+    return f"stack(2, {', '.join(first + second)}) as ({', '.join(names)})"
+
+
 def _canonical(links: DataFrame) -> DataFrame:
     """Each link once, from the larger node to the smaller."""
     return links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -39,15 +51,13 @@ def _canonical(links: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Joins every larger neighbour of a node to the smallest of the node and its neighbours."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    larger = links.select(F.col("b").alias("n"), F.col("a").alias("v"))  # seen from each node, its larger neighbours
-    return _canonical(larger.join(least, "n").select(F.col("v").alias("a"), F.col("m").alias("b")))
+    both = links.selectExpr(_both(("a", "b"), ("b", "a"), ("n", "v")))
+    least = both.groupBy("n").agg(F.least("n", F.min("v")).alias("m"))
+    # Seen from each node, its larger neighbours.
+    return _canonical(links.join(least, F.col("b") == F.col("n")).select("a", F.col("m").alias("b")))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Joins a node and its smaller neighbours to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    smaller = links.join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
-    return _canonical(smaller.select(F.col("b").alias("a"), F.col("m").alias("b"))
-                      .unionByName(least.select("a", F.col("m").alias("b"))))
+    least = links.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+    return _canonical(links.join(least, F.col("a") == F.col("n")).selectExpr(_both(("b", "m"), ("a", "m"), ("a", "b"))))

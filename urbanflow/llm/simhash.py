@@ -86,26 +86,30 @@ def links(classes: DataFrame, bits: int = BITS, long_list: int = LONG_LIST) -> D
     short = shared.where(F.col("n") <= long_list).select("c", "held", "f")
     other = short.withColumnRenamed("f", "g")
     differing = F.col("f").bitwiseXOR(F.col("g"))
-    equal = [F.shiftright(differing, 8 * (7 - p)).bitwiseAND(255) == 0 for p in range(8)]
-    tally = sum((e.cast("int") for e in equal[1:]), equal[0].cast("int"))
-    # The first choice of positions among the equal ones: no position before its last is equal and not chosen.
-    first = F.lit(False)
-    for n, positions in enumerate(combinations(range(8), need)):
-        left_out = [~equal[p] for p in range(positions[-1]) if p not in positions]
-        alone = left_out[0] if left_out else F.lit(True)
-        for condition in left_out[1:]:
-            alone = alone & condition
-        first = first | ((F.col("c") == n) & alone)
+    # Bit p says that position p is equal.  Numbers and tables instead of 70 written-out conditions: the driver plans them.
+    equal = F.expr(" | ".join(f"if(shiftright(f ^ g, {8 * (7 - p)}) & 255L = 0, {1 << p}, 0)" for p in range(8)))
+    # The first choice of positions among the equal ones: up to its last position, those equal are those chosen.
+    positions = list(combinations(range(8), need))
+    up_to = F.get(F.array(*[F.lit((2 << p[-1]) - 1) for p in positions]), F.col("c"))
+    own = F.get(F.array(*[F.lit(sum(1 << k for k in p)) for p in positions]), F.col("c"))
+    first = equal.bitwiseAND(up_to) == own
     pairs = short.join(other, ["c", "held"]).where((F.col("f") < F.col("g")) & (F.bit_count(differing) <= bits))
-    found = pairs.where((tally >= need) & first).select(F.col("f").alias("a"), F.col("g").alias("b"))
+    found = pairs.where((F.bit_count(equal) >= need) & first).select(F.col("f").alias("a"), F.col("g").alias("b"))
     return found.unionByName(_through_the_middle(shared.where(F.col("n") > long_list), bits))
 
 
+def _flipped(value: str, times: int, after: int | str = -1) -> str:
+    """SQL for the array of what a 64-bit value becomes when ``times`` bits, above the one at ``after``, are flipped."""
+    if not times:
+        return f"array({value})"
+    at = f"p{times}"
+    return (f"flatten(transform(sequence({after} + 1, {64 - times}), {at} -> "
+            f"{_flipped(f'{value} ^ shiftleft(1L, {at})', times - 1, at)}))")
+
+
 def _through_the_middle(members: DataFrame, bits: int) -> DataFrame:
     """Links inside long lists: every fingerprint within half the distance leads to the smallest one near it."""
-    half = bits // 2
-    flips = [_signed(sum(1 << p for p in chosen)) for k in range(half + 1) for chosen in combinations(range(64), k)]
-    around = F.transform(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: F.col("f").bitwiseXOR(m))
+    around = F.expr(f"concat({', '.join(_flipped('f', k) for k in range(bits // 2 + 1))})")
     near = members.select("f").distinct().select("f", F.explode(around).alias("middle"))
     least = near.groupBy("middle").agg(F.min("f").alias("a"), F.count("*").alias("n")).where("n > 1")
     return near.join(least, "middle").where("a < f").select("a", F.col("f").alias("b")).distinct()
