@@ -83,6 +83,7 @@ def append_columns(df: DataFrame, source: str, added: list[tuple[str, T.DataType
             made = compute(batch.column(len(kept)))
             arrays = [m if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*kept, *[n for n, _ in added]])
+            pa.default_memory_pool().release_unused()  # Arrow keeps what batches used, in idle workers too
 
     return inner.mapInArrow(run, schema)
 
