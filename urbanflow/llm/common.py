@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterator
@@ -84,6 +85,7 @@ def append_columns(df: DataFrame, source: str, added: list[tuple[str, T.DataType
             arrays = [m if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*kept, *[n for n, _ in added]])
             pa.default_memory_pool().release_unused()  # Arrow keeps what batches used, in idle workers too
+        give_back()
 
     return inner.mapInArrow(run, schema)
 
@@ -126,11 +128,19 @@ def with_bit(rows: DataFrame, key: list[str], table: DataFrame, name: str, bits:
     return joined.withColumn(name, set_bit).drop(at, bucket, held)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow and the C library keep it otherwise, in idle workers too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 _KEPT: dict[str, dict] = {}
 
 
-def kept(operator: str, key, make: Callable):
-    """What ``operator`` makes once in a Python worker and keeps for the tasks that follow.
+def serve(operator: str) -> dict:
+    """What ``operator`` has kept in this Python worker.
 
     A worker serves the operators of a pipeline one after the other, so what others kept is dropped first: it holds the
     tables of one operator, not those of all.
@@ -138,8 +148,14 @@ def kept(operator: str, key, make: Callable):
     if operator not in _KEPT:
         _KEPT.clear()
         gc.collect()  # tables and the functions that fill them refer to each other
+        give_back()
         _KEPT[operator] = {}
-    own = _KEPT[operator]
+    return _KEPT[operator]
+
+
+def kept(operator: str, key, make: Callable):
+    """What ``operator`` makes once in a Python worker and keeps for the tasks that follow."""
+    own = serve(operator)
     if key not in own:
         own[key] = make()
     return own[key]

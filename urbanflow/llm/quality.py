@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import Memo, append_columns, kept, quoted, small_batches
+from urbanflow.llm.common import Memo, append_columns, give_back, kept, quoted, serve, small_batches
 from urbanflow.session import checkpointed
 
 BITS = 18
@@ -111,6 +111,7 @@ def _one_round(rows: DataFrame, state: Ftrl) -> Ftrl:
     z0, n0 = state.z, state.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")  # training is the first to run after the tables of another run's last operator
         features, shard, own = Features(), None, None
 
         def result():
@@ -125,6 +126,8 @@ def _one_round(rows: DataFrame, state: Ftrl) -> Ftrl:
                 own.update(*features.vector(text), label)
         if own is not None:
             yield result()
+        features = own = None
+        give_back()
 
     ordered = rows.repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", "turn")
     found = ordered.mapInArrow(run, "z binary, n binary").collect()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import append_columns, quoted
+from urbanflow.llm.common import append_columns, quoted, serve
 from urbanflow.llm.graph import components
 from urbanflow.session import checkpointed
 
@@ -64,6 +64,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE)
     """``df`` with ``simhash``, a long."""
 
     def compute(texts: pa.Array) -> list:
+        serve("simhash")  # it keeps nothing itself
         return [[fingerprint(text, shingle) for text in texts.to_pylist()]]
 
     return append_columns(df, text_col, [("simhash", T.LongType())], compute)
