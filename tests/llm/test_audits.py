@@ -175,6 +175,20 @@ def test_manifest_of_repeated_and_far_ids(spark, tmp_path):
     assert rows_of(found, *RESULT) == manifested(docs.collect())
 
 
+def test_manifest_of_a_large_and_small_groups_in_one_task(spark, tmp_path, monkeypatch):
+    """Rounds in which one group has several nodes and others have one, whose paths are empty, in the same task."""
+    monkeypatch.setattr(manifest, "manifest", functools.partial(manifest.manifest, height=1))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = [(n, f"text {n}", "b" if n < 21 else "ac"[n % 2], "s", n) for n in range(23)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        found = queries.op12_manifest(spark, written(spark, tmp_path, docs.coalesce(1)))
+        assert rows_of(found, *RESULT) == manifested(docs.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_manifest_of_nothing_and_of_one(spark, empty, tmp_path):
     assert queries.op12_manifest(spark, written(spark, tmp_path / "none", empty)).collect() == []
     one = spark.createDataFrame([(1, "a", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")

@@ -39,6 +39,9 @@ FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 NO_WORD = -(1 << 63)
 #: Marks of a path: the sibling stands to the left, to the right, or there is none.
 LEFT, RIGHT, ALONE = "<", ">", "-"
+#: Columns of the steps of a path.  Written out: Arrow would take the type of empty lists for null, and one task's batches
+#: must all have the same.
+STEPS = pa.schema([("tree", pa.string()), ("chunk", pa.int64()), ("steps", pa.list_(pa.string()))])
 
 
 def written(field: Column) -> Column:
@@ -162,7 +165,7 @@ def _paths_down(arrays: DataFrame, above: DataFrame | None, height: int) -> Data
             first = row["chunk"] * FAN ** height
             yield pa.RecordBatch.from_pylist([
                 {"tree": row["tree"], "chunk": first + s, "steps": path(levels, s) + (row["steps"] or [])}
-                for s in range(len(levels[0]))])
+                for s in range(len(levels[0]))], schema=STEPS)
 
     return checkpointed(_with_steps(arrays, above).mapInArrow(run, "tree string, chunk bigint, steps array<string>"))
 
