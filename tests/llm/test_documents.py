@@ -127,6 +127,16 @@ def test_plan_of_links_stays_small(spark):
         sum(1 << p for p in chosen) for k in range(3) for chosen in itertools.combinations(range(64), k))
 
 
+def test_exploded_rows_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes them as if they were not exploded; 70 postings a class would pass the driver."""
+    written, checkpointed = [], simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: written.append(df) or checkpointed(df))
+    links = simhash.links(checkpointed(spark.range(9).selectExpr("id as f")), long_list=3)
+    for df in (*written, links):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     links = [(n, n + 1) for n in range(100, 140)] + [(5, n) for n in range(6, 60)] + [(70, 70), (200, 201), (201, 200)]
     got = dict(graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())

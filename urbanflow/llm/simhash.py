@@ -83,7 +83,8 @@ def links(classes: DataFrame, bits: int = BITS, long_list: int = LONG_LIST) -> D
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = classes.repartition(tasks, "f").select("f", F.posexplode(F.transform(chosen, lambda m: F.col("f").bitwiseAND(m))).alias("c", "held"))
     lists = postings.groupBy("c", "held").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(postings.join(lists, ["c", "held"]))
+    # Spark sizes exploded rows as if they were not, and would broadcast 70 postings a class for small classes.
+    shared = checkpointed(postings.join(lists.hint("shuffle_merge"), ["c", "held"]))
     short = shared.where(F.col("n") <= long_list).select("c", "held", "f")
     other = short.withColumnRenamed("f", "g")
     differing = F.col("f").bitwiseXOR(F.col("g"))
@@ -94,7 +95,7 @@ def links(classes: DataFrame, bits: int = BITS, long_list: int = LONG_LIST) -> D
     up_to = F.get(F.array(*[F.lit((2 << p[-1]) - 1) for p in positions]), F.col("c"))
     own = F.get(F.array(*[F.lit(sum(1 << k for k in p)) for p in positions]), F.col("c"))
     first = equal.bitwiseAND(up_to) == own
-    pairs = short.join(other, ["c", "held"]).where((F.col("f") < F.col("g")) & (F.bit_count(differing) <= bits))
+    pairs = short.join(other.hint("shuffle_merge"), ["c", "held"]).where((F.col("f") < F.col("g")) & (F.bit_count(differing) <= bits))
     found = pairs.where((F.bit_count(equal) >= need) & first).select(F.col("f").alias("a"), F.col("g").alias("b"))
     return found.unionByName(_through_the_middle(shared.where(F.col("n") > long_list), bits))
 
@@ -113,7 +114,7 @@ def _through_the_middle(members: DataFrame, bits: int) -> DataFrame:
     around = F.expr(f"concat({', '.join(_flipped('f', k) for k in range(bits // 2 + 1))})")
     near = members.select("f").distinct().select("f", F.explode(around).alias("middle"))
     least = near.groupBy("middle").agg(F.min("f").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return near.join(least, "middle").where("a < f").select("a", F.col("f").alias("b")).distinct()
+    return near.join(least.hint("shuffle_merge"), "middle").where("a < f").select("a", F.col("f").alias("b")).distinct()
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
