@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from urbanflow.llm import bpe, mixing, quality
+from urbanflow.llm import bpe, mixing, quality, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,6 +56,15 @@ def fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * sum(v >> k & 1 for v in values) > len(values))
 
 
+def test_near_copies_stage_broadcasts_no_exploded_rows(spark, odd, monkeypatch):
+    written, checkpointed = [], simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: written.append(df) or checkpointed(df))
+    corpus_pipeline.without_near_copies(spark, odd, "")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in written]
+    exploded = [p for p in plans if "posexplode" in p]
+    assert exploded and not any("Broadcast" in p for p in exploded)
+
+
 def test_run_equals_brute_force(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     weights = quality.train(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
