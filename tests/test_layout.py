@@ -1,11 +1,12 @@
 """Copies of the non-zeros by mode: the same sums by both ways, and no exchange of the non-zeros."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_tensor_golden import array_of, factor_array
 
 from urbanflow.operators.tensor import algebra as A
-from urbanflow.operators.tensor import cp, layout, nnls, ntf
+from urbanflow.operators.tensor import cp, layout, nnls, ntf, packed
 from urbanflow.operators.tensor.table import Tensor
 
 SHAPE = (40, 30, 6)
@@ -149,3 +150,58 @@ def test_results_of_a_long_mode_are_not_broadcast(spark, sparse, monkeypatch):
                nnls.nnls_rows(right, grams[0], "anls_bpp", factors[0]).df):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" in A.all_rows(A.Factor(right.df, SHAPE[2], 2)).df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_packed_cells_follow_numpy(spark, sparse, long, monkeypatch):
+    """Blocks of few cells, indices spread over blocks, and the longest mode's factor sent to every worker or to blocks."""
+    if long:
+        monkeypatch.setattr(A, "BROADCAST_BYTES", 800)
+    x, factors = array_of(sparse), starts(spark)
+    assert packed.can_pack(sparse, 2) and [f.is_small() for f in factors] == [not long, True, True]
+    u = [factor_array(f) for f in factors]
+    ratios = np.divide(x, np.einsum("ir,jr,kr->ijk", *u))
+    tables = len(spark.catalog.listTables())
+    with packed.PackedCells(sparse, 4, 50) as cells:
+        assert cells.blocks > 4 and cells._large and len(spark.catalog.listTables()) == tables + 1
+        assert cells.norm() == pytest.approx(np.linalg.norm(x))
+        for mode in range(3):
+            assert np.allclose(factor_array(A.all_rows(cells.mttkrp(factors, mode))), numpy_mttkrp(x, u, mode))
+            sums = cells.sums(factors, mode, True, "f")
+            assert np.allclose(factor_array(A.all_rows(A.Factor(sums, SHAPE[mode], 2))), numpy_mttkrp(ratios, u, mode))
+            sums.collect()
+            plan = sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert not any("Exchange" in line and ("at0" in line or " v#" in line) for line in plan.splitlines())
+    assert len(spark.catalog.listTables()) == tables
+
+
+def test_beta_1_reads_packed_cells(spark, sparse, monkeypatch):
+    monkeypatch.setattr(ntf, "ModeCopies", None)
+    found = ntf.beta_ntf(sparse, 2, beta=1, n_iter=2)
+    monkeypatch.undo()
+    monkeypatch.setattr(ntf, "can_pack", lambda *_: False)
+    rows = ntf.beta_ntf(sparse, 2, beta=1, n_iter=2)
+    assert found.rel_error == pytest.approx(rows.rel_error, abs=1e-12)
+    for a, b in zip(found.model.factors, rows.model.factors):
+        assert np.allclose(factor_array(a), factor_array(b), rtol=1e-12)
+
+
+def test_packed_cells_without_a_factor_row_count_for_nothing(spark, sparse):
+    factors = starts(spark)
+    factors[1] = A.Factor(factors[1].df.where("idx != 1"), SHAPE[1], 2)
+    x = array_of(sparse)
+    x[:, 1] = 0
+    u = [factor_array(f) for f in starts(spark)]
+    with packed.PackedCells(sparse, 4, 50) as cells:
+        assert np.allclose(factor_array(A.all_rows(cells.mttkrp(factors, 0))), numpy_mttkrp(x, u, 0))
+
+
+@pytest.mark.parametrize("values", [[1.0, 255.0, 0.0], [0.5, 256.0, -2.0], [0.1, np.nan, 1e300]])
+def test_packing_keeps_every_number(values):
+    columns = {"block": [0, 0, 7], "i": [3, 3, 70_000], "j": [300, 0, 1], "v": values}
+    rows = [b for b in packed.pack(iter([pa.RecordBatch.from_pydict(columns)]), 0, 2) for b in zip(*b.columns)]
+    found = [packed.unpacked(row[1].as_py(), row[2:]) for row in rows]
+    assert [row[0].as_py() for row in rows] == [0, 7]
+    assert [i for ids, at, _ in found for i in ids[at[0]]] == columns["i"]
+    assert [j for _, at, _ in found for j in at[1]] == columns["j"]
+    assert np.array_equal(np.concatenate([v.astype(float) for _, _, v in found]), values, equal_nan=True)

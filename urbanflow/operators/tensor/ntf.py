@@ -16,6 +16,7 @@ from urbanflow.operators.tensor.algebra import (Factor, Kruskal, all_rows, besid
                                                 rel_frobenius, start_factor, times_sql)
 from urbanflow.operators.tensor.layout import ModeCopies
 from urbanflow.operators.tensor.nnls import nnls_rows
+from urbanflow.operators.tensor.packed import PackedCells, can_pack
 from urbanflow.operators.tensor.sweep import FactorStore
 from urbanflow.operators.tensor.table import Tensor, densify
 
@@ -113,8 +114,9 @@ def beta_ntf(t: Tensor, rank: int, beta: float = 2, n_iter: int = 50, fixed_fact
     """Nonnegative CP by multiplicative updates; one job per half-sweep.
 
     Divergences with beta 2 and 1 and no weights read the non-zeros only: their denominators come from Gram
-    matrices and from column sums.  Every other case needs all cells; they are generated in tasks and laid out like
-    non-zeros.
+    matrices and from column sums.  Beta 1 needs the model in every non-zero: they are packed into blocks of arrays where
+    all factors but the longest mode's are small.  Every other case needs all cells; they are generated in tasks and laid
+    out like non-zeros.
     """
     spark = t.df.sparkSession
     sparse = weights is None and beta in (1, 2)
@@ -124,7 +126,8 @@ def beta_ntf(t: Tensor, rank: int, beta: float = 2, n_iter: int = 50, fixed_fact
     column_sums = tuple(f"sum(f{c})" for c in range(rank))
     sums = [[v or 0.0 for v in f.df.agg(*map(F.expr, column_sums)).first()] for f in store.factors]
     products = tuple(f"sum(f{c} * x{c})" for c in range(rank))
-    with ModeCopies(data) as copies:
+    packed = sparse and beta == 1 and can_pack(data, rank)
+    with (PackedCells if packed else ModeCopies)(data) as copies:
         norm_x, last, product_xm = copies.norm(), t.order - 1, None
         for _ in range(n_iter):
             for mode in range(t.order):
@@ -149,7 +152,7 @@ def _weighted(t: Tensor, weights: Tensor | None) -> Tensor:
     return t.with_df(t.df.join(side, list(t.modes), "left").na.fill(0.0, ["weight"]))
 
 
-def _multiplied(copies: ModeCopies, store: FactorStore, sums: list[list[float]], mode: int, beta: float, eps: float,
+def _multiplied(copies: ModeCopies | PackedCells, store: FactorStore, sums: list[list[float]], mode: int, beta: float, eps: float,
                 sparse: bool, keep: bool) -> Factor:
     """One multiplicative update of a factor; ``keep`` also keeps its numerators as columns ``x0, x1, ...``."""
     f, order = store.factors[mode], copies.tensor.order
@@ -159,7 +162,8 @@ def _multiplied(copies: ModeCopies, store: FactorStore, sums: list[list[float]],
         top = _part_sums(copies, store.factors, mode, {"n": "v"}, others)
         bottom = times_sql(store.hadamard(mode))
     elif sparse:
-        top = _part_sums(copies, store.factors, mode, {"n": f"v / ({model})"}, range(order))
+        top = (copies.sums(store.factors, mode, True, "n") if isinstance(copies, PackedCells) else
+               _part_sums(copies, store.factors, mode, {"n": f"v / ({model})"}, range(order)))
         bottom = [number(x) for x in np.prod([sums[m] for m in others], axis=0)]
     else:
         values = {"n": f"weight * v * pow({model}, {number(beta - 2)})", "d": f"weight * pow({model}, {number(beta - 1)})"}
